@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("events", "customers")
+MODULES = ("events", "customers", "metrics")
 
 
 def load() -> tuple[dict, dict]:
