@@ -23,19 +23,6 @@ def score_counts(scored: DataFrame, label: str, score: str, by: Sequence[str] =
     )
 
 
-def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
-
-
-def _with_totals(placed: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach group totals; a lone group's totals are a one-row scalar subquery."""
-    totals = _totals(counts, by)
-    if by:
-        return placed.join(totals, list(by))
-    pair = totals.select(F.struct("all_pos", "all_n").alias("t")).scalar()
-    return placed.withColumn("_t", pair).select("*", "_t.*").drop("_t")
-
-
 def binary_metrics(
     scored: DataFrame,
     label: str = "y",
@@ -51,8 +38,7 @@ def binary_metrics(
     """
     by = list(by)
     counts = score_counts(scored, label, score, by)
-    placed = running_totals(counts, "score", ["pos", "n"], by, descending=True)
-    rows = _with_totals(placed, counts, by)
+    rows = running_totals(counts, "score", ["pos", "n"], by, descending=True)
     pos, n, cum_pos, cum_n = (F.col(c).cast("double") for c in ("pos", "n", "cum_pos", "cum_n"))
     total, rows_n = F.col("all_pos").cast("double"), F.col("all_n").cast("double")
     neg = n - pos

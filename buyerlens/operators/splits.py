@@ -36,18 +36,13 @@ def stratified_split(
 ) -> DataFrame:
     """Exact per-class cut of a seeded order: test first, then validation, then train."""
     ranked = keyed_rank(df, id_column, seed, [label])
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    n = F.col("_n").cast("double")
-    return (
-        ranked.join(sizes, label)
-        .withColumn(
-            "split",
-            F.when(F.col("rank") <= F.round(n * test_size), "test")
-            .when(F.col("rank") <= F.round(n * (test_size + val_size)), "val")
-            .otherwise("train"),
-        )
-        .drop("rank", "_n")
-    )
+    n = F.col("group_size").cast("double")
+    return ranked.withColumn(
+        "split",
+        F.when(F.col("rank") <= F.round(n * test_size), "test")
+        .when(F.col("rank") <= F.round(n * (test_size + val_size)), "val")
+        .otherwise("train"),
+    ).drop("rank", "group_size")
 
 
 def split_checks(split: DataFrame, universe: DataFrame, id_column: str) -> DataFrame:

@@ -40,7 +40,8 @@ def running_totals(
     descending: bool = False,
     bucketed: bool = False,
 ) -> DataFrame:
-    """Add ``cum_<c>``, the inclusive running total of each column of ``totals``.
+    """Add ``cum_<c>``, the inclusive running total of each column of ``totals``, and
+    ``all_<c>``, its total over the group.
 
     Without ``bucketed`` the frame must hold one row per (by, order), so that equal values
     never crowd one bucket; with it the frame brings its own ordered ``_bucket``.
@@ -55,8 +56,11 @@ def running_totals(
         .orderBy(direction("_bucket"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
     offsets = heads.select(
-        *keys, *[F.coalesce(F.sum(f"_in_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in totals]
+        *keys,
+        *[F.coalesce(F.sum(f"_in_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in totals],
+        *[F.sum(f"_in_{c}").over(whole).alias(f"all_{c}") for c in totals],
     )
     inside = (
         Window.partitionBy(*keys)
@@ -71,7 +75,8 @@ def running_totals(
 
 
 def keyed_rank(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank``: 1-based place of each row in the seed's random order of ``key``.
+    """Add ``rank``, the 1-based place of each row in the seed's random order of ``key``, and
+    ``group_size``.
 
     The digest is uniform, so its first digits are ordered, equally full buckets even where
     one group holds most rows. Keys must be unique within a group.
@@ -82,7 +87,9 @@ def keyed_rank(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = ())
         .withColumn("_one", F.lit(1).cast("long"))
     )
     ranked = running_totals(marked, ["_digest", key], ["_one"], by, bucketed=True)
-    return ranked.withColumnRenamed("cum__one", "rank").drop("_digest", "_one")
+    return ranked.withColumnsRenamed({"cum__one": "rank", "all__one": "group_size"}).drop(
+        "_digest", "_one"
+    )
 
 
 def keyed_sample(df: DataFrame, key: str, seed: int | str, cap: int) -> DataFrame:
@@ -118,22 +125,22 @@ def exact_quantiles(
     by = list(by)
     counted = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     placed = running_totals(counted, value, ["n"], by)
-    sizes = counted.groupBy(*by).agg(F.sum("n").alias("_size"))
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     wanted = F.array(
         *[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("prob")) for k, p in enumerate(probs)]
     )
-    targets = (
-        sizes.select(*by, "_size", F.inline(wanted))
-        .withColumn("_h", (F.col("_size") - 1) * F.col("prob"))
-        .withColumn("_lo", F.floor("_h"))
-    )
-    bundle = targets.groupBy(*by).agg(F.collect_list(F.struct("k", "prob", "_h", "_lo")).alias("_t"))
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+
+    def target(t):
+        place = (F.col("all_n") - 1) * t["prob"]
+        return F.struct(t["k"], t["prob"], place.alias("_h"), F.floor(place).alias("_lo"))
+
     hits = (
-        placed.join(bundle, by)
-        .withColumn(
+        placed.withColumn(
             "_t",
-            F.filter("_t", lambda t: (t["_lo"] + 1 >= first) & (t["_lo"] <= last)),
+            F.filter(
+                F.transform(wanted, target),
+                lambda t: (t["_lo"] + 1 >= first) & (t["_lo"] <= last),
+            ),
         )
         .where(F.size("_t") > 0)
         .select(*by, value, first.alias("_first"), last.alias("_last"), F.inline("_t"))

@@ -10,6 +10,7 @@ from buyerlens.functions.frames import to_long
 from buyerlens.operators import constructs, customers, profiles, splits, transforms
 from buyerlens.registry.base import CUSTOMERS, SEED, query
 from buyerlens.registry.sqlparts import r, stmt
+from buyerlens.session import materialise
 from buyerlens.sources.customers import customers_from_orders
 
 
@@ -18,10 +19,16 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Engineered customers with their stratified split, kept for the fits that follow."""
+    """Engineered customers, written once, with their stratified split."""
+    table = materialise(engineered(spark, sf_dir))
     return splits.stratified_split(
-        engineered(spark, sf_dir), "ID", "Response", SEED, CUSTOMERS.test_size, CUSTOMERS.val_size
-    ).cache()
+        table, "ID", "Response", SEED, CUSTOMERS.test_size, CUSTOMERS.val_size
+    )
+
+
+def stored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for the several passes of a fit and its use."""
+    return materialise(split_customers(spark, sf_dir))
 
 
 _DOUBLES = ("Income", *SPEND_COLUMNS)
@@ -42,7 +49,7 @@ def stratified_split(spark, sf_dir):
 
 @query("train_medians", stmt("med", f"SELECT name, {r('median', 'median')} FROM med"))
 def train_medians(spark, sf_dir):
-    train = transforms.train_rows(split_customers(spark, sf_dir))
+    train = transforms.train_rows(stored_customers(spark, sf_dir))
     return transforms.quantile_table(train, list(NUMERIC_COLUMNS), [0.5]).select(
         "name", F.col("q").alias("median")
     )
@@ -50,7 +57,7 @@ def train_medians(spark, sf_dir):
 
 @query("winsor_bounds", stmt("bounds", f"SELECT name, {r('lo', 'lo')}, {r('hi', 'hi')} FROM bounds"))
 def winsor_bounds(spark, sf_dir):
-    table = split_customers(spark, sf_dir)
+    table = stored_customers(spark, sf_dir)
     medians = transforms.fit_quantiles(transforms.train_rows(table), list(CUSTOMERS.winsorised), [0.5])
     filled = table.withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(m[0])) for c, m in medians.items()}
@@ -66,13 +73,13 @@ def winsor_bounds(spark, sf_dir):
     stmt("engz", f"SELECT ID, split, name, {r('value', 'value')} FROM engz"),
 )
 def customer_prepared(spark, sf_dir):
-    wide, names, _, _ = transforms.prepare_customers(split_customers(spark, sf_dir), CUSTOMERS)
+    wide, names, _, _ = transforms.prepare_customers(stored_customers(spark, sf_dir), CUSTOMERS)
     return to_long(wide, ["ID", "split"], names)
 
 
 @query("customer_one_hot", stmt("hot", f"SELECT ID, split, name, {r('value', 'value')} FROM hot"))
 def customer_one_hot(spark, sf_dir):
-    table = split_customers(spark, sf_dir)
+    table = stored_customers(spark, sf_dir)
     hot = transforms.one_hot_columns(transforms.fit_levels(table, list(CUSTOMERS.categorical)))
     return to_long(table.withColumns(hot), ["ID", "split"], list(hot))
 
@@ -88,7 +95,7 @@ def customer_one_hot(spark, sf_dir):
     ),
 )
 def customer_constructs(spark, sf_dir):
-    frame, names = constructs.customer_constructs(split_customers(spark, sf_dir), CUSTOMERS)
+    frame, names = constructs.customer_constructs(stored_customers(spark, sf_dir), CUSTOMERS)
     frame, _ = constructs.standardised(frame, names)
     cells = F.array(
         *[F.struct(F.lit(n).alias("name"), F.col(n).alias("raw"), F.col(f"c_{n}").alias("z")) for n in names]

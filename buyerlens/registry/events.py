@@ -13,6 +13,7 @@ from buyerlens.operators import user_table as ut
 from buyerlens.plans.ordered import keyed_sample
 from buyerlens.registry.base import EVENTS, SEED, query
 from buyerlens.registry.sqlparts import BASE, CONSTRUCTS, FEATURES, SHARES, TOPS, r, stmt
+from buyerlens.session import materialise
 from buyerlens.sources.events import log_from_events, parse_event_time
 
 CAPPED = replace(EVENTS, top_categories=5)
@@ -30,8 +31,13 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.hashed_split(coded, "user_id", SEED)
 
 
+def stored_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for the several passes of a fit and its use."""
+    return materialise(split_table(spark, sf_dir))
+
+
 def features_of(table: DataFrame) -> list[str]:
-    return [c for c in ut.feature_columns(table) if c != "split"]
+    return [c for c in ut.feature_columns(table) if c != "split"]  # label_* are out by prefix
 
 
 @query(
@@ -360,7 +366,7 @@ def train_moments(spark, sf_dir):
 
 def prepared_users(spark: SparkSession, sf_dir: str) -> transforms.Prepared:
     """Scaled features next to ids, split and labels."""
-    table = split_table(spark, sf_dir).cache()
+    table = stored_split_table(spark, sf_dir)
     names = features_of(table)
     scaler = transforms.fit_scaler(table, names)
     cols = F.array(*[scaler.column(c) for c in names]).alias("features")
@@ -383,7 +389,7 @@ def prepared_users(spark: SparkSession, sf_dir: str) -> transforms.Prepared:
     stmt("utz", f"SELECT user_id, split, name, {r('z', 'z')} FROM utz"),
 )
 def scaled_features(spark, sf_dir):
-    table = split_table(spark, sf_dir)
+    table = stored_split_table(spark, sf_dir)
     names = features_of(table)
     scaled = transforms.fit_scaler(table, names).apply(table, names)
     return to_long(scaled, ["user_id", "split"], names, "name", "z")
@@ -446,7 +452,7 @@ def rfm_representation(spark, sf_dir):
     stmt("ucz", f"SELECT user_id, split, name, {r('value', 'raw')}, {r('z', 'z')} FROM ucz"),
 )
 def user_constructs(spark, sf_dir):
-    frame, names = constructs.user_constructs(split_table(spark, sf_dir))
+    frame, names = constructs.user_constructs(stored_split_table(spark, sf_dir))
     frame, _ = constructs.standardised(frame, names)
     cells = F.array(
         *[F.struct(F.lit(n).alias("name"), F.col(n).alias("raw"), F.col(f"c_{n}").alias("z")) for n in names]
@@ -493,7 +499,7 @@ def stability_sample(spark, sf_dir):
     ),
 )
 def inverse_standardise(spark, sf_dir):
-    table = split_table(spark, sf_dir)
+    table = stored_split_table(spark, sf_dir)
     names = features_of(table)
     scaler = transforms.fit_scaler(table, names)
     test = scaler.apply(table.where(F.col("split") == "test"), names)

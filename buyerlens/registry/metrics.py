@@ -11,6 +11,7 @@ from buyerlens.operators import ranking, stability
 from buyerlens.registry.base import query
 from buyerlens.registry.events import split_table
 from buyerlens.registry.sqlparts import part, r, stmt
+from buyerlens.session import materialise
 
 SAMPLE = 200
 Z_DIMS = 6
@@ -40,7 +41,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in ("quality", "toxic")
         for h, s in heads.items()
     ]
-    return rows.select("doc_id", F.inline(F.array(*cells)))
+    return materialise(rows.select("doc_id", F.inline(F.array(*cells))))
 
 
 part(
@@ -298,11 +299,12 @@ def construct_r2_summary(spark, sf_dir):
 def codes_and_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six code dimensions and four factors: mixed, squared, heavily tied, constant."""
     e = F.col("features")
-    return embeddings(spark, sf_dir).select(
+    coded = embeddings(spark, sf_dir).select(
         "id",
         F.slice("features", 1, Z_DIMS).alias("z"),
         F.array(e[0] + e[6] * 0.5, e[1] * e[1], F.floor(e[2] * 10).cast("double"), e[0] * 0.0 + 1.0).alias("v"),
     )
+    return materialise(coded)
 
 
 _PROBS = "[" + ", ".join(repr(i * (1.0 / 20)) for i in range(1, 20)) + "]"
@@ -438,7 +440,7 @@ FROM mig JOIN sap USING (factor) JOIN ax USING (factor)""",
     ),
 )
 def interpretability_summary(spark, sf_dir):
-    return interp.summary(codes_and_factors(spark, sf_dir).cache())
+    return interp.summary(codes_and_factors(spark, sf_dir))
 
 
 @query(
@@ -449,7 +451,7 @@ def interpretability_summary(spark, sf_dir):
     ),
 )
 def interpretability_overall(spark, sf_dir):
-    return interp.overall(interp.summary(codes_and_factors(spark, sf_dir).cache()))
+    return interp.overall(interp.summary(codes_and_factors(spark, sf_dir)))
 
 
 def seed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh one only where none is named."""
+    """The cluster's shared checkpoint folder; a fresh local one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="buyerlens-")
         spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+
+    What follows starts from files that outlive executors, reads only the columns it needs, and
+    is planned without the history of ``df``.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/buyerlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
