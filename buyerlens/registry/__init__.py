@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("events", "customers", "metrics")
+MODULES = ("events", "customers", "metrics", "records")
 
 
 def load() -> tuple[dict, dict]:

@@ -457,21 +457,14 @@ def interpretability_overall(spark, sf_dir):
 def seed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of every vector per grid point, cluster number and seed: the place of the
     largest value in a run of dimensions that starts at a point given by all three."""
-    cells = []
-    for beta, lam in GRID:
-        for k in SIZES:
-            for seed in SEEDS:
-                run = F.slice("features", 1 + int(4 * beta) + int(2 * lam) + seed, k)
-                cells.append(
-                    F.struct(
-                        F.lit(beta).alias("beta"),
-                        F.lit(lam).alias("lambda_align"),
-                        F.lit(k).alias("k"),
-                        F.lit(seed).alias("seed"),
-                        (F.array_position(run, F.array_max(run)) - 1).cast("int").alias("cluster"),
-                    )
-                )
-    return embeddings(spark, sf_dir).select("id", "label", F.inline(F.array(*cells)))
+    points = F.array(*[F.struct(F.lit(b).alias("beta"), F.lit(v).alias("lambda_align")) for b, v in GRID])
+    rows = embeddings(spark, sf_dir).select("*", F.inline(points))
+    for name, values in {"k": SIZES, "seed": SEEDS}.items():
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    start = (1 + 4 * F.col("beta") + 2 * F.col("lambda_align") + F.col("seed")).cast("int")
+    rows = rows.withColumn("run", F.slice("features", start, F.col("k")))
+    place = (F.array_position("run", F.array_max("run")) - 1).cast("int").alias("cluster")
+    return rows.select("id", "label", "beta", "lambda_align", "k", "seed", place)
 
 
 part(
