@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 FAN_IN = 32
 
@@ -85,24 +86,44 @@ def partitions_of(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
-def map_features(
+def arrow_column(values: np.ndarray) -> pa.Array:
+    """A vector or matrix as an Arrow column."""
+    return array_column(values) if values.ndim == 2 else pa.array(values)
+
+
+def map_batches(
     df: DataFrame,
-    keep: list[str],
-    fn: Callable[[np.ndarray], np.ndarray],
-    out: str,
-    features: str = "features",
+    keep: Sequence[str],
+    inputs: Sequence[str],
+    fn: Callable[[pa.RecordBatch], dict[str, np.ndarray]],
+    outputs: dict[str, str],
 ) -> DataFrame:
-    """Add an array column computed batch-wise from the feature matrix."""
-    cols = list(dict.fromkeys([*keep, features]))
-    base = df.select(*cols)
-    schema = base.select(*keep).schema.add(out, "array<double>")
+    """Add columns computed batch-wise by NumPy; ``outputs`` maps names to Spark types."""
+    keep = list(keep)
+    base = df.select(*dict.fromkeys([*keep, *inputs]))
+    schema = base.select(*keep).schema
+    for name, kind in outputs.items():
+        schema = schema.add(T.StructType.fromDDL(f"{name} {kind}")[0])
+    names = [*keep, *outputs]
 
     def apply(batches):
         for batch in batches:
             if batch.num_rows:
+                found = fn(batch)
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                res = array_column(fn(matrix(batch, features)))
-                yield pa.RecordBatch.from_arrays([*kept, res], [*keep, out])
+                new = [arrow_column(found[c]) for c in outputs]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names)
 
     return base.mapInArrow(apply, schema)
 
+
+def map_features(
+    df: DataFrame,
+    keep: Sequence[str],
+    fn: Callable[[np.ndarray], np.ndarray],
+    out: str,
+    features: str = "features",
+    kind: str = "array<double>",
+) -> DataFrame:
+    """Add one column computed batch-wise from the feature matrix."""
+    return map_batches(df, keep, [features], lambda b: {out: fn(matrix(b, features))}, {out: kind})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("events", "customers", "metrics", "records")
+MODULES = ("events", "customers", "metrics", "records", "representations")
 
 
 def load() -> tuple[dict, dict]:

@@ -48,9 +48,9 @@ def read_sweep_records(spark: SparkSession, path: str, multi_line: bool = False)
             raise FileNotFoundError(f"no records in {path}; run the sweep first") from err
         raise
     marked = raw.withColumn("_file", F.input_file_name())
-    broken = marked.where(F.col("_corrupt").isNotNull()).select("_file").distinct().limit(20).collect()
+    broken = marked.where(F.col("_corrupt").isNotNull()).select("_file", "dataset").limit(20).collect()
     if broken:
-        names = ", ".join(sorted(r["_file"] for r in broken))
+        names = ", ".join(sorted({r["_file"] for r in broken}))
         raise ValueError(f"corrupt records, delete and run again: {names}")
     if marked.isEmpty():
         raise FileNotFoundError(f"no records in {path}; run the sweep first")
