@@ -89,7 +89,10 @@ def multiclass_metrics(
     top_ks: Sequence[int] = (1, 3, 5),
     n_classes: int | None = None,
 ) -> DataFrame:
-    """Top-k accuracy, macro one-vs-rest AUC, majority rate and class count per group."""
+    """Top-k accuracy, macro one-vs-rest AUC, majority rate and class count per group.
+
+    A class outside the probability row is never a hit, however large k is.
+    """
     by = list(by)
     kept = scored.where(F.col(label).isNotNull()).withColumn("_rank", true_class_rank(proba, label))
     size = F.size(proba) if n_classes is None else F.lit(n_classes)
@@ -99,7 +102,7 @@ def multiclass_metrics(
         .agg(
             F.count("*").alias("_n"),
             F.max(size).alias("_size"),
-            *[F.count_if(F.col("_rank") < k).alias(f"_hit_{k}") for k in top_ks],
+            *[F.count_if(known & (F.col("_rank") < k)).alias(f"_hit_{k}") for k in top_ks],
         )
         .groupBy(*by)
         .agg(

@@ -178,7 +178,7 @@ def construct_predictions(spark, sf_dir):
     return _long(construct_vae.predict_constructs(b.frame, _vae(b), ["id"]), "predicted")
 
 
-@query("beta_vae_ablation")
+@query("beta_vae_ablation", stmt("ut", "SELECT user_id AS id, CAST(8 AS INT) AS dims, true AS no_head FROM ut"))
 def beta_vae_ablation(spark, sf_dir):
     b = bench(spark, sf_dir)
     model = _vae(b, lambda_align=0.0)
