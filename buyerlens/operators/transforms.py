@@ -67,6 +67,9 @@ class Scaler:
     def inverse(self, name: str, z: Column) -> Column:
         return z * self.scale[name] + self.mean[name]
 
+    def only(self, names: list[str]) -> Scaler:
+        return Scaler({n: self.mean[n] for n in names}, {n: self.scale[n] for n in names})
+
     def apply(self, df: DataFrame, columns: list[str]) -> DataFrame:
         return df.withColumns({c: self.column(c) for c in columns})
 

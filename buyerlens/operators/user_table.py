@@ -100,12 +100,17 @@ def vocabulary_names(log: DataFrame, cfg: EventConfig) -> list[str]:
 
 
 def category_lookup(log: DataFrame) -> DataFrame:
-    """Category id to top-level name, from every row that has both."""
-    return (
+    """Category id to top-level name, from every row that has both.
+
+    Pairs are counted first: counts are hashed, while a minimum of strings sorts its input.
+    """
+    pairs = (
         log.where(F.col("top_cat").isNotNull())
-        .groupBy("category_id")
-        .agg(F.min("top_cat").alias("top_cat_lookup"))
+        .groupBy("category_id", "top_cat")
+        .agg(F.count("*").alias("n"))
+        .where("n > 0")
     )
+    return pairs.groupBy("category_id").agg(F.min("top_cat").alias("top_cat_lookup"))
 
 
 def has_other(vocab: list[str], cfg: EventConfig) -> bool:
@@ -129,11 +134,12 @@ def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFra
 
     Distinct sessions become plain counts of these rows, and distinct days a bit mask over the
     days of the window, so no aggregate needs the row expansion of several DISTINCTs, and a
-    user with very many events is summed in many tasks.
+    user with very many events is summed in many tasks. Every buffer is a number or a flag, so
+    the sums are hashed, never sorted.
     """
     flags = window_flags(cfg)
     rows = between(log, cfg.feature_start, after_label(cfg)).select(
-        "user_id", "user_session", "ts", "price", "product_id", "category_id", "top_cat",
+        "user_id", "user_session", "ts", "price", "top_cat",
         *[c.alias(n) for n, c in flags.items()],
     )
     feat = F.col("in_feat")
@@ -149,15 +155,13 @@ def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFra
         ).alias(f"days_{w}")
         for w in range(_day_words(cfg))
     ]
-    second = epoch_second("ts")
-    first = F.struct(second.alias("second"), F.col("product_id"), F.col("category_id"))
     return rows.groupBy("user_id", "user_session").agg(
         F.count_if(feat).alias("n_events"),
         F.count_if(view).alias("n_views"),
         F.count_if(cart).alias("n_carts"),
         F.count_if(purch).alias("n_purch"),
         *masks,
-        F.max(F.when(feat, second)).alias("last_second"),
+        F.max(F.when(feat, epoch_second("ts"))).alias("last_second"),
         F.sum(F.when(purch, F.col("price"))).alias("purch_sum"),
         F.count(F.when(purch, F.col("price"))).alias("purch_n"),
         F.max(F.when(purch, F.col("price"))).alias("purch_max"),
@@ -165,7 +169,6 @@ def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFra
         F.count(F.when(view, F.col("price"))).alias("view_n"),
         F.bool_or(F.coalesce(bought, F.lit(False))).alias("label_purchase"),
         F.bool_or(F.coalesce(F.col("in_label"), F.lit(False))).alias("label_any_event"),
-        F.min(F.when(bought & F.col("category_id").isNotNull(), first)).alias("next_purchase"),
         *[F.count_if(feat & (F.col("top_cat") == c)).alias(f"{COUNT}{c}") for c in vocab],
         F.count_if(feat & F.col("top_cat").isNull()).alias(f"{COUNT}{UNKNOWN}"),
     )
@@ -187,7 +190,6 @@ def user_aggregates(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataF
         F.sum("view_sum").alias("view_sum"),
         F.bool_or("label_purchase").alias("label_purchase"),
         F.bool_or("label_any_event").alias("label_any_event"),
-        F.min("next_purchase").alias("next_purchase"),
     )
     days = sum((F.coalesce(F.bit_count(m), F.lit(0)) for m in masks), F.lit(0))
     return (
@@ -221,10 +223,32 @@ def derived_columns(cfg: EventConfig, vocab: list[str]) -> dict[str, Column]:
     return cols
 
 
-def with_next_category(users: DataFrame, log: DataFrame) -> DataFrame:
-    """Decode the first label-window purchase; undecodable ones read ``unknown``."""
-    keyed = users.withColumn("category_id", F.col("next_purchase.category_id"))
-    decoded = salted_lookup(keyed, category_lookup(log), "category_id", "user_id")
+def next_purchases(log: DataFrame, cfg: EventConfig) -> DataFrame:
+    """``(user_id, category_id)`` of the first label-window purchase that has a category.
+
+    Order is time in whole seconds, then product. Only label-window purchases are read here, so
+    the ordered minimum, which Spark sorts for, sees a small part of the log.
+    """
+    flags = window_flags(cfg)
+    bought = between(log, cfg.label_start, after_label(cfg)).where(
+        flags["is_purch"] & F.col("category_id").isNotNull()
+    )
+    first = F.struct(epoch_second("ts").alias("second"), F.col("product_id"), F.col("category_id"))
+    return (
+        bought.groupBy("user_id")
+        .agg(F.min(first).alias("first"))
+        .select("user_id", F.col("first.category_id").alias("category_id"))
+    )
+
+
+def with_next_category(users: DataFrame, log: DataFrame, cfg: EventConfig) -> DataFrame:
+    """Decode the first label-window purchase; undecodable ones read ``unknown``.
+
+    Only purchasers meet the lookup; the result joins the users on the key both are already
+    partitioned by.
+    """
+    named = salted_lookup(next_purchases(log, cfg), category_lookup(log), "category_id", "user_id")
+    decoded = users.join(named.select("user_id", "top_cat_lookup"), "user_id", "left")
     return decoded.withColumn(
         "label_next_cat",
         F.when(F.col("label_purchase"), F.coalesce("top_cat_lookup", F.lit(UNKNOWN))),
@@ -235,7 +259,7 @@ def build_user_table(log: DataFrame, cfg: EventConfig, vocab: list[str] | None =
     """One row per user of the universe: features, shares and labels."""
     vocab = vocabulary_names(log, cfg) if vocab is None else vocab
     users = user_aggregates(log, cfg, vocab).withColumns(derived_columns(cfg, vocab))
-    users = with_next_category(users, log).withColumn("label_churned", ~F.col("label_any_event"))
+    users = with_next_category(users, log, cfg).withColumn("label_churned", ~F.col("label_any_event"))
     return users.select("user_id", *BASE_COLUMNS, *share_columns(vocab, cfg), *LABEL_COLUMNS)
 
 

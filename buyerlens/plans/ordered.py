@@ -8,27 +8,37 @@ keyed on (group, bucket), and what precedes the bucket comes from one row per bu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buyerlens.functions.keyed import digest, hex_prefix
 
-BUCKETS = 64
+STEP = 8
+BUCKETS = STEP * STEP
 ACCURACY = 10_000
 
 
-def cut_by_value(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
+def cut_by_value(df: DataFrame, order: str) -> DataFrame:
     """Add ``_bucket``: index of the value range a row falls in, ranges equally full.
 
-    The edges are one row of at most ``buckets`` doubles, read as a scalar subquery.
+    The 63 edges are one row, read as a scalar subquery. A row finds its range by comparing
+    with every eighth edge and then with the seven between, all in generated code.
     """
-    probs = [i / buckets for i in range(1, buckets)]
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = df.agg(F.percentile_approx(order, probs, ACCURACY).alias("e")).scalar()
+    x = F.col(order)
+
+    def above(places) -> Column:
+        return reduce(add, [(x > F.get("_edges", p)).cast("int") for p in places])
+
     return (
         df.withColumn("_edges", edges)
-        .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order))))
-        .drop("_edges")
+        .withColumn("_coarse", above([F.lit(STEP * j - 1) for j in range(1, STEP)]) * STEP)
+        .withColumn("_bucket", F.col("_coarse") + above([F.col("_coarse") + j for j in range(STEP - 1)]))
+        .drop("_edges", "_coarse")
     )
 
 
@@ -67,8 +77,9 @@ def running_totals(
         .orderBy(*[direction(c) for c in order_cols])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    # every bucket has its offset; a left join spares a null test that would repeat the subquery
     return (
-        cut.join(offsets, keys)
+        cut.join(offsets, keys, "left")
         .withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.sum(c).over(inside) for c in totals})
         .drop("_bucket", *[f"_off_{c}" for c in totals])
     )
@@ -134,8 +145,13 @@ def exact_quantiles(
         place = (F.col("all_n") - 1) * t["prob"]
         return F.struct(t["k"], t["prob"], place.alias("_h"), F.floor(place).alias("_lo"))
 
+    def near(p: float) -> Column:
+        low = F.floor((F.col("all_n") - 1) * float(p))
+        return (low + 1 >= first) & (low <= last)
+
     hits = (
-        placed.withColumn(
+        placed.where(reduce(or_, [near(p) for p in probs]))
+        .withColumn(
             "_t",
             F.filter(
                 F.transform(wanted, target),

@@ -198,7 +198,7 @@ def label_flags(spark, sf_dir):
 def next_category(spark, sf_dir):
     log = log_from_events(spark, sf_dir)
     vocab = ut.vocabulary_names(log, EVENTS)
-    users = ut.with_next_category(ut.user_aggregates(log, EVENTS, vocab), log)
+    users = ut.with_next_category(ut.user_aggregates(log, EVENTS, vocab), log, EVENTS)
     classes = ut.next_category_classes(ut.share_columns(vocab, EVENTS))
     return users.where("label_purchase").select(
         "user_id", "label_next_cat", ut.class_code("label_next_cat", classes).alias("code")
@@ -368,15 +368,15 @@ def prepared_users(spark: SparkSession, sf_dir: str) -> transforms.Prepared:
     """Scaled features next to ids, split and labels."""
     table = stored_split_table(spark, sf_dir)
     names = features_of(table)
-    scaler = transforms.fit_scaler(table, names)
-    cols = F.array(*[scaler.column(c) for c in names]).alias("features")
     frame, cons = constructs.user_constructs(table)
-    frame, cscaler = constructs.standardised(frame, cons)
+    both = transforms.fit_scaler(frame, [*names, *cons])
+    scaler, cscaler = both.only(names), both.only(cons)
+    cols = F.array(*[scaler.column(c) for c in names]).alias("features")
     frame = frame.select(
         F.col("user_id").alias("id"),
         "split",
         cols,
-        F.array(*[F.col(f"c_{c}") for c in cons]).alias("constructs"),
+        F.array(*[cscaler.column(c) for c in cons]).alias("constructs"),
         F.col("label_purchase").cast("int").alias("y_primary"),
         F.col("label_churned").cast("int").alias("y_churned"),
         F.col("label_next_code").cast("int").alias("y_next_category"),
