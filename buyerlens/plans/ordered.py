@@ -16,30 +16,31 @@ from pyspark.sql import functions as F
 
 from buyerlens.functions.keyed import digest, hex_prefix
 
-STEP = 8
+STEP = 32
 BUCKETS = STEP * STEP
 ACCURACY = 10_000
+PLAIN_ROWS = 100_000  # up to here one task may hold a whole group
 
 
-def cut_by_value(df: DataFrame, order: str) -> DataFrame:
-    """Add ``_bucket``: index of the value range a row falls in, ranges equally full.
+def value_edges(df: DataFrame, order: str) -> list[float] | None:
+    """Edges of ``BUCKETS`` equally full value ranges; None if the frame is small.
 
-    The 63 edges are one row, read as a scalar subquery. A row finds its range by comparing
-    with every eighth edge and then with the seven between, all in generated code.
+    One pass; the driver receives 1,023 numbers and a count.
     """
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = df.agg(F.percentile_approx(order, probs, ACCURACY).alias("e")).scalar()
-    x = F.col(order)
+    found = df.agg(
+        F.count("*").alias("n"), F.percentile_approx(order, probs, ACCURACY).alias("edges")
+    ).first()
+    return None if found["n"] <= PLAIN_ROWS else list(found["edges"])
 
-    def above(places) -> Column:
-        return reduce(add, [(x > F.get("_edges", p)).cast("int") for p in places])
 
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn("_coarse", above([F.lit(STEP * j - 1) for j in range(1, STEP)]) * STEP)
-        .withColumn("_bucket", F.col("_coarse") + above([F.col("_coarse") + j for j in range(STEP - 1)]))
-        .drop("_edges", "_coarse")
-    )
+def value_bucket(order: str, edges: list[float]) -> tuple[Column, Column]:
+    """Coarse place and number of edges below the value: by every 32nd edge, then by the 31 between, all in
+    generated code."""
+    x, table = F.col(order), F.lit(edges)
+    coarse = reduce(add, [(x > F.lit(edges[STEP * j - 1])).cast("int") for j in range(1, STEP)])
+    fine = [(x > F.get(table, F.col("_coarse") + j)).cast("int") for j in range(STEP - 1)]
+    return coarse, F.col("_coarse") + reduce(add, fine)
 
 
 def running_totals(
@@ -54,32 +55,43 @@ def running_totals(
     ``all_<c>``, its total over the group.
 
     Without ``bucketed`` the frame must hold one row per (by, order), so that equal values
-    never crowd one bucket; with it the frame brings its own ordered ``_bucket``.
+    never crowd one range; its size is measured first, and small frames take one window per
+    group. With ``bucketed`` the frame brings its own ordered ``_bucket``.
     """
     order_cols = [order] if isinstance(order, str) else list(order)
-    cut = df if bucketed else cut_by_value(df, order_cols[0])
-    keys = [*by, "_bucket"]
     direction = F.desc if descending else F.asc
-    heads = cut.groupBy(*keys).agg(*[F.sum(c).alias(f"_in_{c}") for c in totals])
-    before = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy(direction("_bucket"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    group = list(by) or [F.lit(0)]
+
+    def upto(keys, cols, end):
+        return (
+            Window.partitionBy(*keys)
+            .orderBy(*[direction(c) for c in cols])
+            .rowsBetween(Window.unboundedPreceding, end)
+        )
+
+    if not bucketed:
+        edges = value_edges(df, order_cols[0])
+        if edges is None:
+            inside, whole = upto(group, order_cols, 0), Window.partitionBy(*group)
+            return df.withColumns(
+                {
+                    **{f"cum_{c}": F.sum(c).over(inside) for c in totals},
+                    **{f"all_{c}": F.sum(c).over(whole) for c in totals},
+                }
+            )
+        coarse, bucket = value_bucket(order_cols[0], edges)
+        df = df.withColumn("_coarse", STEP * coarse).withColumn("_bucket", bucket).drop("_coarse")
+    keys = [*by, "_bucket"]
+    heads = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_in_{c}") for c in totals])
+    before, whole = upto(group, ["_bucket"], -1), Window.partitionBy(*group)
     offsets = heads.select(
         *keys,
         *[F.coalesce(F.sum(f"_in_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in totals],
         *[F.sum(f"_in_{c}").over(whole).alias(f"all_{c}") for c in totals],
     )
-    inside = (
-        Window.partitionBy(*keys)
-        .orderBy(*[direction(c) for c in order_cols])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # every bucket has its offset; a left join spares a null test that would repeat the subquery
+    inside = upto(keys, order_cols, 0)
     return (
-        cut.join(offsets, keys, "left")
+        df.join(offsets, keys)
         .withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.sum(c).over(inside) for c in totals})
         .drop("_bucket", *[f"_off_{c}" for c in totals])
     )
@@ -182,7 +194,6 @@ def median_of(long: DataFrame, by: Sequence[str] = ("name",), value: str = "valu
 
 
 __all__ = [
-    "cut_by_value",
     "exact_quantiles",
     "keyed_rank",
     "keyed_sample",

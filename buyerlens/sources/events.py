@@ -34,14 +34,14 @@ def read_csv_log(spark: SparkSession, files: list[str]) -> DataFrame:
     return with_derived(raw.withColumn("ts", parse_event_time("event_time")))
 
 
-def write_log(log: DataFrame, path: str, spread: int = 16) -> str:
+def write_log(log: DataFrame, path: str) -> str:
     """Typed copy partitioned by day, so that later window filters skip whole folders.
 
-    A busy day is spread over ``spread`` tasks by user.
+    Rebalancing splits a day, or a user, that holds much of the log and merges small ones.
     """
     dated = log.withColumn("event_date", F.to_date("ts"))
     (
-        dated.repartition(F.col("event_date"), F.pmod(F.xxhash64("user_id"), F.lit(spread)))
+        dated.hint("rebalance", F.col("event_date"))
         .write.mode("overwrite")
         .partitionBy("event_date")
         .parquet(path)

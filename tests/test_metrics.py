@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from buyerlens.operators import clustering_quality as quality
 from buyerlens.operators import interpretability as interp
 from buyerlens.operators import ranking, stability
+from buyerlens.plans import ordered
 
 
 def brute_binary(y, s, k_frac=0.1):
@@ -18,8 +19,10 @@ def brute_binary(y, s, k_frac=0.1):
     return auc, ap, hits / n
 
 
-@pytest.mark.parametrize("ties", [0, 1, 6])
-def test_binary_metrics_match_brute_force(spark, ties):
+@pytest.mark.parametrize("plain_rows", [ordered.PLAIN_ROWS, 0])
+@pytest.mark.parametrize("ties", [0, 6])
+def test_binary_metrics_match_brute_force(spark, ties, plain_rows, monkeypatch):
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain_rows)
     rng = np.random.default_rng(ties)
     y = (rng.random(215) < 0.3).astype(int)
     s = np.round(rng.normal(size=215) + y, ties)

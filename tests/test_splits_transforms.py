@@ -6,6 +6,7 @@ from buyerlens.config import CustomerConfig
 from buyerlens.functions.frames import to_long
 from buyerlens.operators import constructs, splits, transforms
 from buyerlens.operators.customers import engineer
+from buyerlens.plans import ordered
 from buyerlens.plans.lookups import salted_lookup
 from buyerlens.plans.ordered import exact_quantiles, keyed_rank, keyed_sample, running_totals
 from buyerlens.sources.customers import CUSTOMER_SCHEMA, read_delimited
@@ -87,8 +88,15 @@ def test_zero_deviation_scales_by_one(spark):
         transforms.fit_scaler(df.withColumn("split", F.lit("test")), ["x"])
 
 
+@pytest.fixture(params=["one window", "ranges"])
+def ranges(request, monkeypatch):
+    """Both ways through ordered work: small frames and cut ones."""
+    if request.param == "ranges":
+        monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
-def test_quantiles_match_numpy(spark, seed):
+def test_quantiles_match_numpy(spark, seed, ranges):
     rng = np.random.default_rng(seed)
     x = np.round(rng.exponential(3, 1_003), seed)  # heavy ties for seed 0
     x[: len(x) // 3] = 0.0
@@ -101,7 +109,7 @@ def test_quantiles_match_numpy(spark, seed):
             assert got[(name, p)] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
-def test_running_totals_both_ways(spark):
+def test_running_totals_both_ways(spark, ranges):
     df = spark.createDataFrame([(g, float(i), i % 5 + 1) for g in "ab" for i in range(300)], "g string, x double, n bigint")
     for down in (False, True):
         rows = running_totals(df, "x", ["n"], ["g"], descending=down).where("g = 'a'").collect()
