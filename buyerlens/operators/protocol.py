@@ -56,6 +56,13 @@ class Bench:
     def keep(self) -> list[str]:
         return ["id", "split", *[label for label, _ in self.tasks.values()]]
 
+    def train_part(self, frame: DataFrame) -> DataFrame:
+        """Training rows of a representation, after the subsample where there is one."""
+        rows = frame.where("split = 'train'")
+        if self.cfg.train_subsample is None:
+            return rows
+        return rows.join(self.train.select("id"), "id", "left_semi")
+
     def autoencoder(self):
         return self.once("ae", lambda: fit_autoencoder(self.train, self.model, self.seed))
 
@@ -171,7 +178,7 @@ def evaluate_baselines(bench: Bench) -> DataFrame:
     for method in chosen_methods(bench.cfg):
         rep = METHODS[method](bench)
         frame = materialise(rep.frame)
-        train = frame.where("split = 'train'").join(bench.train.select("id"), "id", "left_semi")
+        train = bench.train_part(frame)
         found = heads.head_metrics(frame, "r", bench.tasks, bench.cfg, bench.seed, train)
         found = found.where("split = 'test'").drop("split")
         if rep.clustering is not None:
@@ -204,7 +211,7 @@ def run_point(bench: Bench, beta: float, lambda_align: float) -> tuple[dict, con
     coded = materialise(
         construct_vae.encode(bench.frame, model, [*bench.keep, "constructs", "features"], "z")
     )
-    train = coded.where("split = 'train'").join(bench.train.select("id"), "id", "left_semi")
+    train = bench.train_part(coded)
     scored = heads.head_metrics(coded, "z", bench.tasks, bench.cfg, bench.seed, train).collect()
     test = coded.where("split = 'test'")
     per_factor = {

@@ -124,6 +124,7 @@ def test_window_filter_reaches_the_scan(spark):
     log = log_from_events(spark, "/root/testdata/sf0.001")
     plan = ut.user_aggregates(log, EVENTS, ["top1"])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-01T00:00)" in plan
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
     assert "Expand" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
