@@ -47,9 +47,17 @@ def stratified_split(
 
 def split_checks(split: DataFrame, universe: DataFrame, id_column: str) -> DataFrame:
     """Per split: its rows, ids also held by another split, ids outside the universe;
-    and on every row the ids of the universe that no split holds."""
-    held = split.groupBy(id_column).agg(
-        F.count_distinct("split").alias("homes"), F.min("split").alias("split")
+    and on every row the ids of the universe that no split holds.
+
+    An id's splits are a bit mask, so the check is one hashed sum per id.
+    """
+    bit = F.when(F.col("split") == SPLITS[0], 1).when(F.col("split") == SPLITS[1], 2).otherwise(4)
+    mask = F.col("homes_mask")
+    first = F.when(mask.bitwiseAND(1) > 0, SPLITS[0]).when(mask.bitwiseAND(2) > 0, SPLITS[1])
+    held = (
+        split.groupBy(id_column)
+        .agg(F.bit_or(bit).alias("homes_mask"))
+        .select(id_column, F.bit_count(mask).alias("homes"), first.otherwise(SPLITS[2]).alias("split"))
     )
     ids = universe.select(id_column).distinct().withColumn("known", F.lit(True))
     both = held.join(ids, id_column, "full")

@@ -55,8 +55,11 @@ def test_hashed_split_laws(spark):
     assert sum(r["n"] for r in checks.values()) == 5_000
     assert all(r["shared"] == r["outside"] == r["missing"] == 0 for r in checks.values())
     assert abs(checks["train"]["n"] / 5_000 - 0.6) < 0.03
-    bad = out.unionByName(out.limit(1).withColumn("split", F.lit("val")))
-    assert splits.split_checks(bad, users, "user_id").agg(F.sum("shared")).first()[0] <= 1
+    twice = out.where("split = 'train'").orderBy("user_id").limit(1).withColumn("split", F.lit("val"))
+    bad = splits.split_checks(out.unionByName(twice), users.where("user_id < 4990"), "user_id").collect()
+    assert sum(r["shared"] for r in bad) == 1 and sum(r["outside"] for r in bad) == 10
+    lacking = splits.split_checks(out.where("user_id >= 7"), users, "user_id").first()
+    assert lacking["missing"] == 7
 
 
 def test_held_out_rows_cannot_move_train_fits(customers):
