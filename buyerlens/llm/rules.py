@@ -20,7 +20,7 @@ from buyerlens.llm.text import learnable, let, words
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-THRESHOLD = -0.1
+THRESHOLD = -0.05
 TRUSTED_ROWS = 20_000  # most trusted documents; their ids are sent to every task
 SEED = 7
 
