@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buyerlens.llm import lines, mixing, rules
+from buyerlens.llm import lines, mixing, repeats, rules, simhash
 from buyerlens.llm.text import table
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept_text=False)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -27,7 +35,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_substring_dedup, op5_line_dedup, op6_quality_rules, op9_mixing)}
 
 # Words of a text are found the same way in every statement.
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: str, chars: int) -> Itera
         column = batch.column(batch.schema.get_field_index(text_at))
         if batch.num_rows == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(lengths, dtype=np.int64) // chars
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
@@ -94,7 +95,7 @@ def per_chunk(
             raw = [b or b"" for b in part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()]
             made = function(raw)
             arrays = [part.column(i) for i in range(part.num_columns - 1)]
-            arrays += [pa.array(a, type=k, from_pandas=False) for a, k in zip(made, kinds)]
+            arrays += [a if isinstance(a, pa.Array) else pa.array(a, type=k) for a, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(run, schema)
@@ -110,3 +111,64 @@ def _arrow(kind: str) -> pa.DataType:
     if kind.startswith("struct<"):
         return pa.struct([(f.split(":")[0], _arrow(f.split(":")[1])) for f in kind[7:-1].split(",")])
     return plain[kind]
+
+
+# Odd constants of a 64-bit mix and of two polynomial hashes; any odd numbers would do.
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit bijection that spreads every input bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            table = np.full(size, b, dtype=np.uint64)
+            table[0] = 1
+            both.append(np.cumprod(table, dtype=np.uint64))
+        _POWERS[base] = (both[0], both[1])
+    return _POWERS[base]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit name of each span of values, equal for equal spans wherever they stand."""
+    up, down = powers(base, len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[ord(c) for c in SPACES]] = True
+_BYTE_NAMES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, starts and ends of their words, and where each text's words begin (one more for the end)."""
+    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    gap = _IS_SPACE[buf]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return buf, starts, ends, np.concatenate([[0], np.searchsorted(starts, at + 1, side="left")])
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of every word, and where each text's words begin."""
+    buf, starts, ends, first = word_spans(texts)
+    return span_hashes(_BYTE_NAMES[buf], starts, ends, BYTE_BASE), first
+
+
+def as_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """One list per row, from flat values and the rows' counts."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
