@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buyerlens.llm import lines, mixing, repeats, rules, simhash
+from buyerlens.llm import lines, mixing, quality, repeats, rules, simhash, toxicity
 from buyerlens.llm.text import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept_text=False)
 
@@ -35,7 +43,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_substring_dedup, op5_line_dedup, op6_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_simhash_near_dedup, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_quality_rules, op9_mixing)}
 
 # Words of a text are found the same way in every statement.
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"""
