@@ -84,7 +84,7 @@ def per_chunk(
     source = docs.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1]])
     for name, kind in outputs:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     kinds = [_arrow(kind) for _, kind in outputs]
     names = [*keep, *[n for n, _ in outputs]]
 
