@@ -9,7 +9,7 @@ functions only.
 Defined cases: a null text has no lines and stays null; an empty text is one line without tokens; lines
 with fewer than ``min_tokens`` tokens are never dropped; rows with one id are one document and lose the same
 templates, and rows with a null id together are one document, after all others; a row keeps all its lines of a
-template or none; an empty table gives no rows; other columns are carried along untouched.
+template or none; an empty table gives no rows; other columns are carried along as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buyerlens.llm.text import let, words
+from buyerlens.llm.text import carried, let, words
 
 DEPTH = 4
 SIMILARITY = 0.6
@@ -62,17 +62,17 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and ``_n_lines`` and ``_n_dropped`` added."""
+    """``(doc_id, text, n_lines, n_dropped, _row)``: texts without recurring lines, and the rows they come from."""
     drops = recurring(docs, min_docs, **tree)
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    joined = carried(docs).join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     lines = split_lines(F.col("text"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drops", template(x, **tree)), F.lit(False)))
     kept = F.when(F.col("_drops").isNull(), lines).otherwise(kept)
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)))
-        .withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long"))
-        .withColumn("_n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
-        .withColumn("text", F.array_join("_kept", "\n"))
-        .drop("_kept", "_drops")
+    none = F.col("text").isNull()
+    return joined.withColumn("_kept", kept).select(
+        "doc_id",
+        F.array_join("_kept", "\n").alias("text"),
+        F.when(none, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
+        "_row",
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buyerlens.llm.text import WORD_BASE, as_lists, held_out, learnable, mixed, per_chunk, piece_names
+from buyerlens.llm.text import WORD_BASE, as_lists, carried, held_out, learnable, mixed, per_chunk, piece_names
 
 BITS = 18
 LAGS = 6
@@ -148,3 +148,9 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
         return lambda texts: [score(texts, sent.value)]
 
     return per_chunk(docs, keep, "text", [("_score", "double")], make)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """``docs`` without the rows that score below ``cut``."""
+    rows = scored(carried(docs), train(docs, labels, "quality", sample_rows, seed), ["_row"])
+    return rows.where(F.col("_score") >= cut).select("_row.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buyerlens.llm import lines, mixing, quality, repeats, rules, simhash, toxicity
+from buyerlens.llm import (
+    contamination, language_model, licenses, lines, mixing, quality, repeats, rules, simhash, toxicity,
+)
 from buyerlens.llm.text import table
 
 
@@ -28,8 +30,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
@@ -37,14 +38,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source"
     )
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_simhash_near_dedup, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_quality_rules, op9_mixing)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_simhash_near_dedup, op3_quality_classifier, op4_substring_dedup, op5_line_dedup,
+        op6_quality_rules, op7_license_scan, op8_benchmark_decontamination, op9_mixing, op10_language_model,
+    )
+}
 
 # Words of a text are found the same way in every statement.
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buyerlens.llm.components import components
-from buyerlens.llm.text import per_chunk
+from buyerlens.llm.text import carried, per_chunk
 from buyerlens.session import materialise
 
 BITS = 3
@@ -62,9 +62,10 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = HASH_SE
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, _fp)`` with the fingerprint as a signed 64-bit number."""
+    """``(doc_id, _key, _fp)``: the id, a hash of the text, and the fingerprint as a signed 64-bit number."""
     return per_chunk(
-        docs, ["doc_id"], "text", [("_fp", "long")], lambda: lambda texts: [pa.array(fingerprints(texts).view(np.int64))]
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_key")), ["doc_id", "_key"], "text", [("_fp", "long")],
+        lambda: lambda texts: [pa.array(fingerprints(texts).view(np.int64))],
     )
 
 
@@ -160,8 +161,8 @@ def links(fps: DataFrame, longest: int = LONGEST) -> DataFrame:
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """``(doc_id, _key, _fp, component_id, _root)`` per row; the root is null for a fingerprint of one row without links."""
     rows = materialise(fingerprint_rows(docs))
     distinct = materialise(rows.groupBy("_fp").agg(F.min("doc_id").alias("_min"), F.count("*").alias("_n")))
     joined = components(materialise(links(distinct.select("_fp"))), "a", "b")
@@ -173,18 +174,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = (
         rooted.where("_n > 1 OR root IS NOT NULL")
         .join(smallest, F.col("_root") == F.col("_r"))
-        .select(F.col("_fp").alias("_named"), "component_id")
+        .select(F.col("_fp").alias("_named"), "component_id", "_root")
     )
     return rows.join(named, F.col("_fp") == F.col("_named"), "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
+        "doc_id", "_key", "_fp", "_root",
         F.when(F.col("_named").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``."""
+    return grouped(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one of its smallest id; of rows with that id, the first by text."""
-    groups = near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    keep = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    chosen = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return chosen
+    """``docs`` with one row of each component: the one of its smallest id (null last), then of its smallest text hash."""
+    rows = materialise(grouped(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_key").alias("k")))
+    chosen = (
+        rows.where("_root IS NOT NULL").groupBy("_root").agg(first.alias("f"))
+        .select(F.col("f.d").alias("_id"), F.col("f.k").alias("_k"))
+        .unionAll(rows.where("_root IS NULL").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")))
+    )
+    marked = carried(docs).withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    kept = marked.join(chosen, same, "left_semi")
+    # rows equal in id and text are one document: only those are compared again
+    again = rows.groupBy("doc_id", "_key").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("_key").alias("_k")
+    )
+    again = materialise(again.join(chosen, ["_k"], "left_semi"))
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionAll(
+            kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+        )
+    return kept.select("_row.*")

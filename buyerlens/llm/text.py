@@ -55,6 +55,11 @@ def learnable(labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
     )
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, _row)``: what operators work on, and the whole row, whose other columns may have any names."""
+    return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text_at: str, chars: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``chars`` bytes of text each; one long text is a slice of its own."""
     for batch in batches:
