@@ -171,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHARD, keep: tuple[
 
         return per_chunk(keyed, keep, "text", outputs, make)
 
-    keyed = docs.select("*", F.xxhash64("text").alias("_key"))
+    keyed = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.xxhash64("text").alias("_key"))
     if n == 1:
         return one_pass([*keep], 0)
     parts = [materialise(one_pass(["doc_id", "_key"], k).where("retrieved > 0").distinct()) for k in range(n)]

@@ -65,6 +65,34 @@ QUERIES = {
 }
 
 # Words of a text are found the same way in every statement.
-_WORDS = r"""list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"""
-
-ORACLE = {}
+_WORDS = r"""list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
+
+ORACLE = {
+    "op4_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+win AS (SELECT doc_id, i, list_slice(words, i, i + {repeats.WINDOW - 1}) AS k
+        FROM d, UNNEST(range(1, len(words) - {repeats.WINDOW - 2})) AS t(i)),
+first AS (SELECT k, min(doc_id) AS earliest FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN first USING (k), UNNEST(range(0, {repeats.WINDOW})) AS u(j)
+         WHERE earliest < doc_id),
+w AS (SELECT doc_id, words[p] AS word, p FROM d, UNNEST(range(1, len(words) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS txt, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, p)
+         GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op5_line_dedup": f"""
+WITH l AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS line
+           FROM documents, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS t(p)),
+tok AS (SELECT *, {_WORDS.format("line")} AS words FROM l),
+cut AS (SELECT *, least(len(words), greatest({lines.DEPTH}, ceil(len(words) * {lines.SIMILARITY}::DOUBLE)::BIGINT)) AS fixed
+        FROM tok),
+leaf AS (SELECT doc_id, p, line, len(words) || ' ' ||
+           regexp_replace(array_to_string(words[1:fixed], ' '), '[^ ]*[0-9][^ ]*', '{lines.FIELD}', 'g') AS leaf,
+           len(words) >= {lines.MIN_TOKENS} AS able FROM cut),
+often AS (SELECT leaf, min(doc_id) AS earliest FROM leaf WHERE able GROUP BY leaf
+          HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+judged AS (SELECT leaf.*, coalesce(able AND earliest < doc_id, false) AS gone FROM leaf LEFT JOIN often USING (leaf))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+}
