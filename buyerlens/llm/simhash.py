@@ -104,19 +104,20 @@ def forest(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
             i, j = np.nonzero(np.triu(shared >= SHARED_BYTES, 1))
             i, j = i + begin, j + begin
             near = np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)) <= BITS
-            for x, y in zip(i[near].tolist(), j[near].tolist()):
-                x0, y0 = x, y
-                while member[x] != x:
-                    member[x] = member[member[x]]
-                    x = member[x]
-                while member[y] != y:
-                    member[y] = member[member[y]]
-                    y = member[y]
-                if x != y:
-                    member[max(x, y)] = min(x, y)
-                    a_out.append(fps[x0])
-                    b_out.append(fps[y0])
-    return np.array(a_out, dtype=np.int64), np.array(b_out, dtype=np.int64)
+            i, j = i[near], j[near]
+            while len(i):  # one link of each pair of parts, until the links join nothing new
+                while (member != member[member]).any():
+                    member = member[member]
+                a, b = np.minimum(member[i], member[j]), np.maximum(member[i], member[j])
+                apart = a != b
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                _, one = np.unique(b, return_index=True)  # each part joins one smaller part, so no ring arises
+                member[b[one]] = a[one]
+                a_out.append(fps[i[one]])
+                b_out.append(fps[j[one]])
+    if not a_out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(a_out), np.concatenate(b_out)
 
 
 def links(fps: DataFrame, longest: int = LONGEST) -> DataFrame:

@@ -61,9 +61,11 @@ def test_gapped_insults():
         texts.append(" ".join(ws) + ".")
         toxic.append(i % 3 == 0)
     model = toxicity.fit(texts, np.array(toxic))
-    bad = toxicity.score([b"the old b.l.ockhead sat on the wall", b"you num-bskull", "nümbskull by the sea".encode()], model)
-    good = toxicity.score([b"the old mill sat on the wall", b"boats go by", b""], model)
-    assert bad.min() > 0.5 > good.max()
+    gapped = [b"the old bl.ockhead sat on the wall", b"you num-bskull", "n\u00fcmbskulll by the sea".encode(), b"block hhead"]
+    clean_texts = [b"the old mill sat on the wall", b"boats go by while the dog slept", plain.PROSE.encode()]
+    assert toxicity.values(gapped, model)[0].min() > 0.5 + toxicity.values(clean_texts, model)[0].max()
+    assert toxicity.score([b"what a blockhead", b"a numbskull went by"], model).min() > 0.5
+    assert toxicity.score([*clean_texts, b""], model).max() < 0.5
 
 
 def test_sparse_score_equals_dense_sum():
