@@ -176,7 +176,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
 
     def to_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
-            spans = part.column(3)
+            spans = part.column(4)
             n = np.diff(spans.offsets.to_numpy())
             flat = spans.flatten()
             from_ = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -185,14 +185,14 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
             first = np.repeat(from_ - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
             name, check = window_names(raw_texts(part), text_of, first, window)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(text_of)), part.column(1).take(pa.array(text_of)),
+                [part.column(1).take(pa.array(text_of)), part.column(2).take(pa.array(text_of)),
                  pa.array(first.astype(np.int32)), pa.array(name), pa.array(check)],
                 names=["_id", "_key", "_start", "_name", "_check"],
             )
 
     candidates = (
         marked.where("_shared IS NOT NULL AND _copy IS NULL")
-        .select("_id", "_key", "_text", "_shared")
+        .select("doc_id", "_id", "_key", "_text", "_shared")  # the columns of the last join, so both read one exchange
         .mapInArrow(to_windows, "_id long, _key long, _start int, _name long, _check int")
     )
     later = (
