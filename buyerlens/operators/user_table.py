@@ -129,19 +129,24 @@ def _day_words(cfg: EventConfig) -> int:
     return -(-days // DAYS_PER_WORD)
 
 
-def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFrame:
-    """Partial sums per (user, session).
+def window_rows(log: DataFrame, cfg: EventConfig) -> DataFrame:
+    """The rows of both windows with their flags, and only the columns that the user table sums.
 
-    Distinct sessions become plain counts of these rows, and distinct days a bit mask over the
-    days of the window, so no aggregate needs the row expansion of several DISTINCTs, and a
-    user with very many events is summed in many tasks. Every buffer is a number or a flag, so
-    the sums are hashed, never sorted.
+    Events without a user belong to nobody's row and are left out.
     """
     flags = window_flags(cfg)
-    rows = between(log, cfg.feature_start, after_label(cfg)).select(
+    return between(log, cfg.feature_start, after_label(cfg)).where(F.col("user_id").isNotNull()).select(
         "user_id", "user_session", "ts", "price", "top_cat",
         *[c.alias(n) for n, c in flags.items()],
     )
+
+
+def user_sums(rows: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFrame:
+    """Sums per user, added up in every task before the one wide shuffle.
+
+    Distinct days are a bit mask over the days of the window. Every buffer is a number or a flag,
+    so the sums are hashed, never sorted.
+    """
     feat = F.col("in_feat")
     view, cart, purch = (feat & F.col(f"is_{k}") for k in ("view", "cart", "purch"))
     bought = F.col("in_label") & F.col("is_purch")
@@ -155,7 +160,7 @@ def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFra
         ).alias(f"days_{w}")
         for w in range(_day_words(cfg))
     ]
-    return rows.groupBy("user_id", "user_session").agg(
+    return rows.groupBy("user_id").agg(
         F.count_if(feat).alias("n_events"),
         F.count_if(view).alias("n_views"),
         F.count_if(cart).alias("n_carts"),
@@ -174,26 +179,28 @@ def _session_rows(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFra
     )
 
 
+def session_counts(rows: DataFrame) -> DataFrame:
+    """``(user_id, n_sessions)``: distinct feature-window sessions, a null one counting as one.
+
+    Two narrow columns are shuffled, so a user with very many events is spread over its sessions.
+    """
+    sessions = rows.where("in_feat").select("user_id", "user_session").distinct()
+    return sessions.groupBy("user_id").agg(F.count("*").alias("n_sessions"))
+
+
 def user_aggregates(log: DataFrame, cfg: EventConfig, vocab: list[str]) -> DataFrame:
-    """Counts, sums and label parts per user, kept where the universe threshold is met."""
-    sessions = _session_rows(log, cfg, vocab)
-    counts = ["n_events", "n_views", "n_carts", "n_purch", "purch_n", "view_n"]
-    counts += [f"{COUNT}{c}" for c in [*vocab, UNKNOWN]]
+    """Counts, sums and label parts per user, kept where the universe threshold is met.
+
+    Sums and session counts meet on the user, by which both are partitioned already.
+    """
+    rows = window_rows(log, cfg)
     masks = [f"days_{w}" for w in range(_day_words(cfg))]
-    per_user = sessions.groupBy("user_id").agg(
-        *[F.sum(c).alias(c) for c in counts],
-        F.count_if(F.col("n_events") > 0).alias("n_sessions"),
-        *[F.bit_or(m).alias(m) for m in masks],
-        F.max("last_second").alias("last_second"),
-        F.sum("purch_sum").alias("purch_sum"),
-        F.max("purch_max").alias("purch_max"),
-        F.sum("view_sum").alias("view_sum"),
-        F.bool_or("label_purchase").alias("label_purchase"),
-        F.bool_or("label_any_event").alias("label_any_event"),
-    )
     days = sum((F.coalesce(F.bit_count(m), F.lit(0)) for m in masks), F.lit(0))
     return (
-        per_user.where(F.col("n_events") >= cfg.min_events)
+        user_sums(rows, cfg, vocab)
+        .where(F.col("n_events") >= cfg.min_events)
+        .join(session_counts(rows), "user_id", "left")
+        .withColumn("n_sessions", F.coalesce("n_sessions", F.lit(0)).cast("bigint"))
         .withColumn("n_active_days", days.cast("bigint"))
         .drop(*masks)
     )

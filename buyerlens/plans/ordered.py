@@ -2,45 +2,27 @@
 
 A window without partition keys, or one keyed on a hot group, puts its rows in one task.
 Here rows are first cut into ordered buckets; the running value inside a bucket is a window
-keyed on (group, bucket), and what precedes the bucket comes from one row per bucket.
+keyed on (group, bucket), and what precedes the bucket comes from one row per bucket. Small and large
+frames take the same path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buyerlens.functions.keyed import digest, hex_prefix
+from buyerlens.session import materialise
 
-STEP = 32
-BUCKETS = STEP * STEP
-ACCURACY = 10_000
-PLAIN_ROWS = 100_000  # up to here one task may hold a whole group
-
-
-def value_edges(df: DataFrame, order: str) -> list[float] | None:
-    """Edges of ``BUCKETS`` equally full value ranges; None if the frame is small.
-
-    One pass; the driver receives 1,023 numbers and a count.
-    """
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    found = df.agg(
-        F.count("*").alias("n"), F.percentile_approx(order, probs, ACCURACY).alias("edges")
-    ).first()
-    return None if found["n"] <= PLAIN_ROWS else list(found["edges"])
-
-
-def value_bucket(order: str, edges: list[float]) -> tuple[Column, Column]:
-    """Coarse place and number of edges below the value: by every 32nd edge, then by the 31 between, all in
-    generated code."""
-    x, table = F.col(order), F.lit(edges)
-    coarse = reduce(add, [(x > F.lit(edges[STEP * j - 1])).cast("int") for j in range(1, STEP)])
-    fine = [(x > F.get(table, F.col("_coarse") + j)).cast("int") for j in range(STEP - 1)]
-    return coarse, F.col("_coarse") + reduce(add, fine)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null."""
+    own = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(own, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_totals(
@@ -55,8 +37,9 @@ def running_totals(
     ``all_<c>``, its total over the group.
 
     Without ``bucketed`` the frame must hold one row per (by, order), so that equal values
-    never crowd one range; its size is measured first, and small frames take one window per
-    group. With ``bucketed`` the frame brings its own ordered ``_bucket``.
+    never crowd one range; it is cut into ranges by Spark's range partitioning and stored, since
+    ranges are drawn anew whenever a plan runs. With ``bucketed`` the frame brings its own ordered
+    ``_bucket``. There is one path for any size, and null groups are groups like others.
     """
     order_cols = [order] if isinstance(order, str) else list(order)
     direction = F.desc if descending else F.asc
@@ -70,17 +53,7 @@ def running_totals(
         )
 
     if not bucketed:
-        edges = value_edges(df, order_cols[0])
-        if edges is None:
-            inside, whole = upto(group, order_cols, 0), Window.partitionBy(*group)
-            return df.withColumns(
-                {
-                    **{f"cum_{c}": F.sum(c).over(inside) for c in totals},
-                    **{f"all_{c}": F.sum(c).over(whole) for c in totals},
-                }
-            )
-        coarse, bucket = value_bucket(order_cols[0], edges)
-        df = df.withColumn("_coarse", STEP * coarse).withColumn("_bucket", bucket).drop("_coarse")
+        df = materialise(df.repartitionByRange(*order_cols).withColumn("_bucket", F.spark_partition_id()))
     keys = [*by, "_bucket"]
     heads = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_in_{c}") for c in totals])
     before, whole = upto(group, ["_bucket"], -1), Window.partitionBy(*group)
@@ -91,7 +64,7 @@ def running_totals(
     )
     inside = upto(keys, order_cols, 0)
     return (
-        df.join(offsets, keys)
+        null_safe_join(df, offsets, keys)
         .withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.sum(c).over(inside) for c in totals})
         .drop("_bucket", *[f"_off_{c}" for c in totals])
     )
@@ -145,8 +118,15 @@ def exact_quantiles(
     long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("name",), value: str = "value"
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``(by, k, prob, q)``; nulls are ignored."""
-    by = list(by)
     counted = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counted_quantiles(counted, probs, by, value)
+
+
+def counted_quantiles(
+    counted: DataFrame, probs: Sequence[float], by: Sequence[str] = ("name",), value: str = "value"
+) -> DataFrame:
+    """Quantiles of values that are counted: one row per (by, value) with its number ``n``, no null values."""
+    by = list(by)
     placed = running_totals(counted, value, ["n"], by)
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     wanted = F.array(
@@ -194,10 +174,11 @@ def median_of(long: DataFrame, by: Sequence[str] = ("name",), value: str = "valu
 
 
 __all__ = [
+    "counted_quantiles",
     "exact_quantiles",
     "keyed_rank",
     "keyed_sample",
     "median_of",
-
+    "null_safe_join",
     "running_totals",
 ]

@@ -14,3 +14,15 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=[1, 7], ids=["one range", "seven ranges"])
+def ranges(spark, request):
+    """Ordered work in one range and in several, whatever the size of the data."""
+    names = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield request.param
+    for n, v in before.items():
+        spark.conf.set(n, v)

@@ -19,10 +19,8 @@ def brute_binary(y, s, k_frac=0.1):
     return auc, ap, hits / n
 
 
-@pytest.mark.parametrize("plain_rows", [ordered.PLAIN_ROWS, 0])
 @pytest.mark.parametrize("ties", [0, 6])
-def test_binary_metrics_match_brute_force(spark, ties, plain_rows, monkeypatch):
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain_rows)
+def test_binary_metrics_match_brute_force(spark, ties, ranges):
     rng = np.random.default_rng(ties)
     y = (rng.random(215) < 0.3).astype(int)
     s = np.round(rng.normal(size=215) + y, ties)
@@ -35,6 +33,15 @@ def test_binary_metrics_match_brute_force(spark, ties, plain_rows, monkeypatch):
     assert row["base_rate"] == pytest.approx(y.mean())
 
 
+def test_null_groups_are_groups(spark, ranges):
+    rows = [(g, i % 3 == 0, float(i * 7 % 50)) for i in range(200) for g in (None, "a", "b")]
+    df = spark.createDataFrame([(g, int(y), x) for g, y, x in rows], "g string, y int, score double")
+    got = {r["g"]: r["roc_auc"] for r in ranking.binary_metrics(df, by=["g"]).collect()}
+    assert set(got) == {None, "a", "b"} and len(set(got.values())) == 1
+    medians = {r["g"]: r["q"] for r in ordered.exact_quantiles(df, [0.5], ["g"], "score").collect()}
+    assert set(medians) == {None, "a", "b"} and len(set(medians.values())) == 1
+
+
 def test_constant_score_and_one_class(spark):
     df = spark.createDataFrame([("t", i % 2, 1.0) for i in range(20)] + [("n", 0, float(i)) for i in range(5)], "g string, y int, score double")
     got = {r["g"]: r for r in ranking.binary_metrics(df, by=["g"]).collect()}

@@ -6,7 +6,7 @@ from buyerlens.config import CustomerConfig
 from buyerlens.functions.frames import to_long
 from buyerlens.operators import constructs, splits, transforms
 from buyerlens.operators.customers import engineer
-from buyerlens.plans import ordered
+
 from buyerlens.plans.lookups import salted_lookup
 from buyerlens.plans.ordered import exact_quantiles, keyed_rank, keyed_sample, running_totals
 from buyerlens.sources.customers import CUSTOMER_SCHEMA, read_delimited
@@ -91,13 +91,6 @@ def test_zero_deviation_scales_by_one(spark):
         transforms.fit_scaler(df.withColumn("split", F.lit("test")), ["x"])
 
 
-@pytest.fixture(params=["one window", "ranges"])
-def ranges(request, monkeypatch):
-    """Both ways through ordered work: small frames and cut ones."""
-    if request.param == "ranges":
-        monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
-
-
 @pytest.mark.parametrize("seed", [0, 1])
 def test_quantiles_match_numpy(spark, seed, ranges):
     rng = np.random.default_rng(seed)
@@ -121,6 +114,13 @@ def test_running_totals_both_ways(spark, ranges):
         assert {r["all_n"] for r in rows} == {900}
 
 
+def test_stratified_split_keeps_null_labels(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(400)], "id long, y int")
+    rows = splits.stratified_split(df, "id", "y", 3).groupBy("y", "split").count().collect()
+    assert sum(r["count"] for r in rows) == 400
+    assert {r["split"]: r["count"] for r in rows if r["y"] is None} == {"test": 20, "val": 20, "train": 60}
+
+
 def test_keyed_sample_and_rank(spark):
     df = spark.range(3_000)
     ranked = keyed_rank(df, "id", 9).orderBy("rank").collect()
