@@ -111,12 +111,10 @@ class EvalConfig:
     train_subsample: int | None = None
     k_frac: float = 0.10
     top_ks: tuple[int, ...] = (1, 3, 5)
-    primary_metric: str = "pr_auc"
     methods: tuple[str, ...] | None = None
     gbt_iterations: int = 100
-    silhouette_cap: int = 20_000
-    stability_users: int = 50_000
-    stability_seed: int = 20260710
+    stability_users: int | None = None  # all users unless a sample is asked for
+    stability_seed: int = 4107
     n_boot: int = 20
     span: float = 2.0
     card_features: int = 8

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buyerlens.functions.frames import ratio
-from buyerlens.plans.ordered import keyed_sample
 from buyerlens.plans.partials import matrix, vector
 
-BLOCK = 512
 MAX_CLUSTERS = 1_000
 
 
@@ -19,52 +19,46 @@ def label_count(df: DataFrame, label: str) -> int:
     return df.select(label).distinct().count()
 
 
-def silhouette(
-    df: DataFrame, id_column: str, label: str, features: str, cap: int = 20_000, seed: int = 0
-) -> DataFrame:
-    """Mean Euclidean silhouette over a seeded sample of at most ``cap`` rows.
+def silhouette(df: DataFrame, label: str, features: str) -> DataFrame:
+    """Mean silhouette of all rows in squared Euclidean distance, as ``silhouette_squared``.
 
-    The sample is the operator's definition and bounds what reaches every task: ``cap`` points.
-    Each task holds its rows against all sample points and keeps sums per cluster only, so no
-    pair of points is ever a row. Null when the sample has fewer than two labels.
+    A row's mean squared distance to a cluster follows from the cluster's size, mean and mean squared
+    norm, so one pass sums those and a second scores the rows; no pair of rows is formed and none is left
+    out. Null with fewer than two labels.
     """
-    sample = keyed_sample(df.select(id_column, label, features), id_column, seed, cap).cache()
-    rows = sample.select(label, features).toPandas()
-    names, codes = np.unique(rows[label].to_numpy(), return_inverse=True)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
-    points = np.stack(rows[features].to_numpy()).astype(np.float64)
-    middle = points.mean(axis=0)  # centred, so that the expanded square loses no digits
-    points -= middle
-    sizes = np.bincount(codes).astype(np.float64)
-    shared = df.sparkSession.sparkContext.broadcast((points, codes, names, sizes, middle))
+    seen = F.struct(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(features)).alias("s"))
+    found = df.groupBy(label).agg(seen.alias("m")).limit(MAX_CLUSTERS + 1).collect()
+    if len(found) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    found.sort(key=lambda r: r[label])
+    if len(found) < 2:
+        return df.sparkSession.createDataFrame([(None,)], "silhouette_squared double")
+    names = np.array([r[label] for r in found])
+    sizes = np.array([r["m"]["s"]["count"] for r in found], dtype=np.float64)
+    means = np.stack([r["m"]["s"]["mean"].toArray() for r in found])
+    spread = np.stack([r["m"]["s"]["variance"].toArray() for r in found])  # of a sample
+    middle = (means * sizes[:, None]).sum(axis=0) / sizes.sum()
+    means = means - middle  # centred, so that the expanded square loses no digits
+    norms = (means * means).sum(axis=1) + spread.sum(axis=1) * (sizes - 1) / sizes
+    shared = df.sparkSession.sparkContext.broadcast((names, sizes, means, middle, norms))
 
     def score(batches):
-        points, codes, names, sizes, middle = shared.value
-        norms = (points * points).sum(axis=1)
-        member = np.eye(len(names))[codes]
+        names, sizes, means, middle, norms = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, own = matrix(batch, features) - middle, np.searchsorted(names, vector(batch, label))
-            out = np.empty(len(x))
-            for at in range(0, len(x), BLOCK):
-                part, mine = x[at : at + BLOCK], own[at : at + BLOCK]
-                square = (part * part).sum(axis=1)[:, None] + norms - 2.0 * part @ points.T
-                sums = np.sqrt(np.maximum(square, 0.0)) @ member
-                row = np.arange(len(part))
-                others = sizes[mine] - 1.0
-                a = np.divide(sums[row, mine], others, out=np.zeros(len(part)), where=others > 0)
-                means = sums / sizes
-                means[row, mine] = np.inf
-                b = means.min(axis=1)
-                top = np.maximum(a, b)
-                s = np.divide(b - a, top, out=np.zeros(len(part)), where=top > 0)
-                out[at : at + BLOCK] = np.where(others > 0, s, 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["s"])
-
-    spread = sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return spread.select(label, features).mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette"))
+            x, mine = matrix(batch, features) - middle, np.searchsorted(names, vector(batch, label))
+            row = np.arange(len(x))
+            square = np.maximum((x * x).sum(axis=1)[:, None] + norms - 2.0 * x @ means.T, 0.0)
+            others = sizes[mine] - 1.0
+            a = np.divide(square[row, mine] * sizes[mine], others, out=np.zeros(len(x)), where=others > 0)
+            square[row, mine] = np.inf
+            b = square.min(axis=1)
+            top = np.maximum(a, b)
+            s = np.divide(b - a, top, out=np.zeros(len(x)), where=top > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(others > 0, s, 0.0))], ["s"])
+
+    return df.select(label, features).mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette_squared"))
 
 
 def _centroid_rows(df: DataFrame, label: str, features: str) -> DataFrame:
@@ -172,20 +166,18 @@ def calinski_harabasz(df: DataFrame, label: str, features: str) -> DataFrame:
     )
 
 
-def clustering_metrics(
-    df: DataFrame, id_column: str, label: str, features: str, cap: int = 20_000, seed: int = 0
-) -> DataFrame:
+def clustering_metrics(df: DataFrame, label: str, features: str) -> DataFrame:
     """All three scores and the number of clusters found; one cluster has no scores."""
     found = label_count(df, label)
     spark = df.sparkSession
     if found < 2:
         schema = (
-            "silhouette double, davies_bouldin double, calinski_harabasz double, "
+            "silhouette_squared double, davies_bouldin double, calinski_harabasz double, "
             "n_clusters_found bigint"
         )
         return spark.createDataFrame([(None, None, None, found)], schema)
     return (
-        silhouette(df, id_column, label, features, cap, seed)
+        silhouette(df, label, features)
         .withColumn("davies_bouldin", davies_bouldin(df, label, features).scalar())
         .withColumn("calinski_harabasz", calinski_harabasz(df, label, features).scalar())
         .withColumn("n_clusters_found", F.lit(found).cast("bigint"))

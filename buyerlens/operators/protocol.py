@@ -183,7 +183,7 @@ def evaluate_baselines(bench: Bench) -> DataFrame:
         found = found.where("split = 'test'").drop("split")
         if rep.clustering is not None:
             test = materialise(rep.clustering.where("split = 'test'"))
-            scores = clustering_metrics(test, "id", "cluster", "space", bench.cfg.silhouette_cap, bench.seed)
+            scores = clustering_metrics(test, "cluster", "space")
             named = scores.select(*[F.col(c).alias(f"clu_{c}") for c in scores.columns])
             long = heads.long_metrics(named, [])
             for head in heads.HEADS:

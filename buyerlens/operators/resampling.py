@@ -83,12 +83,13 @@ def stability_bundle(
     cfg: EvalConfig,
 ) -> DataFrame | None:
     """Cross-seed agreement, mean clustering quality and bootstrap persistence of one
-    configuration, all over the same seed-independent sample of ids.
+    configuration, all over the same ids: all, or a seed-independent sample.
 
     ``embeddings(seed)`` gives ``(id, z)`` or None; with a seed missing the configuration is
     skipped with a warning.
     """
-    frames = {s: embeddings(s) for s in seeds}
+    made = {s: embeddings(s) for s in seeds}
+    frames = {s: df if df is None else materialise(df.select("id", "z")) for s, df in made.items()}  # encoded once
     missing = [s for s, df in frames.items() if df is None]
     if missing:
         warnings.warn(f"stability skipped, no embedding for seeds {missing}", stacklevel=2)
@@ -98,10 +99,12 @@ def stability_bundle(
         raise ValueError("user universes differ across seeds")
     assigned, quality, boot = None, None, None
     for seed, df in sorted(frames.items()):
-        z = materialise(keyed_sample(df.select("id", "z"), "id", cfg.stability_seed, cfg.stability_users))
+        z = df
+        if cfg.stability_users is not None:
+            z = materialise(keyed_sample(df, "id", cfg.stability_seed, cfg.stability_users))
         centers = fit_kmeans(z, cfg.n_clusters, seed, cfg.n_init, "z")
         labelled = materialise(hard_assign(z, centers, ["id", "z"], features="z"))
-        scores = clustering_metrics(labelled, "id", "cluster", "z", cfg.silhouette_cap, seed)
+        scores = clustering_metrics(labelled, "cluster", "z")
         rows = labelled.select("id", "cluster", F.lit(seed).alias("seed"))
         assigned = rows if assigned is None else assigned.unionByName(rows)
         quality = scores if quality is None else quality.unionByName(scores)
@@ -110,7 +113,7 @@ def stability_bundle(
                 bootstrap_scores(z, cfg.n_clusters, cfg.n_boot, seed, cfg.n_init)
             )
     means = quality.agg(
-        *[F.avg(c).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")]
+        *[F.avg(c).alias(c) for c in ("silhouette_squared", "davies_bouldin", "calinski_harabasz")]
     )
     agreement = stability.pairwise_stability(assigned, "id", list(frames))
     people = assigned.agg(F.count_distinct("id")).scalar()

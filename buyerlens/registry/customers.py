@@ -10,8 +10,8 @@ from buyerlens.functions.frames import to_long
 from buyerlens.operators import constructs, customers, profiles, splits, transforms
 from buyerlens.registry.base import CUSTOMERS, SEED, query
 from buyerlens.registry.sqlparts import r, stmt
-from buyerlens.session import materialise
-from buyerlens.sources.customers import customers_from_orders
+from buyerlens.session import materialise, shared_folder
+from buyerlens.sources.customers import customers_from_orders, read_delimited
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,15 @@ def customer_engineered(spark, sf_dir):
     return engineered(spark, sf_dir)
 
 
+@query("customer_file_scan", stmt("eng", f"SELECT {_ENG}, Education, Marital_Status FROM eng"))
+def customer_file_scan(spark, sf_dir):
+    """Customers written as a tab-separated file with a header, read with the given schema, and cleaned."""
+    path = shared_folder(spark, "tsv")
+    rows = customers_from_orders(spark, sf_dir)
+    rows.write.option("header", True).csv(path, sep="\t")
+    return customers.engineer(read_delimited(spark, path, schema=rows.schema), CUSTOMERS)
+
+
 @query("stratified_split", stmt("engs", "SELECT ID, CAST(Response AS BIGINT) AS Response, split FROM engs"))
 def stratified_split(spark, sf_dir):
     return split_customers(spark, sf_dir).select("ID", "Response", "split")

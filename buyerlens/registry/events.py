@@ -13,8 +13,8 @@ from buyerlens.operators import user_table as ut
 from buyerlens.plans.ordered import keyed_sample
 from buyerlens.registry.base import EVENTS, SEED, query
 from buyerlens.registry.sqlparts import BASE, CONSTRUCTS, FEATURES, SHARES, TOPS, r, stmt
-from buyerlens.session import materialise
-from buyerlens.sources.events import log_from_events, parse_event_time
+from buyerlens.session import materialise, shared_folder
+from buyerlens.sources.events import log_from_events, parse_event_time, read_csv_log
 
 CAPPED = replace(EVENTS, top_categories=5)
 
@@ -50,6 +50,31 @@ def event_scan(spark, sf_dir):
     return log.withColumn("ts", parse_event_time(text))
 
 
+_CSV_COLUMNS = (
+    "event_type, product_id, category_id, category_code, brand, price, user_id, user_session"
+)
+
+
+@query(
+    "csv_log_scan",
+    stmt(
+        "ev",
+        f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS event_time, {_CSV_COLUMNS}, ts,
+  split_part(category_code, '.', 1) AS top_cat FROM ev""",
+    ),
+)
+def csv_log_scan(spark, sf_dir):
+    """The log written as two folders of CSV files with a header, and read as one typed log."""
+    log = log_from_events(spark, sf_dir)
+    text = F.concat(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" UTC"))
+    rows = log.select(text.alias("event_time"), *_CSV_COLUMNS.split(", "))
+    folders = []
+    for part in (0, 1):
+        folders.append(shared_folder(spark, "csv"))
+        rows.where(F.col("user_id") % 2 == part).write.option("header", True).csv(folders[-1])
+    return read_csv_log(spark, folders)
+
+
 @query(
     "window_flags",
     stmt("evf", "SELECT event_id, in_feat, in_label, is_view, is_cart, is_purch FROM evf"),
@@ -120,7 +145,7 @@ def capped_category_shares(spark, sf_dir):
     table = ut.build_user_table(log, CAPPED)
     shares = [c for c in table.columns if c.startswith(ut.SHARE)]
     long = to_long(table, ["user_id"], shares, "name", "share")
-    return long.withColumn("name", F.substring("name", len(ut.SHARE) + 1, 1000))
+    return long.withColumn("name", F.substr("name", F.lit(len(ut.SHARE) + 1)))
 
 
 @query(

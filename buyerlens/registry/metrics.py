@@ -13,7 +13,6 @@ from buyerlens.registry.events import split_table
 from buyerlens.registry.sqlparts import part, r, stmt
 from buyerlens.session import materialise
 
-SAMPLE = 200
 Z_DIMS = 6
 FACTORS = 4
 SEEDS = (0, 1, 2, 3)
@@ -193,27 +192,17 @@ part(
     """SELECT vec_id AS id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim,
   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings""",
 )
-part(
-    "smp",
-    f"""SELECT id, label, x FROM (SELECT vec_id AS id, label, embedding AS x,
-  row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) AS rn FROM embeddings) WHERE rn <= {SAMPLE}""",
-)
-
-
 @query(
     "silhouette",
-    stmt(
-        "smp",
-        f"""SELECT {r('avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM (
+    f"""SELECT {r('avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette_squared')} FROM (
   SELECT id, max(CASE WHEN l1 = l2 THEN s / nullif(n - 1, 0) END) AS a,
     min(CASE WHEN l1 <> l2 THEN s / n END) AS b, max(CASE WHEN l1 = l2 THEN n END) AS own_n FROM (
-    SELECT p.id, p.label AS l1, q.label AS l2,
-      sum(list_distance(p.x::DOUBLE[], q.x::DOUBLE[])) AS s, count(*) AS n
-    FROM smp p, smp q GROUP BY 1, 2, 3) GROUP BY id)""",
-    ),
+    SELECT p.vec_id AS id, p.label AS l1, q.label AS l2,
+      sum(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2) AS s, count(*) AS n
+    FROM embeddings p, embeddings q GROUP BY 1, 2, 3) GROUP BY id)""",
 )
 def silhouette(spark, sf_dir):
-    return quality.silhouette(embeddings(spark, sf_dir), "id", "label", "features", SAMPLE, 0)
+    return quality.silhouette(embeddings(spark, sf_dir), "label", "features")
 
 
 part("ec", "SELECT label, dim, avg(x) AS c, count(*) AS n FROM el GROUP BY label, dim", "el")
@@ -254,12 +243,12 @@ def calinski_harabasz(spark, sf_dir):
 
 @query(
     "degenerate_clustering",
-    """SELECT CAST(NULL AS DOUBLE) AS silhouette, CAST(NULL AS DOUBLE) AS davies_bouldin,
+    """SELECT CAST(NULL AS DOUBLE) AS silhouette_squared, CAST(NULL AS DOUBLE) AS davies_bouldin,
   CAST(NULL AS DOUBLE) AS calinski_harabasz, count(DISTINCT label * 0) AS n_clusters_found FROM embeddings""",
 )
 def degenerate_clustering(spark, sf_dir):
     one = embeddings(spark, sf_dir).withColumn("label", F.col("label") * 0)
-    return quality.clustering_metrics(one, "id", "label", "features")
+    return quality.clustering_metrics(one, "label", "features")
 
 
 def construct_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from buyerlens.session import checkpoint_dir, materialise
 from buyerlens.sources.records import read_sweep_records
 
 MODEL = ModelConfig(latent_dim=8, hidden_dims=(32, 16), lr=5e-3, epochs=20)
-EVAL = EvalConfig(n_clusters=4, n_init=2, n_boot=3, gbt_iterations=10, stability_users=50_000)
+EVAL = EvalConfig(n_clusters=4, n_init=2, n_boot=3, gbt_iterations=10)
 TASKS = {
     "primary": ("y_primary", "binary"),
     "churned": ("y_churned", "binary"),

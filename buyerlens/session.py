@@ -37,6 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/buyerlens-{kind}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 

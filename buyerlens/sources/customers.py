@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from buyerlens.config import CAMPAIGN_COLUMNS, SPEND_COLUMNS
 
@@ -29,9 +30,11 @@ CUT_DAYS = 90
 DEAL_DISCOUNT = 0.07
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """Customer file with a header and a given schema."""
-    return spark.read.schema(CUSTOMER_SCHEMA).option("header", True).csv(path, sep=separator)
+def read_delimited(
+    spark: SparkSession, path: str, separator: str = "\t", schema: str | StructType = CUSTOMER_SCHEMA
+) -> DataFrame:
+    """Customer file with a header and a given schema, never an inferred one."""
+    return spark.read.schema(schema).option("header", True).csv(path, sep=separator)
 
 
 def customers_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

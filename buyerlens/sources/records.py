@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buyerlens.session import materialise
+
 METRICS = "map<string, map<string, map<string, double>>>"
 SWEEP_SCHEMA = (
     "dataset string, seed int, beta double, lambda_align double, aligned_dims int, "
@@ -47,10 +49,10 @@ def read_sweep_records(spark: SparkSession, path: str, multi_line: bool = False)
         if err.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no records in {path}; run the sweep first") from err
         raise
-    marked = raw.withColumn("_file", F.input_file_name())
-    broken = marked.where(F.col("_corrupt").isNotNull()).select("_file", "dataset").limit(20).collect()
+    marked = materialise(raw.withColumn("_file", F.input_file_name()))  # parsed once
+    broken = marked.where(F.col("_corrupt").isNotNull()).select("_file").distinct().collect()  # every file
     if broken:
-        names = ", ".join(sorted({r["_file"] for r in broken}))
+        names = ", ".join(sorted(r["_file"] for r in broken))
         raise ValueError(f"corrupt records, delete and run again: {names}")
     if marked.isEmpty():
         raise FileNotFoundError(f"no records in {path}; run the sweep first")

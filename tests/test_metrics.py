@@ -84,8 +84,8 @@ def points():
 def test_clustering_scores_match_brute_force(spark, points):
     x, lab = points
     df = spark.createDataFrame([(i, int(c), [float(v) for v in p]) for i, (p, c) in enumerate(zip(x, lab, strict=True))], "id bigint, label int, features array<double>")
-    row = quality.clustering_metrics(df, "id", "label", "features").first()
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    row = quality.clustering_metrics(df, "label", "features").first()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
     s = []
     for i, c in enumerate(lab):
         own = (lab == c).sum() - 1
@@ -95,7 +95,7 @@ def test_clustering_scores_match_brute_force(spark, points):
         a = d[i, lab == c].sum() / own
         b = min(d[i, lab == o].mean() for o in set(lab) - {c})
         s.append((b - a) / max(a, b))
-    assert row["silhouette"] == pytest.approx(np.mean(s))
+    assert row["silhouette_squared"] == pytest.approx(np.mean(s))
     mu = np.array([x[lab == c].mean(0) for c in range(4)])
     sc = np.array([np.sqrt(((x[lab == c] - mu[c]) ** 2).sum(1)).mean() for c in range(4)])
     r = [max((sc[i] + sc[j]) / np.sqrt(((mu[i] - mu[j]) ** 2).sum()) for j in range(4) if j != i) for i in range(4)]
@@ -108,8 +108,8 @@ def test_clustering_scores_match_brute_force(spark, points):
 
 def test_one_cluster_has_no_scores(spark):
     df = spark.createDataFrame([(i, 0, [float(i)]) for i in range(5)], "id bigint, label int, features array<double>")
-    row = quality.clustering_metrics(df, "id", "label", "features").first()
-    assert row["silhouette"] is None and row["n_clusters_found"] == 1
+    row = quality.clustering_metrics(df, "label", "features").first()
+    assert row["silhouette_squared"] is None and row["n_clusters_found"] == 1
 
 
 def codes(spark, z, v):

@@ -180,7 +180,7 @@ def test_baseline_protocol(spark):
             assert 0 <= got[("primary", m, h, "pr_auc")] <= 1
             assert got[("next_category", m, h, "acc_at_1")] <= got[("next_category", m, h, "acc_at_3")]
     assert got[("primary", "raw", "logreg", "roc_auc")] > 0.9
-    assert ("primary", "dec", "gbt", "clu_silhouette") in got and ("primary", "raw", "gbt", "clu_silhouette") not in got
+    assert ("primary", "dec", "gbt", "clu_silhouette_squared") in got and ("primary", "raw", "gbt", "clu_silhouette_squared") not in got
 
 
 def test_unknown_method_is_an_error():
@@ -218,7 +218,7 @@ def test_stability_bundle_skips_missing_seeds(spark, blobs):
     df = frame(spark, blobs).withColumnRenamed("features", "z").cache()
     cfg = EvalConfig(n_clusters=3, n_init=2, n_boot=2)
     row = resampling.stability_bundle(lambda _s: df, (0, 1), cfg).first()
-    assert row["ari_mean"] == pytest.approx(1.0) and row["n_users"] == 240 and row["silhouette"] > 0.8
+    assert row["ari_mean"] == pytest.approx(1.0) and row["n_users"] == 240 and row["silhouette_squared"] > 0.8
     with pytest.warns(UserWarning, match="skipped"):
         assert resampling.stability_bundle(lambda s: df if s else None, (0, 1), cfg) is None
     with pytest.raises(ValueError, match="universes differ"):
