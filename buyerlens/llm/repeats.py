@@ -7,9 +7,10 @@ also knows the span of words that forces it. A window's anchor is the symbol of
 inside the window, the one with the smallest name; after two rounds every window of 13 words without long runs
 has one, and other windows are their own anchor. Equal windows have equal anchors, so
 
-1. anchors found in one document only rule their windows out (one shuffle of anchors),
-2. what is left is verified by 96 bits of each window's words (one shuffle of those windows),
-3. words covered by a window that starts in an earlier document are removed.
+1. a document whose whole text an earlier one has is set aside: all its windows are repeats,
+2. anchors found in one document only rule their windows out (one shuffle of anchors),
+3. what is left is verified by 96 bits of each window's words (one shuffle of those windows),
+4. words covered by a window that starts in an earlier document are removed.
 
 Defined cases: a null or empty text has no words; a null id comes after all others; rows with one id
 are one document, and never remove each other's words; repeated rows are all returned; an empty table gives
@@ -31,6 +32,7 @@ from buyerlens.llm.text import CHECK_BASE, WORD_BASE, chunks, mixed, span_hashes
 WINDOW = 13
 ROUNDS = 2
 CHUNK = 1_000_000
+RUN = 15  # windows in one row of anchors
 LAST = 2**63 - 1  # the place of a null id
 
 
@@ -127,10 +129,8 @@ def window_names(texts: list[bytes], text_of: np.ndarray, first: np.ndarray, win
     """64 and 32 independent bits of the words of windows."""
     flat, _, _, begin = laid_out(texts)
     a = begin[text_of] + first
-    return (
-        span_hashes(flat, a, a + window, WORD_BASE).view(np.int64),
-        (span_hashes(mixed(flat + np.uint64(1)), a, a + window, CHECK_BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-    )
+    check = span_hashes(mixed(flat + np.uint64(1)), a, a + window, CHECK_BASE) >> np.uint64(32)
+    return span_hashes(flat, a, a + window, WORD_BASE).view(np.int64), check.astype(np.uint32).view(np.int32)
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -156,49 +156,50 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
             text_of, first, count, name = anchors(raw_texts(part), window, rounds)
+            # a run of windows is short unless one word fills it, so runs are cut to fit beside their place in one number
+            pieces = -(-count // RUN)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(RUN, np.repeat(count, pieces) - nth * RUN)
+            run = (np.repeat(first, pieces) + nth * RUN) * (RUN + 1) + size
+            of = pa.array(np.repeat(text_of, pieces))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(text_of)), part.column(1).take(pa.array(text_of)),
-                 pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(name)],
-                names=["_id", "_key", "_from", "_count", "_name"],
+                [part.column(1).take(of), part.column(2).take(of), pa.array(run), pa.array(np.repeat(name, pieces))],
+                names=["_id", "_key", "_run", "_name"],
             )
 
-    found = rows.select("_id", "_key", "_text").mapInArrow(
-        to_anchors, "_id long, _key long, _from int, _count int, _name long"
-    )
-    shared = (
-        sharing(found, ["_name"], only_later=False)
-        .groupBy("_id", "_key")
-        .agg(F.collect_list(F.struct("_from", "_count")).alias("_shared"))
-    )
+    # every join below is on the row's id and text hash, so one exchange of the texts serves them all
     whole = rows.select("_id", "_key", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")).where("_sha IS NOT NULL")
     copies = sharing(whole, ["_sha"], only_later=True).select("_id", "_key", F.lit(True).alias("_copy")).distinct()
-    marked = rows.join(shared.join(copies, ["_id", "_key"], "full"), ["_id", "_key"], "left")
+    # an exact copy has no window that its first text has not, so it is left out before it is cut
+    singles = rows.join(copies, ["_id", "_key"], "left_anti").select("doc_id", "_id", "_key", "_text")
+    found = singles.mapInArrow(to_anchors, "_id long, _key long, _run long, _name long")
+    shared = (
+        sharing(found, ["_name"], only_later=False).groupBy("_id", "_key").agg(F.collect_list("_run").alias("_shared"))
+    )
+    marked = singles.join(shared, ["_id", "_key"])
 
     def to_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
-            spans = part.column(4)
-            n = np.diff(spans.offsets.to_numpy())
-            flat = spans.flatten()
-            from_ = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            count = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = part.column(4)
+            n = np.diff(lists.offsets.to_numpy())
+            run = lists.flatten().to_numpy()
+            from_, count = run // (RUN + 1), run % (RUN + 1)
             text_of = np.repeat(np.repeat(np.arange(part.num_rows), n), count)
             first = np.repeat(from_ - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
             name, check = window_names(raw_texts(part), text_of, first, window)
+            of = pa.array(text_of)
             yield pa.RecordBatch.from_arrays(
-                [part.column(1).take(pa.array(text_of)), part.column(2).take(pa.array(text_of)),
-                 pa.array(first.astype(np.int32)), pa.array(name), pa.array(check)],
+                [part.column(1).take(of), part.column(2).take(of), pa.array(first.astype(np.int32)), pa.array(name), pa.array(check)],
                 names=["_id", "_key", "_start", "_name", "_check"],
             )
 
-    candidates = (
-        marked.where("_shared IS NOT NULL AND _copy IS NULL")
-        .select("doc_id", "_id", "_key", "_text", "_shared")  # the columns of the last join, so both read one exchange
-        .mapInArrow(to_windows, "_id long, _key long, _start int, _name long, _check int")
+    candidates = marked.select("doc_id", "_id", "_key", "_text", "_shared").mapInArrow(
+        to_windows, "_id long, _key long, _start int, _name long, _check int"
     )
     later = (
         sharing(candidates, ["_name", "_check"], only_later=True)
         .groupBy("_id", "_key")
-        .agg(F.collect_set("_start").alias("_starts"))
+        .agg(F.collect_list("_start").alias("_starts"))
     )
     return rows.join(later.join(copies, ["_id", "_key"], "full"), ["_id", "_key"], "left")
 
