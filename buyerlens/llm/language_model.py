@@ -138,11 +138,11 @@ class Trainer:
         d2 /= n
         dg = d2 @ w["w2"].T
         dh = (d1 @ w["w1"].T + dg) * (1 - h * h)
-        du = np.zeros_like(w["u"])
-        np.add.at(du, first, dg)
-        rows, back = np.unique(around, return_inverse=True)
-        de = np.zeros((len(rows), WIDTH), dtype=np.float32)
-        np.add.at(de, back.reshape(around.shape).ravel(), np.repeat(dh, len(SIDES), axis=0))
+        du = (first[None, :] == np.arange(DIGITS)[:, None]).astype(dg.dtype) @ dg
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+        rows, de = flat[order][starts], np.add.reduceat(dh[order // len(SIDES)], starts, axis=0)
         self.t += 1
         for name, grad, at in (
             ("w1", h.T @ d1, ...), ("b1", d1.sum(0), ...), ("w2", g.T @ d2, ...), ("b2", d2.sum(0), ...),
