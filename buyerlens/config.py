@@ -93,7 +93,8 @@ class ModelConfig:
     hidden_dims: tuple[int, ...] = (128, 64)
     lr: float = 1e-3
     epochs: int = 200
-    batches_per_epoch: int = 1
+    batch_rows: int = 256
+    shards: int = 8  # parts of the rows that train side by side between two averages
     beta: float = 1.0
     lambda_align: float = 1.0
     aligned_dims: int | None = None

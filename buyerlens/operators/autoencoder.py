@@ -56,7 +56,7 @@ def fit_autoencoder(
             return partial
 
         params, history = dense.minimise(
-            rows, id_column, dense.pack(arrays), gradient, 1, cfg.lr, cfg.epochs, cfg.batches_per_epoch, seed
+            rows, id_column, dense.pack(arrays), gradient, 1, cfg.lr, cfg.epochs, cfg.batch_rows, cfg.shards, seed
         )
     finally:
         rows.unpersist()
@@ -152,7 +152,8 @@ def fit_embedded_clusters(
             1,
             cfg.lr,
             iterations,
-            cfg.batches_per_epoch,
+            cfg.batch_rows,
+            cfg.shards,
             seed,
             renew,
         )

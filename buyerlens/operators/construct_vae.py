@@ -158,7 +158,8 @@ def fit_construct_vae(
             len(LOSSES),
             cfg.lr,
             cfg.epochs,
-            cfg.batches_per_epoch,
+            cfg.batch_rows,
+            cfg.shards,
             seed,
         )
     finally:

@@ -1,4 +1,4 @@
-"""Gradients of small dense networks and the step that sums them over Spark partitions."""
+"""Gradients of small dense networks, and their training in shards on Spark."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buyerlens.plans.partials import partitions_of, sum_partials
+from buyerlens.plans.partials import array_column
 
 Layer = tuple[np.ndarray, np.ndarray]
+SHARDS = 8
 
 
 def init_layers(sizes: Sequence[int], rng: np.random.Generator) -> list[Layer]:
@@ -102,34 +104,93 @@ def minimise(
     n_losses: int,
     lr: float,
     epochs: int,
-    batches: int = 1,
+    batch_rows: int = 256,
+    shards: int = SHARDS,
     seed: int = 0,
     before_epoch: Callable[[int, np.ndarray], None] | None = None,
 ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Adam on gradients summed over Spark; returns parameters and mean losses per epoch.
+    """Minibatch Adam in keyed shards, averaged after each epoch; returns parameters and mean losses per epoch.
 
-    ``gradient(epoch, params)`` gives the function that turns an Arrow batch into
-    ``[rows, losses…, gradient…]`` sums. A step reads the rows whose key hash falls in its batch,
-    so neither batches nor noise depend on the partitioning. Weights travel with the task.
+    Rows belong to ``shards`` shards by a hash of their id and stand in hashed order there. An epoch is one job:
+    each shard starts from the averaged weights and moments, streams through its rows in steps of ``batch_rows``,
+    and sends one vector; vectors are averaged by rows. So a run takes rows / ``batch_rows`` steps an epoch and
+    neither steps nor noise depend on the partitioning. ``gradient(epoch, params)`` gives the function that turns
+    an Arrow batch into ``[rows, losses…, gradient…]`` sums. More rows want more shards.
     """
-    parts = partitions_of(df)
-    adam, history = Adam(len(params), lr), []
-    for epoch in range(epochs):
-        if before_epoch is not None:
-            before_epoch(epoch, params)
-        sums = np.zeros(1 + n_losses)
-        for step in range(batches):
-            rows = df
-            if batches > 1:
-                key = F.pmod(F.xxhash64(id_column, F.lit(seed), F.lit(epoch)), F.lit(batches))
-                rows = df.where(key == step)
-            total = sum_partials(rows, gradient(epoch, params), parts)
-            sums += total[: 1 + n_losses]
-            params = adam.step(params, total[1 + n_losses :] / total[0])
-        history.append(sums[1:] / sums[0])
+    names = df.columns
+    keyed = df.withColumn("_order", F.xxhash64(id_column, F.lit(seed)))
+    keyed = keyed.withColumn("_shard", F.pmod("_order", F.lit(shards)).cast("int"))
+    rows = keyed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order", id_column).cache()
+    adam, history, size = Adam(len(params), lr), [], len(params)
+    try:
+        for epoch in range(epochs):
+            if before_epoch is not None:
+                before_epoch(epoch, params)
+
+            def train(batches, epoch=epoch, params=params, start=(adam.m, adam.v, adam.t)):
+                for shard, steps in _steps(batches, names, batch_rows):
+                    own, at = Adam(size, lr), params
+                    own.m, own.v, own.t = start
+                    sums = np.zeros(1 + n_losses)
+                    for batch in steps:
+                        total = gradient(epoch, at)(batch)
+                        sums += total[: 1 + n_losses]
+                        at = own.step(at, total[1 + n_losses :] / total[0])
+                    n = sums[0]
+                    made = np.concatenate([sums, [n * own.t], n * at, n * own.m, n * own.v])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), array_column(made[None, :])], ["shard", "part"])
+
+            found = rows.mapInArrow(train, "shard long, part array<double>").collect()  # a row a shard
+            if not found:
+                raise ValueError("no rows to fit on")
+            total = np.sum([np.asarray(r["part"]) for r in sorted(found, key=lambda r: r["shard"])], axis=0)
+            n = total[0]
+            history.append(total[1 : 1 + n_losses] / n)
+            adam.t = int(round(total[1 + n_losses] / n))
+            params, adam.m, adam.v = (total[2 + n_losses :] / n).reshape(3, size)
+    finally:
+        rows.unpersist()
     return params, history
 
 
+def _steps(batches, names: Sequence[str], batch_rows: int):
+    """``(shard, its minibatches)`` of rows sorted by shard, whatever the sizes of the Arrow batches."""
+    left, shard = None, None
+
+    def pieces():
+        """Runs of one shard's rows."""
+        for batch in batches:
+            of = batch.column(batch.schema.get_field_index("_shard")).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield int(of[a]), batch.slice(a, b - a).select(list(names))
+
+    source = pieces()
+    ahead = next(source, None)
+
+    def minibatches():
+        nonlocal ahead, left
+        while ahead is not None and ahead[0] == shard:
+            whole = ahead[1] if left is None else _joined([left, ahead[1]])
+            full = whole.num_rows // batch_rows * batch_rows
+            for at in range(0, full, batch_rows):
+                yield whole.slice(at, batch_rows)
+            left = whole.slice(full) if full < whole.num_rows else None
+            ahead = next(source, None)
+        if left is not None:
+            yield left
+            left = None
+
+    while ahead is not None:
+        shard = ahead[0]
+        yield shard, minibatches()
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def keyed_normal(ids: np.ndarray, dims: int, epoch: int, seed: int) -> np.ndarray:
     """Standard normal noise that depends on (id, dimension, epoch, seed) only."""
 

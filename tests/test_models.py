@@ -45,7 +45,7 @@ def test_training_does_not_depend_on_partitions(spark):
     x = np.random.default_rng(2).normal(size=(60, 5))
     got = []
     for parts in (1, 4):
-        model = construct_vae.fit_construct_vae(frame(spark, x, parts=parts), replace(CFG, batches_per_epoch=2), 5, 2)
+        model = construct_vae.fit_construct_vae(frame(spark, x, parts=parts), replace(CFG, batch_rows=16, shards=3), 5, 2)
         got.append((model.code(x), [h["total"] for h in model.history]))
     assert np.allclose(got[0][0], got[1][0], atol=1e-9) and np.allclose(got[0][1], got[1][1])
 
