@@ -32,7 +32,7 @@ from buyerlens.llm.text import CHECK_BASE, WORD_BASE, chunks, mixed, span_hashes
 WINDOW = 13
 ROUNDS = 2
 CHUNK = 1_000_000
-RUN = 15  # windows in one row of anchors
+RUN = 255  # windows in one row of anchors
 LAST = 2**63 - 1  # the place of a null id
 
 
@@ -122,7 +122,10 @@ def anchors(texts: list[bytes], window: int = WINDOW, rounds: int = ROUNDS):
     kind = np.where(own, rounds, np.searchsorted(np.cumsum([len(s.lo) for s in levels]), place, side="right"))
     name = span_hashes(flat, a, b, WORD_BASE) + kind.astype(np.uint64)
     text_of = owner[starts[run]]
-    return text_of, starts[run] - begin[text_of], count, name.view(np.int64)
+    # a word or phrase that fills a text gives neighbouring runs one name: they become one run
+    other = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (text_of[1:] != text_of[:-1])]))
+    first = starts[run][other] - begin[text_of[other]]
+    return text_of[other], first, np.add.reduceat(count, other), name[other].view(np.int64)
 
 
 def window_names(texts: list[bytes], text_of: np.ndarray, first: np.ndarray, window: int = WINDOW):
