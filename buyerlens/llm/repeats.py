@@ -136,6 +136,18 @@ def window_names(texts: list[bytes], text_of: np.ndarray, first: np.ndarray, win
     return span_hashes(flat, a, a + window, WORD_BASE).view(np.int64), check.astype(np.uint32).view(np.int32)
 
 
+def packed_runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows as one number each, place and length; a long run is cut, and the second result says in how many."""
+    pieces = -(-count // RUN)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = np.minimum(RUN, np.repeat(count, pieces) - nth * RUN)
+    return (np.repeat(first, pieces) + nth * RUN) * (RUN + 1) + size, pieces
+
+
+def unpacked_runs(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return run // (RUN + 1), run % (RUN + 1)
+
+
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b or b"" for b in batch.column(batch.schema.get_field_index("_text")).cast(pa.binary()).to_pylist()]
 
@@ -150,7 +162,7 @@ def sharing(rows: DataFrame, keys: list[str], only_later: bool) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """``(doc_id, _id, _key, _text, _copy, _starts)``: per row its windows that an earlier document has; ``_copy``
+    """``(doc_id, _id, _key, _text, _copy, _runs)``: per row its runs of windows that an earlier document has; ``_copy``
     marks a row whose whole text an earlier document has."""
     rows = docs.select(
         "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text")
@@ -159,15 +171,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
             text_of, first, count, name = anchors(raw_texts(part), window, rounds)
-            # a run of windows is short unless one word fills it, so runs are cut to fit beside their place in one number
-            pieces = -(-count // RUN)
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(RUN, np.repeat(count, pieces) - nth * RUN)
-            run = (np.repeat(first, pieces) + nth * RUN) * (RUN + 1) + size
+            run, pieces = packed_runs(first, count)
             of = pa.array(np.repeat(text_of, pieces))
             yield pa.RecordBatch.from_arrays(
-                [part.column(1).take(of), part.column(2).take(of), pa.array(run), pa.array(np.repeat(name, pieces))],
-                names=["_id", "_key", "_run", "_name"],
+                [pa.array(np.repeat(name, pieces)), pa.array(run), part.column(1).take(of), part.column(2).take(of)],
+                names=["_name", "_run", "_id", "_key"],
             )
 
     # every join below is on the row's id and text hash, so one exchange of the texts serves them all
@@ -175,7 +183,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     copies = sharing(whole, ["_sha"], only_later=True).select("_id", "_key", F.lit(True).alias("_copy")).distinct()
     # an exact copy has no window that its first text has not, so it is left out before it is cut
     singles = rows.join(copies, ["_id", "_key"], "left_anti").select("doc_id", "_id", "_key", "_text")
-    found = singles.mapInArrow(to_anchors, "_id long, _key long, _run long, _name long")
+    # what changes from row to row comes first, and what a text's rows share last, where it compresses away
+    found = singles.mapInArrow(to_anchors, "_name long, _run long, _id long, _key long")
     shared = (
         sharing(found, ["_name"], only_later=False).groupBy("_id", "_key").agg(F.collect_list("_run").alias("_shared"))
     )
@@ -185,24 +194,30 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
         for part in chunks(batches, "_text", CHUNK):
             lists = part.column(4)
             n = np.diff(lists.offsets.to_numpy())
-            run = lists.flatten().to_numpy()
-            from_, count = run // (RUN + 1), run % (RUN + 1)
+            from_, count = unpacked_runs(lists.flatten().to_numpy())
             text_of = np.repeat(np.repeat(np.arange(part.num_rows), n), count)
             first = np.repeat(from_ - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
+            order = np.lexsort((first, text_of))
+            text_of, first = text_of[order], first[order]
             name, check = window_names(raw_texts(part), text_of, first, window)
-            of = pa.array(text_of)
+            # a word that fills a text makes neighbouring windows equal: they are one row
+            on = (name[1:] == name[:-1]) & (check[1:] == check[:-1]) & (text_of[1:] == text_of[:-1]) & (np.diff(first) == 1)
+            head = np.flatnonzero(np.concatenate([[True], ~on])[: len(name)])
+            run, pieces = packed_runs(first[head], np.diff(np.append(head, len(name))))
+            head = np.repeat(head, pieces)
+            of = pa.array(text_of[head])
             yield pa.RecordBatch.from_arrays(
-                [part.column(1).take(of), part.column(2).take(of), pa.array(first.astype(np.int32)), pa.array(name), pa.array(check)],
-                names=["_id", "_key", "_start", "_name", "_check"],
+                [pa.array(name[head]), pa.array(check[head]), pa.array(run), part.column(1).take(of), part.column(2).take(of)],
+                names=["_name", "_check", "_run", "_id", "_key"],
             )
 
     candidates = marked.select("doc_id", "_id", "_key", "_text", "_shared").mapInArrow(
-        to_windows, "_id long, _key long, _start int, _name long, _check int"
+        to_windows, "_name long, _check int, _run long, _id long, _key long"
     )
     later = (
         sharing(candidates, ["_name", "_check"], only_later=True)
         .groupBy("_id", "_key")
-        .agg(F.collect_list("_start").alias("_starts"))
+        .agg(F.collect_list("_run").alias("_runs"))
     )
     return rows.join(later.join(copies, ["_id", "_key"], "full"), ["_id", "_key"], "left")
 
@@ -214,17 +229,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
             n_words, n_removed, digests, texts = [], [], [], []
-            copies, starts = part.column(2).to_pylist(), part.column(3)
+            copies, runs = part.column(2).to_pylist(), part.column(3)
             for i, raw in enumerate(raw_texts(part)):
                 words = raw.split()
                 gone = 0
                 if copies[i] and len(words) >= window:
                     words, gone = [], len(words)
-                elif starts[i].is_valid:
+                elif runs[i].is_valid:
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = starts[i].values.to_numpy()
+                    at, count = unpacked_runs(runs[i].values.to_numpy())
                     np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    np.add.at(cover, at + count + window - 1, -1)
                     covered = np.cumsum(cover[:-1]) > 0
                     gone = int(covered.sum())
                     words = [w for w, c in zip(words, covered.tolist()) if not c]
@@ -240,4 +255,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     repeats = find_repeats(docs, window, rounds)
-    return repeats.select("doc_id", "_text", "_copy", "_starts").mapInArrow(remove, schema)
+    return repeats.select("doc_id", "_text", "_copy", "_runs").mapInArrow(remove, schema)
