@@ -259,7 +259,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, seed: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> dict:
-    """A model of at most ``sample_rows`` labelled texts, which the driver reads one partition at a time."""
+    """A model of at most ``sample_rows`` labelled texts, which are fitted on the driver."""
     some = learnable(labels, "toxic", sample_rows, seed).withColumnRenamed("label", "_label")
     texts = (
         docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id")
