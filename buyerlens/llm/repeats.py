@@ -32,7 +32,7 @@ from buyerlens.llm.text import CHECK_BASE, WORD_BASE, chunks, mixed, span_hashes
 WINDOW = 13
 ROUNDS = 2
 CHUNK = 1_000_000
-RUN = 255  # windows in one row of anchors
+RUN, STRIDE = 255, 15  # most windows in one row, and most words between them
 LAST = 2**63 - 1  # the place of a null id
 
 
@@ -136,16 +136,43 @@ def window_names(texts: list[bytes], text_of: np.ndarray, first: np.ndarray, win
     return span_hashes(flat, a, a + window, WORD_BASE).view(np.int64), check.astype(np.uint32).view(np.int32)
 
 
-def packed_runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of windows as one number each, place and length; a long run is cut, and the second result says in how many."""
+def packed_runs(first: np.ndarray, stride: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows at regular strides as one number each: place, stride and length. A long run is cut, and the second
+    result says in how many."""
     pieces = -(-count // RUN)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     size = np.minimum(RUN, np.repeat(count, pieces) - nth * RUN)
-    return (np.repeat(first, pieces) + nth * RUN) * (RUN + 1) + size, pieces
+    stride = np.repeat(stride, pieces)
+    return ((np.repeat(first, pieces) + nth * RUN * stride) * (STRIDE + 1) + stride) * (RUN + 1) + size, pieces
 
 
 def unpacked_runs(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return run // (RUN + 1), run % (RUN + 1)
+    """All windows of the runs, and how many each run has."""
+    count, stride, first = run % (RUN + 1), run // (RUN + 1) % (STRIDE + 1), run // (RUN + 1) // (STRIDE + 1)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + nth * np.repeat(stride, count), count
+
+
+def regular(text_of: np.ndarray, names: tuple[np.ndarray, ...], first: np.ndarray):
+    """Windows of one name that stand in one text at a regular stride, gathered: order of the windows, heads of the
+    runs in that order, strides and lengths. A phrase that fills a text, of up to ``STRIDE`` words, costs a row or two a word."""
+    order = np.lexsort((first, *names, text_of))
+    n = len(order)
+    if not n:
+        return order, order, order, order
+    of, at = text_of[order], first[order]
+    same = of[1:] == of[:-1]
+    for name in names:
+        same &= name[order][1:] == name[order][:-1]
+    gap = np.concatenate([[0], np.where(same & (np.diff(at) <= STRIDE), np.diff(at), 0)])
+    after, before = np.append(gap[1:], 0), np.concatenate([[0], gap[:-1]])
+    on = (gap > 0) & ((gap == after) | (gap == before))
+    on &= ~np.concatenate([[False], on[:-1] & (gap[1:] != gap[:-1])])
+    # where a run was broken, what follows at another stride begins anew
+    head = np.flatnonzero(~on)
+    count = np.diff(np.append(head, n))
+    stride = np.where(count > 1, np.append(gap, 0)[np.minimum(head + 1, n)], 1)
+    return order, head, stride, count
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -171,10 +198,17 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", CHUNK):
             text_of, first, count, name = anchors(raw_texts(part), window, rounds)
-            run, pieces = packed_runs(first, count)
-            of = pa.array(np.repeat(text_of, pieces))
+            one = np.flatnonzero(count == 1)
+            order, head, stride, n = regular(text_of[one], (name[one],), first[one])
+            row = np.concatenate([np.flatnonzero(count > 1), one[order[head]]])
+            row = row[np.argsort(text_of[row], kind="stable")]
+            strides, counts = np.ones(len(count), dtype=np.int64), count.copy()
+            strides[one[order[head]]], counts[one[order[head]]] = stride, n
+            run, pieces = packed_runs(first[row], strides[row], counts[row])
+            row = np.repeat(row, pieces)
+            of = pa.array(text_of[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(name, pieces)), pa.array(run), part.column(1).take(of), part.column(2).take(of)],
+                [pa.array(name[row]), pa.array(run), part.column(1).take(of), part.column(2).take(of)],
                 names=["_name", "_run", "_id", "_key"],
             )
 
@@ -194,16 +228,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
         for part in chunks(batches, "_text", CHUNK):
             lists = part.column(4)
             n = np.diff(lists.offsets.to_numpy())
-            from_, count = unpacked_runs(lists.flatten().to_numpy())
+            first, count = unpacked_runs(lists.flatten().to_numpy())
             text_of = np.repeat(np.repeat(np.arange(part.num_rows), n), count)
-            first = np.repeat(from_ - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-            order = np.lexsort((first, text_of))
-            text_of, first = text_of[order], first[order]
             name, check = window_names(raw_texts(part), text_of, first, window)
-            # a word that fills a text makes neighbouring windows equal: they are one row
-            on = (name[1:] == name[:-1]) & (check[1:] == check[:-1]) & (text_of[1:] == text_of[:-1]) & (np.diff(first) == 1)
-            head = np.flatnonzero(np.concatenate([[True], ~on])[: len(name)])
-            run, pieces = packed_runs(first[head], np.diff(np.append(head, len(name))))
+            order, head, stride, count = regular(text_of, (name, check), first)
+            head = order[head]
+            run, pieces = packed_runs(first[head], stride, count)
             head = np.repeat(head, pieces)
             of = pa.array(text_of[head])
             yield pa.RecordBatch.from_arrays(
@@ -237,9 +267,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                     words, gone = [], len(words)
                 elif runs[i].is_valid:
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
-                    at, count = unpacked_runs(runs[i].values.to_numpy())
+                    at, _ = unpacked_runs(runs[i].values.to_numpy())
                     np.add.at(cover, at, 1)
-                    np.add.at(cover, at + count + window - 1, -1)
+                    np.add.at(cover, at + window, -1)
                     covered = np.cumsum(cover[:-1]) > 0
                     gone = int(covered.sum())
                     words = [w for w, c in zip(words, covered.tolist()) if not c]

@@ -167,3 +167,22 @@ def test_variable_fields_are_one_template(spark):
     docs = [(i, f"only {chr(97 + i)}\njob {i} took {i * 7} ms on node-{i}") for i in range(5)]
     got = {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 60)), max_size=60, unique=True))
+def test_runs_hold_every_window_once(windows):
+    rows = np.array(windows, dtype=np.int64).reshape(-1, 3)
+    order, head, stride, count = repeats.regular(rows[:, 0], (rows[:, 1],), rows[:, 2])
+    run, pieces = repeats.packed_runs(rows[order[head], 2], stride, count)
+    at, n = repeats.unpacked_runs(run)
+    owner = np.repeat(np.repeat(order[head], pieces), n)
+    found = [(int(rows[o, 0]), int(rows[o, 1]), int(a)) for o, a in zip(owner, at)]
+    assert sorted(found) == sorted(map(tuple, rows.tolist()))
+
+
+def test_a_phrase_that_fills_a_text_is_few_rows():
+    text = ("Is onhe. " * 3000).encode()
+    text_of, first, count, name = repeats.anchors([text])
+    _, head, _, _ = repeats.regular(text_of, (name,), first)
+    assert count.sum() == 5988 and len(head) < 40
