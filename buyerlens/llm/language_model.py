@@ -1,14 +1,18 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small window network predicts every word of a text from the two words before it and the two after it; a text's score is
-the sum of the log-probabilities it gives the words. Words are the ``OWN`` commonest of the whole corpus, counted by Spark, and
-``HASHED`` buckets for the others. A word is two digits: the first is predicted from the context, the second from the context and the
-first, so a prediction costs two small softmaxes. Words outside the text are one padding word.
+the sum of the log-probabilities it gives the words. All words that stand ``MIN_COUNT`` times or more in the corpus, counted by
+Spark, have an id of their own, so the network grows with the input. The rarer ones share at least ``HASHED`` buckets, and a
+rare word's probability is its bucket's times its own share of the bucket's count. An id is two digits: the first is predicted
+from the context, the second from the context and the first, so a prediction costs two small softmaxes. Words outside the text
+are one padding word.
 
-Training is data-parallel: in each round every task starts from the same weights, masks a seeded one in ``MASK`` words
-of each of its texts, takes minibatch Adam steps on them in numpy, and sends its weights once. Those are added up in
-streams, by ``ADDERS`` tasks, and averaged by words seen. All texts take part; the sums that are sent grow with the number of tasks. Weights
-depend on how the input is split, so scores agree between runs that split it alike.
+Training is data-parallel: in each round every task starts from the same weights, takes each word of its texts once, in
+seeded order, in minibatch Adam steps in numpy, and sends once what it changed: rows of the word table that it touched, and the
+small matrices. Changes are added up by ``ADDERS`` tasks and averaged, a table row by how often each task met it and the rest by
+words seen. All texts take part. Weights depend on how the input is split, so scores agree between runs that split it alike.
+
+Shares of rare words are joined on the word, which has fewer than ``MIN_COUNT`` rows, so no key is large.
 
 Defined cases: a null or empty text has log-probability 0 and no mean (null); null ids and repeated rows are ordinary
 rows; an empty table gives no rows; other columns are ignored; a text is scored whole, however long.
@@ -16,6 +20,7 @@ rows; an empty table gives no rows; other columns are ignored; a text is scored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,51 +28,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buyerlens.llm.text import WORD_BASE, chunks, mixed, per_chunk, word_names
+from buyerlens.llm.text import chunks, per_chunk, word_names
+from buyerlens.session import materialise
 
-OWN, HASHED = 767, 256
-DIGITS = 32
-WORDS = DIGITS * DIGITS  # own, hashed and the padding word
+MIN_COUNT = 50
+HASHED = 256
+WORDS = 1024  # of a network made without a vocabulary
 WIDTH = 24
 SIDES = (-2, -1, 1, 2)
-MASK = 8
 ROUNDS = 2
-BATCH = 512
+BATCH = 2048
 RATE = 0.01
 ADDERS = 8
+BLOCK = 4096
 SEED = 17
 CHUNK = 500_000
-PARTS = (("e", (len(SIDES) * WORDS, WIDTH)), ("b", (WIDTH,)), ("w1", (WIDTH, DIGITS)), ("b1", (DIGITS,)),
-         ("u", (DIGITS, WIDTH)), ("w2", (WIDTH, DIGITS)), ("b2", (DIGITS,)))
+SMALL = ("b", "w1", "b1", "u", "w2", "b2")
 
 
-def fresh(seed: int = SEED) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {n: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in PARTS}
+def shapes(words: int) -> dict[str, tuple[int, ...]]:
+    """The shape of each weight for a number of ids, the padding word among them."""
+    digits = math.isqrt(words - 1) + 1
+    return {"e": (len(SIDES) * words, WIDTH), "b": (WIDTH,), "w1": (WIDTH, digits), "b1": (digits,),
+            "u": (digits, WIDTH), "w2": (WIDTH, digits), "b2": (digits,)}
 
 
-def packed(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[n].ravel() for n, _ in PARTS])
+def fresh(seed: int = SEED, words: int = WORDS) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return {n: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in shapes(words).items()}
 
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in PARTS:
-        size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape).astype(np.float32)
-        at += size
-    return out
+def small(weights: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights but the word table, in one vector."""
+    return np.concatenate([weights[n].ravel() for n in SMALL])
 
 
 class Vocabulary:
-    """Ids of words by their 64-bit names: the commonest have their own, others share hashed ones."""
+    """Ids of words by their 64-bit names: those given have their own, others share buckets; the last is the padding word."""
 
     def __init__(self, names: np.ndarray):
         order = np.argsort(names)
         self.names, self.ids = names[order], order.astype(np.int32)
+        self.own = len(names)
+        self.words = (math.isqrt(self.own + HASHED) + 1) ** 2  # all pairs of digits are used
+        self.hashed = self.words - 1 - self.own
+
+    def buckets(self, names: np.ndarray) -> np.ndarray:
+        return (names % np.uint64(self.hashed)).astype(np.int32)
 
     def ids_of(self, names: np.ndarray) -> np.ndarray:
-        rest = (OWN + names % np.uint64(HASHED)).astype(np.int32)
+        rest = self.own + self.buckets(names)
         if not len(self.names):
             return rest
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
@@ -78,13 +88,13 @@ class Vocabulary:
         names, first = word_names(texts)
         text_of = np.repeat(np.arange(len(texts)), np.diff(first))
         place = np.arange(len(names)) + 2 * text_of + 2
-        flat = np.full(len(names) + 2 * len(texts) + 2, WORDS - 1, dtype=np.int32)
+        flat = np.full(len(names) + 2 * len(texts) + 2, self.words - 1, dtype=np.int32)
         flat[place] = self.ids_of(names)
         return flat, place, text_of
 
 
-def context(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.stack([flat[place + s] + k * WORDS for k, s in enumerate(SIDES)], axis=1)
+def context(flat: np.ndarray, place: np.ndarray, words: int) -> np.ndarray:
+    return np.stack([flat[place + s] + k * words for k, s in enumerate(SIDES)], axis=1)
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray, first: np.ndarray):
@@ -104,12 +114,12 @@ def log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(w: dict[str, np.ndarray], flat: np.ndarray, place: np.ndarray, step: int = 8192) -> np.ndarray:
-    out = np.empty(len(place), dtype=np.float64)
+    out, digits, words = np.empty(len(place), dtype=np.float64), len(w["b1"]), len(w["e"]) // len(SIDES)
     for i in range(0, len(place), step):
         at = place[i : i + step]
         word = flat[at]
-        first, second = word // DIGITS, word % DIGITS
-        _, _, p1, p2 = forward(w, context(flat, at), first)
+        first, second = word // digits, word % digits
+        _, _, p1, p2 = forward(w, context(flat, at, words), first)
         out[i : i + step] = log_share(p1, first) + log_share(p2, second)
     return out
 
@@ -128,8 +138,8 @@ class Trainer:
         self.v = {n: np.zeros_like(a) for n, a in weights.items()}
 
     def step(self, around: np.ndarray, word: np.ndarray) -> None:
-        w, n = self.w, len(word)
-        first, second = word // DIGITS, word % DIGITS
+        w, n, digits = self.w, len(word), len(self.w["b1"])
+        first, second = word // digits, word % digits
         h, g, p1, p2 = forward(w, around, first)
         d1, d2 = softmax(p1), softmax(p2)
         d1[np.arange(n), first] -= 1
@@ -138,7 +148,7 @@ class Trainer:
         d2 /= n
         dg = d2 @ w["w2"].T
         dh = (d1 @ w["w1"].T + dg) * (1 - h * h)
-        du = (first[None, :] == np.arange(DIGITS)[:, None]).astype(dg.dtype) @ dg
+        du = (first[None, :] == np.arange(digits)[:, None]).astype(dg.dtype) @ dg
         flat = around.ravel()
         order = np.argsort(flat, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
@@ -155,8 +165,8 @@ class Trainer:
             w[name][at] -= rate * m / (np.sqrt(v) + 1e-8)
 
 
-def commonest_words(docs: DataFrame, own: int = OWN) -> np.ndarray:
-    """64-bit names of the commonest words of all texts, most frequent first."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """``(_name, _n)``: the 64-bit name of every word of all texts, and how often it stands there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", 4_000_000):
@@ -165,86 +175,177 @@ def commonest_words(docs: DataFrame, own: int = OWN) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times)], names=["_name", "_n"])
 
     counted = docs.select(F.col("text").alias("_text")).mapInArrow(count, "_name long, _n long")
-    top = counted.groupBy("_name").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "_name").limit(own).collect()
-    return np.array([r["_name"] for r in top], dtype=np.int64).view(np.uint64)
+    return materialise(counted.groupBy("_name").agg(F.sum("_n").alias("_n")))
+
 
+def own_words(counted: DataFrame, least: int = MIN_COUNT) -> np.ndarray:
+    """64-bit names of all words that stand ``least`` times or more, most frequent first."""
+    rows = counted.where(F.col("_n") >= least).toArrow()
+    names, times = (rows[c].to_numpy() for c in ("_name", "_n"))
+    return names[np.lexsort((names, -times))].view(np.uint64)
 
-def masked(text_of: np.ndarray, place: np.ndarray, texts: list[bytes], flat: np.ndarray, round_: int) -> np.ndarray:
-    """The places masked in this round: one in ``MASK`` words, by a draw from the word's neighbourhood and place."""
-    start = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))])[text_of]
-    inside = np.arange(len(place)) - start
-    near = flat[place].astype(np.int64) * WORDS + flat[place + 1]
-    draw = mixed((inside + (near << 24)).astype(np.uint64) + np.uint64((round_ + 1) * WORD_BASE % (1 << 64)))
-    return place[draw % np.uint64(MASK) == 0]
 
+def bucket_counts(rare: DataFrame, names: np.ndarray) -> np.ndarray:
+    """How often the words of each bucket stand in the corpus."""
+    words = Vocabulary(names)
+    hashed = words.hashed
 
-def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Names of the own words, and the weights after ``rounds`` averaged passes over all texts."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(hashed, dtype=np.int64)
+        for batch in batches:
+            name, times = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            np.add.at(total, (name.view(np.uint64) % np.uint64(hashed)).astype(np.int64), times)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(total)], names=["_bucket", "_n"])
+
+    out = np.zeros(hashed, dtype=np.int64)
+    sums = rare.select("_name", "_n").mapInArrow(add, "_bucket long, _n long").groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    rows = sums.toArrow()
+    out[rows["_bucket"].to_numpy()] = rows["_n"].to_numpy()
+    return out
+
+
+def rare_shares(docs: DataFrame, rare: DataFrame, names: np.ndarray) -> DataFrame:
+    """``(_hit, _mean)``: of each text with rare words, by its hash, the mean logarithm of their counts in the corpus."""
+    sent = docs.sparkSession.sparkContext.broadcast(names)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.sort(sent.value)
+        for part in chunks(batches, "_text", CHUNK):
+            texts = [b or b"" for b in part.column(1).cast(pa.binary()).to_pylist()]
+            found, first = word_names(texts)
+            text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+            if len(own):
+                at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                other = own[at] != found
+                found, text_of = found[other], text_of[other]
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[text_of]), pa.array(found.view(np.int64))], names=["_hit", "_word"]
+            )
+
+    tokens = docs.select(F.xxhash64("text").alias("_hit"), F.col("text").alias("_text")).mapInArrow(
+        find, "_hit long, _word long"
+    )
+    return (
+        tokens.join(rare, F.col("_word") == F.col("_name"))
+        .groupBy("_hit")
+        .agg(F.avg(F.log(F.col("_n").cast("double"))).alias("_mean"))
+    )
+
+
+def changes(before: dict[str, np.ndarray], after: dict[str, np.ndarray], met: np.ndarray, seen: int) -> Iterator[tuple]:
+    """``(block, rows, weights, sums)``: weighted changes of the small weights (block -1), and of table rows that were met."""
+    yield -1, np.zeros(1, np.int32), np.array([seen], np.float32), (small(after) - small(before)) * np.float32(seen)
+    for block in range(-(-len(met) // BLOCK)):
+        a = block * BLOCK
+        rows = np.flatnonzero(met[a : a + BLOCK])
+        if len(rows):
+            weight = met[a + rows].astype(np.float32)
+            yield block, rows.astype(np.int32), weight, (after["e"][a + rows] - before["e"][a + rows]) * weight[:, None]
+
+
+def add_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all changes of each block."""
+    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, rows, weight, part in zip(*(c.to_pylist() for c in batch.columns)):
+            at, weight = np.frombuffer(rows, np.int32), np.frombuffer(weight, np.float32)
+            part = np.frombuffer(part, np.float32).reshape(len(at), -1)
+            if block not in total:
+                n = 1 if block < 0 else BLOCK
+                total[block] = np.zeros(n), np.zeros((n, part.shape[1]), np.float32 if block >= 0 else np.float64)
+            total[block][0][at] += weight
+            total[block][1][at] += part
+    for block, (weight, part) in total.items():
+        rows = np.flatnonzero(weight)
+        yield as_batch((block, rows.astype(np.int32), weight[rows].astype(np.float32), part[rows].astype(np.float32)))
+
+
+def as_batch(change: tuple) -> pa.RecordBatch:
+    block, *arrays = change
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]],
+        names=["_block", "_rows", "_weight", "_sum"],
+    )
+
+
+def train(docs: DataFrame, names: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """The weights after ``rounds`` averaged passes over all words of all texts."""
     spark = docs.sparkSession
-    names = commonest_words(docs)
-    weights = fresh(seed)
-    size = len(packed(weights))
+    words = Vocabulary(names).words
+    weights = fresh(seed, words)
     for round_ in range(rounds):
-        sent = spark.sparkContext.broadcast((names, packed(weights)))
+        sent = spark.sparkContext.broadcast((names, weights))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
-            own, flat_weights = sent.value
-            words, trainer, seen = Vocabulary(own), Trainer(unpacked(flat_weights)), 0
+            own, before = sent.value
+            vocabulary, trainer, seen = Vocabulary(own), Trainer(before), 0
+            met = np.zeros(len(before["e"]), dtype=np.int64)
             for part in chunks(batches, "_text", CHUNK):
                 texts = [b or b"" for b in part.column(0).cast(pa.binary()).to_pylist()]
-                flat, place, text_of = words.laid_out(texts)
-                at = masked(text_of, place, texts, flat, round_)
-                at = at[np.random.default_rng(seed + round_).permutation(len(at))]
+                flat, place, _ = vocabulary.laid_out(texts)
+                at = place[np.random.default_rng(seed + round_).permutation(len(place))]
                 for i in range(0, len(at), BATCH):
                     here = at[i : i + BATCH]
-                    trainer.step(context(flat, here), flat[here])
+                    around = context(flat, here, words)
+                    trainer.step(around, flat[here])
+                    np.add.at(met, around.ravel(), 1)
                 seen += len(at)
             if seen:
-                total = packed(trainer.w).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())],
-                    names=["_seen", "_total"],
-                )
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, total = 0, np.zeros(size)
-            for batch in batches:
-                for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    seen += n
-                    total += np.frombuffer(raw, dtype=np.float32)
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())],
-                    names=["_seen", "_total"],
-                )
+                for change in changes(before, trainer.w, met, seen):
+                    yield as_batch(change)
 
-        kind = "_seen long, _total binary"
+        kind = "_block long, _rows binary, _weight binary, _sum binary"
         local = docs.select(F.col("text").alias("_text")).mapInArrow(learn, kind)
-        added = local.repartition(ADDERS).mapInArrow(add, kind).collect()  # at most ``ADDERS`` rows
+        added = local.repartition(ADDERS).mapInArrow(add_changes, kind)
+        added = added.repartition(ADDERS, "_block").mapInArrow(add_changes, kind).collect()  # each block once
         if not added:
             break
-        total = sum(np.frombuffer(r["_total"], dtype=np.float32).astype(np.float64) for r in added)
-        weights = unpacked(total / sum(r["_seen"] for r in added))
-    return names, weights
-
-
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+        weights = {n: a.copy() for n, a in weights.items()}
+        for r in added:
+            at, weight = np.frombuffer(r["_rows"], np.int32), np.frombuffer(r["_weight"], np.float32)
+            mean = np.frombuffer(r["_sum"], np.float32).reshape(len(at), -1) / weight[:, None]
+            if r["_block"] >= 0:
+                weights["e"][r["_block"] * BLOCK + at] += mean
+                continue
+            ends = np.cumsum([weights[n].size for n in SMALL])[:-1]
+            for n, change in zip(SMALL, np.split(mean[0], ends)):
+                weights[n] += change.reshape(weights[n].shape)
+    return weights
+
+
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED, least: int = MIN_COUNT) -> DataFrame:
     """``(doc_id, n_words, log_probability, per_word)`` of every row of ``docs``, by a model of all its texts."""
-    names, weights = train(docs, rounds, seed)
-    sent = docs.sparkSession.sparkContext.broadcast((names, packed(weights)))
+    counted = counted_words(docs)
+    names, rare = own_words(counted, least), counted.where(F.col("_n") < least)
+    weights = train(docs, names, rounds, seed)
+    in_bucket = bucket_counts(rare, names)
+    sent = docs.sparkSession.sparkContext.broadcast((names, weights, in_bucket))
 
     def make():
-        own, flat_weights = sent.value
-        words, w = Vocabulary(own), unpacked(flat_weights)
+        own, w, in_bucket = sent.value
+        words = Vocabulary(own)
+        whole = np.zeros(words.words)
+        whole[words.own : -1] = np.log(np.maximum(in_bucket, 1))
 
         def score(texts: list[bytes]) -> list:
             flat, place, text_of = words.laid_out(texts)
             n = np.bincount(text_of, minlength=len(texts))
-            return [pa.array(n.astype(np.int64)), np.bincount(text_of, log_probabilities(w, flat, place), minlength=len(texts))]
+            total = log_probabilities(w, flat, place) - whole[flat[place]]
+            n_rare = np.bincount(text_of, flat[place] >= words.own, minlength=len(texts))
+            return [pa.array(n.astype(np.int64)), np.bincount(text_of, total, minlength=len(texts)), pa.array(n_rare.astype(np.int64))]
 
         return score
 
-    scored = per_chunk(docs, ["doc_id"], "text", [("n_words", "long"), ("log_probability", "double")], make, chars=CHUNK)
-    return scored.withColumn(
+    scored = materialise(per_chunk(
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_key")), ["doc_id", "_key"], "text",
+        [("n_words", "long"), ("log_probability", "double"), ("_rare", "long")], make, chars=CHUNK,
+    ))
+    # a text with rare words has fewer than ``least`` rows, so the look-up has no large key
+    full = scored.where("_rare > 0").join(rare_shares(docs, rare, names), F.col("_key") == F.col("_hit"), "left").select(
+        "doc_id", "n_words", (F.col("log_probability") + F.col("_rare") * F.col("_mean")).alias("log_probability")
+    )
+    whole = full.unionAll(scored.where("_rare = 0").select("doc_id", "n_words", "log_probability"))
+    return whole.withColumn(
         "per_word", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
     )

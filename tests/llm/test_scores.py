@@ -285,3 +285,49 @@ def test_all_places_are_scored():
     assert np.bincount(text_of, minlength=4).tolist() == [3, 0, 1, 2]
     out = language_model.log_probabilities(language_model.fresh(), flat, place, step=2)
     assert len(out) == 6 and (out < 0).all()
+
+
+def test_rare_words_have_probabilities_of_their_own(spark):
+    rng = random.Random(5)
+    docs = [(d, " ".join(rng.choices(["red", "blue", "green"], k=40)) + f" rare{d % 20} once{d}") for d in range(60)]
+    df = spark.createDataFrame(docs + [docs[0]], SCHEMA).repartition(3)
+    counts = Counter(w for _, t in docs + [docs[0]] for w in t.split())
+    counted = language_model.counted_words(df)
+    names = language_model.own_words(counted)
+    assert len(names) == sum(n >= language_model.MIN_COUNT for n in counts.values())
+    words = language_model.Vocabulary(names)
+    name = {w: language_model.word_names([w.encode()])[0] for w in counts}
+    bucket = {w: int(words.ids_of(name[w])[0]) for w in counts}
+    size = Counter()
+    for w, n in counts.items():
+        size[bucket[w]] += n
+    weights = language_model.train(df, names)
+    want = []
+    for d, t in docs + [docs[0]]:
+        flat, place, _ = words.laid_out([t.encode()])
+        total = language_model.log_probabilities(weights, flat, place).sum()
+        total += sum(math.log(counts[w] / size[bucket[w]]) for w in t.split() if bucket[w] >= words.own)
+        want.append((d, total))
+    got = sorted((r.doc_id, r.log_probability) for r in language_model.pseudo_likelihood(df).collect())
+    assert [d for d, _ in got] == [d for d, _ in sorted(want)]
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], rel=1e-4)
+
+
+def test_all_frequent_words_have_ids_of_their_own(spark):
+    docs = [(d, " ".join(f"w{k}" for k in range(1500))) for d in range(50)]
+    names = language_model.own_words(language_model.counted_words(spark.createDataFrame(docs, SCHEMA)))
+    words = language_model.Vocabulary(names)
+    flat, place, _ = words.laid_out([docs[0][1].encode()])
+    assert len(set(flat[place].tolist())) == 1500 and flat[place].max() < words.own
+
+
+def test_every_word_is_trained_on(spark):
+    docs = [(d, " ".join(f"w{d}x{k}" for k in range(30))) for d in range(8)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    none = np.zeros(0, dtype=np.uint64)
+    words, weights = language_model.Vocabulary(none), language_model.train(df, none, rounds=1)
+    before = language_model.fresh(words=words.words)
+    for _, t in docs:
+        flat, place, _ = words.laid_out([t.encode()])
+        around = language_model.context(flat, place, words.words)
+        assert (weights["e"][around] != before["e"][around]).any(axis=2).all()
