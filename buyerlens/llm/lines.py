@@ -7,7 +7,9 @@ template, and its lines are dropped from every document but the one with the sma
 functions only.
 
 Defined cases: a null text has no lines and stays null; an empty text is one line without tokens; lines
-with fewer than ``min_tokens`` tokens are never dropped; rows with one id are one document and lose the same
+with fewer than ``min_tokens`` tokens are never dropped (the query op5 and its SQL statement leave out lines of one token, the
+pipeline only lines without tokens); a line of one token has that token as its leaf, digits and all, since a field alone
+would fit any line; rows with one id are one document and lose the same
 templates, and rows with a null id together are one document, after all others; a row keeps all its lines of a
 template or none; an empty table gives no rows; other columns are carried along as they are.
 """
@@ -34,7 +36,7 @@ def template(line: Column, depth: int = DEPTH, similarity: float = SIMILARITY, m
         fixed = F.least(n, F.greatest(F.lit(depth), F.ceil(n * similarity).cast("int")))
         lead = F.array_join(F.slice(tokens, F.lit(1), F.greatest(fixed, F.lit(1))), " ")
         general = F.when(
-            lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD)
+            (n > 1) & lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD)
         ).otherwise(lead)
         return F.when(n >= min_tokens, F.xxhash64(n, general))
 

@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates; ``n_chars`` is that of the text left."""
-    kept = drop_recurring_lines(docs)
+    """All documents, without lines of recurring templates, lines of one token too; ``n_chars`` is that of the text left."""
+    kept = drop_recurring_lines(docs, min_tokens=1)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 

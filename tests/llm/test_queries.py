@@ -103,6 +103,14 @@ def test_pipeline(spark):
     assert plain.sorted_rows((r.doc_id, r["size"], r.taken) for r in run) == plain.sorted_rows((r.doc_id, r["size"], r.taken) for r in last)
 
 
+def test_line_stage_drops_lines_of_one_token(spark):
+    rows = [(d, f"Les.\nown{d} text of {d * 'x'}\n文字行没有空格\nno{d}\n", "en", "s", 1) for d in range(1, 6)]
+    made = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, plain.COLUMNS), SF).collect()
+    assert {r.doc_id: r.text for r in made} == {
+        d: t if d == 1 else f"own{d} text of {d * 'x'}\nno{d}\n" for d, t, *_ in rows
+    }
+
+
 def test_quality_stage_keeps_clean_documents(spark):
     kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
