@@ -5,7 +5,7 @@ text, so 1 is a full match, and postings are grouped in blocks of ``BLOCK`` item
 segments as long as the longest item, and two neighbours make a passage, so whatever a text holds of
 an item lies in one passage. A passage's sum of block maxima bounds its score for every item of the block:
 blocks below the threshold are skipped, the others are scored exactly. Every item above the threshold is then
-verified by its five-word shingles and by the words of its question (all but the last sentence) and its answer.
+verified by its five-word shingles (an item of fewer words is one shingle of its own length) and by the words of its question (all but the last sentence) and its answer.
 
 All passages of all texts are queries. An index of more than one shard
 is searched shard by shard, so any number of items takes bounded memory.
@@ -72,6 +72,7 @@ class Shard:
         self.impact = impact  # the last row is a word of no item
         self.block = impact.reshape(len(impact), -1, BLOCK).max(axis=2)
         self.shingles = [np.unique(shingle_names(w)) for w in words]
+        self.spans = [min(SHINGLE, len(w)) for w in words]
         self.parts = [
             tuple(np.unique(word_names([spaced(p.encode())])[0]) for p in question_and_answer(t)) for t in texts
         ]
@@ -82,7 +83,7 @@ class Shard:
 
     def holds(self, names: np.ndarray, item: int) -> bool:
         """Whether a passage holds an item: its shingles, and the words of its question and of its answer."""
-        if np.isin(self.shingles[item], shingle_names(names)).mean() < CONTAINED:
+        if np.isin(self.shingles[item], shingle_names(names, self.spans[item])).mean() < CONTAINED:
             return False
         question, answer = (np.isin(p, names).mean() if len(p) else 1.0 for p in self.parts[item])
         return question >= CONTAINED and answer >= ANSWER

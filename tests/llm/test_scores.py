@@ -184,6 +184,16 @@ def test_leaks_equal_brute_force(spark, size):
     assert plain.sorted_rows((r.doc_id, r.contaminated, r["items"]) for r in got) == plain.sorted_rows(leaks_plain(docs, items))
 
 
+@pytest.mark.parametrize("text", ["Capital of France? Paris.", "Largest moon? Ganymede", "Who wrote Emma", "two words", "xylograph"])
+def test_items_of_few_words_are_found_in_long_texts(spark, text):
+    items, item = bench_items()
+    words = plain.names(text)
+    docs = [(1, item(400) + " " + text + " " + item(300)), (2, text), (3, item(700)), (4, item(20) + f" {' and '.join(reversed(words))} " if len(words) > 1 else "")]
+    bench = spark.createDataFrame([*items, (900, text)], "item_id long, text string")
+    got = contamination.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()
+    assert {r.doc_id: 900 in r["items"] for r in got} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_bounds_hide_nothing():
     items, item = bench_items()
     shard = contamination.Shard([i for i, _ in items], [t for _, t in items])
