@@ -23,17 +23,17 @@ def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ut.build_user_table(log_from_events(spark, sf_dir), EVENTS)
 
 
-def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_table(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
     """User table with split and next-category code."""
     table = user_table(spark, sf_dir)
     classes = ut.next_category_classes(table.columns)
     coded = table.withColumn("label_next_code", ut.class_code("label_next_cat", classes))
-    return splits.hashed_split(coded, "user_id", SEED)
+    return splits.hashed_split(coded, "user_id", seed)
 
 
-def stored_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_split_table(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
     """The same, written once for the several passes of a fit and its use."""
-    return materialise(split_table(spark, sf_dir))
+    return materialise(split_table(spark, sf_dir, seed))
 
 
 def features_of(table: DataFrame) -> list[str]:
@@ -389,9 +389,9 @@ def train_moments(spark, sf_dir):
     return transforms.moments_table(transforms.train_rows(table), features_of(table))
 
 
-def prepared_users(spark: SparkSession, sf_dir: str) -> transforms.Prepared:
+def prepared_users(spark: SparkSession, sf_dir: str, seed: int = SEED) -> transforms.Prepared:
     """Scaled features next to ids, split and labels."""
-    table = stored_split_table(spark, sf_dir)
+    table = stored_split_table(spark, sf_dir, seed)
     names = features_of(table)
     frame, cons = constructs.user_constructs(table)
     both = transforms.fit_scaler(frame, [*names, *cons])

@@ -22,8 +22,8 @@ from buyerlens.registry.sqlparts import part, r, stmt
 from buyerlens.session import checkpoint_dir, materialise
 from buyerlens.sources.records import read_sweep_records
 
-MODEL = ModelConfig(epochs=40)
-EVAL = EvalConfig(n_init=3, n_boot=3, gbt_iterations=10)
+MODEL = ModelConfig()
+EVAL = EvalConfig()
 TASKS = {
     "primary": ("y_primary", "binary"),
     "churned": ("y_churned", "binary"),
@@ -31,15 +31,15 @@ TASKS = {
 }
 
 
-def bench(spark: SparkSession, sf_dir: str, tasks=("primary",), **changes) -> protocol.Bench:
-    made = prepared_users(spark, sf_dir)
+def bench(spark: SparkSession, sf_dir: str, tasks=("primary",), seed: int = SEED) -> protocol.Bench:
+    made = prepared_users(spark, sf_dir, seed)
     return protocol.Bench(
         materialise(made.frame),
         made.fitted["constructs"],
         {t: TASKS[t] for t in tasks},
-        replace(EVAL, **changes),
+        EVAL,
         MODEL,
-        SEED,
+        seed,
     )
 
 
@@ -150,7 +150,7 @@ def pca_keeps_squares(spark, sf_dir):
 def kmeans_means(spark, sf_dir):
     """Fitted centroids are the means of the rows that they are nearest to."""
     rows = split_embeddings(spark, sf_dir)
-    centers = clusters.fit_kmeans(rows, 8, SEED, 3)
+    centers = clusters.fit_kmeans(rows, EVAL.n_clusters, SEED, EVAL.n_init)
     labelled = clusters.hard_assign(rows, centers, ["id", "features"])
     given = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
     gap = F.zip_with("center", F.get(given, F.col("cluster")), lambda a, b: F.abs(a - b))
@@ -166,7 +166,7 @@ def kmeans_means(spark, sf_dir):
 @query("kmeans_assignment")
 def kmeans_assignment(spark, sf_dir):
     rows = split_embeddings(spark, sf_dir)
-    return clusters.hard_assign(rows, clusters.fit_kmeans(rows, 8, SEED, 10), ["id", "label"])
+    return clusters.hard_assign(rows, clusters.fit_kmeans(rows, EVAL.n_clusters, SEED, EVAL.n_init), ["id", "label"])
 
 
 @query("mixture_posteriors")
@@ -206,7 +206,7 @@ def autoencoder_embedding(spark, sf_dir):
 @query("embedded_clusters")
 def embedded_clusters(spark, sf_dir):
     b = bench(spark, sf_dir)
-    model = ae.fit_embedded_clusters(b.train, b.autoencoder(), 8, MODEL, SEED, 3)
+    model = ae.fit_embedded_clusters(b.train, b.autoencoder(), EVAL.n_clusters, MODEL, SEED, EVAL.n_init)
     return _long(ae.embedded_assign(b.frame, model, ["id"]), "q")
 
 
@@ -249,20 +249,24 @@ def binary_heads(spark, sf_dir):
 
 @query("multiclass_heads")
 def multiclass_heads(spark, sf_dir):
-    b = bench(spark, sf_dir, ("next_category",), gbt_iterations=3)
+    b = bench(spark, sf_dir, ("next_category",))
     return heads.head_metrics(b.frame, "features", b.tasks, b.cfg, SEED)
 
 
 @query("baseline_campaign")
 def baseline_campaign(spark, sf_dir):
-    """All methods and both binary tasks of one seed."""
-    return protocol.evaluate_baselines(bench(spark, sf_dir, ("primary", "churned"), gbt_iterations=3))
+    """All methods, tasks and seeds; each seed has its own split."""
+    out = None
+    for seed in EVAL.seeds:
+        found = protocol.evaluate_baselines(bench(spark, sf_dir, tuple(TASKS), seed))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("block_attribution")
 def block_attribution(spark, sf_dir):
     """Heads on the aligned block, the free block, and all dimensions of one code."""
-    b = bench(spark, sf_dir, gbt_iterations=3)
+    b = bench(spark, sf_dir)
     model = _vae(b)
     coded = materialise(construct_vae.encode(b.frame, model, b.keep))
     a = model.aligned
@@ -294,26 +298,24 @@ def axis_cards(spark, sf_dir):
 @query("bootstrap_persistence")
 def bootstrap_persistence(spark, sf_dir):
     rows = split_embeddings(spark, sf_dir)
-    scores = resampling.bootstrap_scores(rows, 8, 4, SEED, 1, features="features")
+    scores = resampling.bootstrap_scores(rows, EVAL.n_clusters, EVAL.n_boot, SEED, EVAL.n_init, features="features")
     return resampling.bootstrap_persistence(scores)
 
 
 @query("stability_bundle")
 def stability_bundle(spark, sf_dir):
-    """Two seeds' projections of the vectors, clustered, compared and resampled."""
+    """All seeds' projections of the vectors, clustered, compared and resampled."""
     rows = split_embeddings(spark, sf_dir)
 
     def of(seed: int) -> DataFrame:
         return rows.select("id", F.slice("features", 1 + 8 * seed, 16).alias("z"))
 
-    return resampling.stability_bundle(of, (0, 1), replace(EVAL, n_init=1, n_boot=2))
+    return resampling.stability_bundle(of, EVAL.seeds, EVAL)
 
 
 @query("sweep_run")
 def sweep_run(spark, sf_dir):
-    """Two grid points of one seed, written as records, read back and flattened."""
+    """The whole grid and all seeds, for all tasks, written as records, read back and flattened."""
     path = f"{checkpoint_dir(spark)}/sweep-{uuid.uuid4().hex}"
-    b = bench(spark, sf_dir, gbt_iterations=3)
-    grid = SweepConfig(betas=(0.25,), lambdas=(0.0, 1.0), seeds=(SEED,))
-    protocol.run_sweep(lambda _seed: b, grid, path)
+    protocol.run_sweep(lambda seed: bench(spark, sf_dir, tuple(TASKS), seed), SweepConfig(), path)
     return flatten(read_sweep_records(spark, path))

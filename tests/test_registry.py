@@ -47,3 +47,36 @@ def test_rows_equal_sql(spark, con, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert got == check_oracle.rows_of(cols, cur.fetchall())
+
+
+def test_registered_fits_run_the_defaults(spark, monkeypatch):
+    from buyerlens.config import EvalConfig, ModelConfig, SweepConfig
+    from buyerlens.registry import representations as reg
+
+    assert reg.MODEL == ModelConfig() and reg.EVAL == EvalConfig()
+    seen, grids = [], []
+
+    def prepared(spark, sf_dir, seed=0):
+        frame = spark.createDataFrame([(1, "train")], "id long, split string")
+        return reg.protocol.Bench(frame, [], {}, reg.EVAL, reg.MODEL, seed)
+
+    def record(spark, sf_dir, tasks=("primary",), seed=reg.SEED):
+        made = prepared(spark, sf_dir, seed)
+        seen.append((tuple(tasks), seed))
+        return made
+
+    monkeypatch.setattr(reg, "bench", record)
+    monkeypatch.setattr(reg.protocol, "evaluate_baselines", lambda b: b.frame)
+    entry.queries()["baseline_campaign"](spark, SF)
+    assert seen == [(tuple(reg.TASKS), s) for s in EvalConfig().seeds]
+    seen.clear()
+
+    def sweep(bench_of, grid, path):
+        grids.append(grid)
+        bench_of(grid.seeds[-1])
+        raise StopIteration
+
+    monkeypatch.setattr(reg.protocol, "run_sweep", sweep)
+    with pytest.raises(StopIteration):
+        entry.queries()["sweep_run"](spark, SF)
+    assert grids == [SweepConfig()] and seen == [(tuple(reg.TASKS), SweepConfig().seeds[-1])]
