@@ -27,7 +27,50 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Wordings of public licenses and notices, by label.
+
+
+def _item(number: int) -> str:
+    return f"<<beginOptional>><<either;{number}|{'_abcd'[number]}>><<endOptional>> "
+
+
+# Parts of whole licenses.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;words=1-3>> and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so, ",
+    "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be "
+    "included in all copies or substantial portions of the Software. ",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;words=1-12>> BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+    "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "<<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the "
+    "following conditions are met"
+)
+_BSD = (
+    _BSD_OPENING + ": " + _item(1) + "Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. " + _item(2) + "Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. ",
+    "Neither the name of <<var;words=1-12>> nor the names of <<either;its|their|the>> contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission. ",
+    "THIS SOFTWARE IS PROVIDED BY <<var;words=1-12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "<<var;words=1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+    "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_ISC_OPENING = (
+    "Permission to use, copy, modify, <<beginOptional>><<either;and/or|and>><<endOptional>> distribute this software for any "
+    "purpose with or without fee is hereby granted"
+)
+
+# Wordings of public licenses and notices, by label. "mit" takes the opening of that license as a short notice.
 TEMPLATES = {
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;words=1-3>> and "
@@ -40,15 +83,26 @@ TEMPLATES = {
         "<<either;released|distributed>> under the <<beginOptional>>terms of the<<endOptional>> Apache License, "
         "<<beginOptional>>Version<<endOptional>> 2.0",
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "<<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the "
-        "following conditions are met",
+    "mit-text": (_MIT[0] + "subject to the following conditions: " + _MIT[1] + _MIT[2],),
+    "mit-0": (_MIT[0] + _MIT[2],),
+    "json": (_MIT[0] + "subject to the following conditions: " + _MIT[1] + "The Software shall be used for Good, not Evil. " + _MIT[2],),
+    "bsd-2-clause": (_BSD[0] + _BSD[2],),
+    "bsd-3-clause": (_BSD[0] + _item(3) + _BSD[1] + _BSD[2],),
+    "bsd-4-clause": (
+        _BSD[0] + _item(3) + "All advertising materials mentioning features or use of this software must display the following "
+        "<<either;acknowledgement|acknowledgment>>: This product includes software developed by <<var;words=1-24>> "
+        + _item(4) + _BSD[1] + _BSD[2],
     ),
+    "bsd-notice": (_BSD_OPENING,),
     "isc": (
-        "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> distribute this software for any purpose "
-        "with or without fee is hereby granted",
+        _ISC_OPENING + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\" AND <<var;words=1-12>> <<either;DISCLAIMS|DISCLAIM>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;words=1-12>> BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE "
+        "OF THIS SOFTWARE.",
     ),
+    "isc-notice": (_ISC_OPENING,),
     "gpl-3": (
         "<<either;licensed|released|distributed>> under the <<beginOptional>>terms of the<<endOptional>> GNU General Public "
         "License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> "

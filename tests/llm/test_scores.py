@@ -341,3 +341,54 @@ def test_every_word_is_trained_on(spark):
         flat, place, _ = words.laid_out([t.encode()])
         around = language_model.context(flat, place, words.words)
         assert (weights["e"][around] != before["e"][around]).any(axis=2).all()
+
+
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution. {}
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES_CLAUSE = ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived "
+                "from this software without specific prior written permission.")
+ADVERTISING = ("All advertising materials mentioning features or use of this software must display the following acknowledgement: This "
+               "product includes software developed by the University of X.")
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so{} THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+NOTICE = (", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+          "substantial portions of the Software.")
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (BSD_TEXT.format(""), "bsd-2-clause,bsd-notice"),
+        (BSD_TEXT.format("3. " + NAMES_CLAUSE), "bsd-3-clause,bsd-notice"),
+        (BSD_TEXT.format(f"3. {ADVERTISING} 4. {NAMES_CLAUSE}"), "bsd-4-clause,bsd-notice"),
+        (BSD_TEXT.format("3. No use on Sundays."), "bsd-notice"),
+        (BSD_TEXT.format("").split("1.")[0] + "you pay.", "bsd-notice"),
+        (ISC_TEXT, "isc,isc-notice"),
+        (ISC_TEXT.replace("NEGLIGENCE", "malice"), "isc-notice"),
+        (MIT_TEXT.format(NOTICE), "mit,mit-text"),
+        (MIT_TEXT.format("."), "mit,mit-0"),
+        (MIT_TEXT.format(NOTICE + " The Software shall be used for Good, not Evil."), "json,mit"),
+    ],
+)
+def test_whole_licenses(text, labels):
+    compiled = {k: [licenses.Template(t) for t in v] for k, v in licenses.TEMPLATES.items()}
+    assert licenses.scan([f"x {text} y".encode()], compiled)[5] == [labels]
