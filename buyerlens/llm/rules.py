@@ -16,13 +16,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buyerlens.llm.text import learnable, let, words
+from buyerlens.llm.text import held_out, let, words
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 THRESHOLD = -0.05
-TRUSTED_ROWS = 20_000  # most trusted documents; their ids are sent to every task
-SEED = 7
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -81,23 +79,16 @@ def buckets_of(tokens: Column, buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """log(target share / raw share) of every bucket, from all documents; ``trusted`` has ``doc_id``, distinct and few."""
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("_trusted"))), "doc_id", "left"
-    )
-    counted = (
-        marked.select(
-            F.coalesce("_trusted", F.lit(0)).alias("_trusted"),
-            F.explode(let(words(F.col("text")), lambda w: buckets_of(w, buckets))).alias("_bucket"),
-        )
-        .groupBy("_bucket")
-        .agg(F.count("*").alias("raw"), F.sum("_trusted").alias("target"))
-        .collect()  # at most ``buckets`` rows
-    )
-    raw, target = [smoothing] * buckets, [smoothing] * buckets
-    for r in counted:
-        raw[r["_bucket"]] += r["raw"]
-        target[r["_bucket"]] += r["target"]
+    """log(target share / raw share) of every bucket, from all documents; ``trusted`` has ``doc_id``, distinct."""
+
+    def counts(rows: DataFrame) -> list[float]:
+        out = [smoothing] * buckets
+        found = rows.select(F.explode(let(words(F.col("text")), lambda w: buckets_of(w, buckets))).alias("_bucket"))
+        for r in found.groupBy("_bucket").agg(F.count("*").alias("n")).collect():  # at most ``buckets`` rows
+            out[r["_bucket"]] += r["n"]
+        return out
+
+    raw, target = counts(docs), counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
     if sum(target) <= smoothing * buckets:
         return [0.0] * buckets
     shift = math.log(sum(raw) / sum(target))
@@ -109,12 +100,10 @@ def quality_rules(
     labels: DataFrame,
     buckets: int = BUCKETS,
     threshold: float = THRESHOLD,
-    trusted_rows: int = TRUSTED_ROWS,
-    seed: int = SEED,
 ) -> DataFrame:
     """Counts, ``ratio`` and ``kept`` of every document. The trusted target is the labelled rows of quality 1
-    outside the held-out fold, ``trusted_rows`` at most."""
-    trusted = learnable(labels.where("quality = 1"), "quality", trusted_rows, seed).select("doc_id")
+    outside the held-out fold, all of them."""
+    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id").distinct()
     ratios = log_ratios(docs, trusted, buckets)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 

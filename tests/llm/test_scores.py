@@ -392,3 +392,13 @@ NOTICE = (", subject to the following conditions: The above copyright notice and
 def test_whole_licenses(text, labels):
     compiled = {k: [licenses.Template(t) for t in v] for k, v in licenses.TEMPLATES.items()}
     assert licenses.scan([f"x {text} y".encode()], compiled)[5] == [labels]
+
+
+def test_all_trusted_documents_make_the_target(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(rules, "log_ratios", lambda docs, trusted, buckets: sizes.append(trusted.count()) or [0.0] * buckets)
+    sizes, ids = [], spark.range(30_000).withColumnRenamed("id", "doc_id")
+    docs = ids.limit(1).withColumn("text", F.lit("a b"))
+    rules.quality_rules(docs, ids.withColumn("quality", F.lit(1)))
+    assert sizes == [ids.where(~rules.held_out(F.col("doc_id"))).count()] and sizes[0] > 20_000
