@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buyerlens.llm import (
-    contamination, language_model, licenses, lines, mixing, quality, repeats, rules, simhash, toxicity,
+    byte_pairs, contamination, divergence, language_model, licenses, lines, mixing, quality, repeats, rules, simhash,
+    toxicity, whitening,
 )
 from buyerlens.llm.text import table
 
@@ -56,11 +57,27 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash_near_dedup, op3_quality_classifier, op4_substring_dedup, op5_line_dedup,
         op6_quality_rules, op7_license_scan, op8_benchmark_decontamination, op9_mixing, op10_language_model,
+        op11_byte_pairs, op12_source_divergence, op13_whitening,
     )
 }
 
@@ -95,4 +112,27 @@ judged AS (SELECT leaf.*, coalesce(able AND earliest < doc_id, false) AS gone FR
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS n_all FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n_all FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + ({divergence.UNIT}::HUGEINT * (coalesce(c.n, 0) + {divergence.SMOOTHING})) // (total.n_all + {divergence.SMOOTHING} * v.v) AS p,
+        1 + ({divergence.UNIT}::HUGEINT * (k.n_lang + {divergence.SMOOTHING})) // (v.n_all + {divergence.SMOOTHING} * v.v) AS q
+      FROM g JOIN kept k USING (lang) JOIN v USING (lang) JOIN total USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+gap AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(gap.value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+           FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}""",
 }
