@@ -3,8 +3,8 @@
 A task cuts its texts by the pattern and numbers the pieces it has not met. A piece that is a token is that
 token, as in tiktoken; the others become (piece, position, token) rows in DuckDB. One recursive query joins
 neighbouring tokens with the merge table and contracts each piece's leftmost pair of least rank, until no piece
-has a pair left. Where no merge with the new token can have a lower rank, the piece's other pairs of that rank
-would be taken next, so they are contracted in the same step, from the left and without overlap. Decoding joins
+has a pair left. In pieces over ``SHORT`` bytes, where no merge with the new token can have a lower rank, the other
+pairs of that rank would be next, so they are contracted in the same step, from the left and without overlap. Decoding joins
 (document, position, id) rows with the vocabulary and concatenates in an ordered aggregate.
 
 Nothing is shuffled or collected. A task holds a chunk of texts, at most ``KNOWN`` numbered pieces and DuckDB's
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -31,29 +30,45 @@ from pyspark.sql import DataFrame
 
 from buyerlens.llm.text import as_lists, per_chunk
 
-KNOWN = 300_000  # pieces a task remembers
-BLOCK_BYTES = 1_000_000  # bytes of new pieces in one recursive query
-BLOCK_PIECES = 200_000  # pieces of a text cut at a time
+KNOWN = 400_000  # pieces a task remembers from chunk to chunk
+BLOCK_BYTES = 250_000  # bytes of new pieces in one recursive query
+BLOCK_PIECES = 200_000  # pieces of a very long text that are cut at a time
+SHORT, LONG_TEXT = 64, 4_000_000
+
+PAIRS = """
+  SELECT piece, place, token, nth, following, m.rank, m.safe
+  FROM (SELECT piece, place, token, row_number() OVER o AS nth, lead(place) OVER o AS following,
+               CASE WHEN lead(piece) OVER o = piece THEN lead(token) OVER o END AS next_token
+        FROM {rows} WINDOW o AS (ORDER BY place)) p
+  {join} JOIN merges m ON m.pair = p.token::BIGINT * 1048576 + p.next_token"""
+
+# Short pieces: one pair a step; a piece without a pair leaves the recursion with its tokens.
+ENCODE_SHORT = f"""
+WITH RECURSIVE state(piece, place, token, open) AS (
+  SELECT piece, place, token, true FROM bytes_of_pieces
+  UNION ALL
+  (WITH pairs AS ({PAIRS.format(rows="state WHERE open", join="LEFT")}),
+   best AS (
+     SELECT piece, min((rank::BIGINT << 32) | place) AS pair, arg_min(following, (rank::BIGINT << 32) | place) AS gone
+     FROM pairs GROUP BY piece)
+   SELECT piece, place, CASE WHEN place = (pair & 4294967295) THEN (pair >> 32)::INTEGER ELSE token END, pair IS NOT NULL
+   FROM pairs JOIN best USING (piece) WHERE gone IS NULL OR place <> gone)
+)
+SELECT piece, token FROM state WHERE NOT open ORDER BY place"""
 
-ENCODE = """
+# Long pieces: only the latest token of a place is kept, and all pairs that must be next go in one step.
+ENCODE_LONG = f"""
 WITH RECURSIVE state(piece, place, token) USING KEY (place) AS (
   SELECT piece, place, token FROM bytes_of_pieces
   UNION ALL
   (WITH live AS (
-     SELECT piece, place, token FROM recurring.state
-     WHERE token >= 0 AND piece IN (SELECT piece FROM state)),
-   pairs AS (
-     SELECT piece, place, following, nth, rank, safe
-     FROM (SELECT piece, place, token, row_number() OVER o AS nth, lead(place) OVER o AS following,
-                  CASE WHEN lead(piece) OVER o = piece THEN lead(token) OVER o END AS next_token
-           FROM live WINDOW o AS (ORDER BY place)) p
-     JOIN merges m ON m.pair = p.token::BIGINT * 65536 * 16 + p.next_token),
-   least_rank AS (
-     SELECT piece, min(rank) AS rank, arg_min(place, (rank::BIGINT << 32) | place) AS leftmost
-     FROM pairs GROUP BY piece),
+     SELECT piece, place, token FROM recurring.state WHERE token >= 0 AND piece IN (SELECT piece FROM state)),
+   pairs AS ({PAIRS.format(rows="live", join="")}),
+   best AS (
+     SELECT piece, min(rank) AS rank, arg_min(place, (rank::BIGINT << 32) | place) AS leftmost FROM pairs GROUP BY piece),
    chosen AS (
      SELECT p.piece, place, following, p.rank, nth, row_number() OVER (PARTITION BY p.piece ORDER BY nth) AS kth
-     FROM pairs p JOIN least_rank b ON p.piece = b.piece AND p.rank = b.rank AND (p.safe OR place = leftmost)),
+     FROM pairs p JOIN best b ON p.piece = b.piece AND p.rank = b.rank AND (p.safe OR place = leftmost)),
    apart AS (
      SELECT piece, place, following, rank, row_number() OVER (PARTITION BY piece, nth - kth ORDER BY nth) AS in_run
      FROM chosen)
@@ -86,7 +101,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     for side in (0, 1):
         np.minimum.at(lowest, found[:, side], found[:, 2])
     return pa.table({
-        "pair": found[:, 0] * (65536 * 16) + found[:, 1],
+        "pair": found[:, 0] * 1_048_576 + found[:, 1],
         "rank": found[:, 2].astype(np.int32),
         "safe": lowest[found[:, 2]] > found[:, 2],
     })
@@ -98,6 +113,7 @@ class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.cut = regex.compile(pattern)
+        self.alone = np.arange(max(self.ranks.values()) + 1, dtype=np.int32)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._store("merges", merge_table(self.ranks))
@@ -120,82 +136,74 @@ class Coder:
     def _learn(self, pieces: list[str]) -> None:
         """Number pieces that have no number yet; ``pieces`` has no repeats."""
         raw = [p.encode() for p in pieces]
-        whole = np.array([self.ranks.get(b, -1) for b in raw], dtype=np.int32)
-        counts = np.ones(len(raw), dtype=np.int64)
-        made: list[np.ndarray] = []
-        rest = np.flatnonzero(whole < 0)
-        lengths = np.array([len(raw[i]) for i in rest], dtype=np.int64)
-        block = np.cumsum(lengths) // BLOCK_BYTES
-        for b in np.unique(block):
-            ids, n = self._contract([raw[i] for i in rest[block == b]])
-            counts[rest[block == b]] = n
-            made.append(ids)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.empty(first[-1], dtype=np.int32)
-        known = np.repeat(whole >= 0, counts)
-        ids[known] = whole[whole >= 0]
-        ids[~known] = np.concatenate(made) if made else []
+        ids: list[np.ndarray] = [None] * len(raw)
+        blocks: dict[str, list[int]] = {ENCODE_SHORT: [], ENCODE_LONG: []}
+        filled = dict.fromkeys(blocks, 0)
+        for i, b in enumerate(raw):
+            token = self.ranks.get(b)
+            if token is not None:
+                ids[i] = self.alone[token : token + 1]
+                continue
+            query = ENCODE_SHORT if len(b) <= SHORT else ENCODE_LONG
+            blocks[query].append(i)
+            filled[query] += len(b)
+            if filled[query] > BLOCK_BYTES:
+                self._contract(query, raw, blocks[query], ids)
+                blocks[query], filled[query] = [], 0
+        for query, block in blocks.items():
+            if block:
+                self._contract(query, raw, block, ids)
         for p in pieces:
             self.number[p] = len(self.number)
-        self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _contract(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that are not tokens, one after another, and how many each has."""
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        piece = np.repeat(np.arange(len(raw), dtype=np.int32), [len(b) for b in raw])
+        ends = np.cumsum([len(x) for x in ids])
+        self.first = np.concatenate([self.first, self.first[-1] + ends])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _contract(self, query: str, raw: list[bytes], block: list[int], ids: list) -> None:
+        """Put the ids of a block of pieces in their places."""
+        texts = [raw[i] for i in block]
+        flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        piece = np.repeat(np.arange(len(texts), dtype=np.int32), [len(b) for b in texts])
         rows = pa.table({"piece": piece, "place": np.arange(len(flat), dtype=np.int32), "token": self.byte[flat]})
         self.db.register("bytes_of_pieces", rows)
-        found = self.db.sql(ENCODE).to_arrow_table()
+        found = self.db.sql(query).to_arrow_table()
         self.db.unregister("bytes_of_pieces")
-        return found["token"].to_numpy(), np.bincount(found["piece"].to_numpy(), minlength=len(raw))
+        ends = np.cumsum(np.bincount(found["piece"].to_numpy(), minlength=len(texts)))
+        for i, own in zip(block, np.split(found["token"].to_numpy(), ends[:-1])):
+            ids[i] = own
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has."""
         number = self.number
         fresh = [p for p in dict.fromkeys(pieces) if p not in number]
         if fresh:
             self._learn(fresh)
-        return np.fromiter((number[p] for p in pieces), dtype=np.int64, count=len(pieces))
-
-    def _gather(self, numbers: np.ndarray) -> np.ndarray:
-        """Ids of pieces given by number, one after another."""
+        numbers = np.fromiter((number[p] for p in pieces), dtype=np.int64, count=len(pieces))
         starts = self.first[numbers]
         counts = self.first[numbers + 1] - starts
         before = np.cumsum(counts) - counts
-        return self.ids[np.repeat(starts - before, counts) + np.arange(counts.sum())]
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, as int32."""
-        return self.encode_all([text])[0]
+        return self.ids[np.repeat(starts - before, counts) + np.arange(counts.sum())], counts
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if len(self.number) > KNOWN:
-                self._forget()
-            out.append([self._gather(self._numbers(block)) for block in self._blocks(text)])
-        return [np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32) for parts in out]
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the pieces of several texts in one go."""
+        """Ids of every whole text, as int32."""
         if len(self.number) > KNOWN:
             self._forget()
-        fresh: dict[str, None] = {}
-        for text in texts:
-            for block in self._blocks(text):
-                fresh.update((p, None) for p in set(block) if p not in self.number)
-                if len(fresh) > BLOCK_PIECES:
-                    return self._learn(list(fresh))
-        if fresh:
-            self._learn(list(fresh))
+        cut = [self.cut.findall(t) if len(t) < LONG_TEXT else [] for t in texts]
+        ids, counts = self._ids([p for pieces in cut for p in pieces])
+        sums = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, cut)])]
+        out = [ids[a:b] for a, b in zip(sums, sums[1:])]
+        for i, text in enumerate(texts):
+            if len(text) >= LONG_TEXT:
+                out[i] = self._long(text)
+        return out
 
-    def _blocks(self, text: str) -> Iterator[list[str]]:
-        if len(text) < 4_000_000:
-            yield self.cut.findall(text)
-            return
-        found = (m.group() for m in self.cut.finditer(text))
+    def _long(self, text: str) -> np.ndarray:
+        found, parts = (m.group() for m in self.cut.finditer(text)), []
         while block := list(islice(found, BLOCK_PIECES)):
-            yield block
+            if len(self.number) > KNOWN:
+                self._forget()
+            parts.append(self._ids(block)[0])
+        return np.concatenate(parts)
 
     def decode_all(self, lists: list[np.ndarray]) -> list[bytes]:
         """Bytes of every list of ids."""
@@ -228,7 +236,6 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
         def run(raw):
             own = coder(path, pattern)
             texts = _texts(raw)
-            own.prepare(texts)
             found = own.encode_all(texts)
             flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
             return [as_lists(flat.astype(np.int32), np.array([len(f) for f in found]))]
@@ -260,7 +267,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         def run(raw):
             own = coder(path, pattern)
             texts = _texts(raw)
-            own.prepare(texts)
             found = own.encode_all(texts)
             back = own.decode_all(found)
             return [

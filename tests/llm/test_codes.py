@@ -63,8 +63,10 @@ def test_small_blocks_and_forgetting_change_nothing(monkeypatch, library):
     monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", 50)
     monkeypatch.setattr(byte_pairs, "BLOCK_PIECES", 7)
     texts = [t for t in odd_texts() if len(t) < 5_000]
-    coder.prepare(texts)
-    assert [x.tolist() for x in coder.encode_all(texts)] == library.encode_ordinary_batch(texts)
+    for long in (4_000_000, 300):
+        monkeypatch.setattr(byte_pairs, "LONG_TEXT", long)
+        for _ in range(2):
+            assert [x.tolist() for x in coder.encode_all(texts)] == library.encode_ordinary_batch(texts)
 
 
 def test_unknown_ids_and_nulls(spark):
