@@ -88,7 +88,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
             out[r["_bucket"]] += r["n"]
         return out
 
-    raw, target = counts(docs), counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
+    # joined by sorting at every size: texts move once, and skewed ids are split, where a broadcast would grow with the ids
+    raw, target = counts(docs), counts(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi"))
     if sum(target) <= smoothing * buckets:
         return [0.0] * buckets
     shift = math.log(sum(raw) / sum(target))
