@@ -6,15 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buyerlens.operators.kmeans import Fit, fit_many
 from buyerlens.plans.partials import map_features, matrix, partitions_of, sum_partials
-
-KMEANS_ITERATIONS = 300
-KMEANS_TOL = 1e-4
+from buyerlens.session import materialise
 
 
 def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -24,32 +21,10 @@ def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def fit_kmeans(
-    df: DataFrame, k: int, seed: int, n_init: int = 10, features: str = "features", weight: str | None = None
+    df: DataFrame, k: int, seed: int, n_init: int = 10, features: str = "features", id_column: str = "id"
 ) -> np.ndarray:
-    """Centroids of the best of ``n_init`` starts by training cost; fewer rows than k is an error."""
-    rows = df.select(array_to_vector(F.col(features)).alias("_v"), *([weight] if weight else []))
-    if rows.limit(k).count() < k:
-        raise ValueError(f"cannot fit k={k} clusters on fewer rows")
-    rows = rows.cache()
-    try:
-        best = None
-        for start in range(n_init):
-            algo = KMeans(
-                k=k,
-                seed=seed * 1_000 + start,
-                featuresCol="_v",
-                maxIter=KMEANS_ITERATIONS,
-                tol=KMEANS_TOL,
-            )
-            if weight:
-                algo = algo.setWeightCol(weight)
-            model = algo.fit(rows)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, np.array(model.clusterCenters()))
-    finally:
-        rows.unpersist()
-    return best[1]
+    """Centroids of the best of ``n_init`` starts by cost, all starts in the same passes; fewer rows than k is an error."""
+    return fit_many(df, [Fit(k, seed)], n_init, features, id_column=id_column)[0]
 
 
 def hard_assign(
@@ -143,37 +118,34 @@ def fit_mixture(
 ) -> Mixture:
     """Expectation-maximisation from a k-means start; each round is one pass that sums
     K x (1 + 2d) numbers per task."""
-    rows = df.select(features).cache()
-    try:
-        parts = partitions_of(rows)
-        centers = fit_kmeans(rows, k, seed, n_init, features)
-        d = centers.shape[1]
+    rows = materialise(df.select(*[c for c in dict.fromkeys(("id", features)) if c in df.columns]))
+    parts = partitions_of(rows)
+    centers = fit_kmeans(rows, k, seed, n_init, features)
+    d = centers.shape[1]
+
+    def stats(resp, x, extra):
+        return np.concatenate([resp.sum(axis=0), (resp.T @ x).ravel(), (resp.T @ (x * x)).ravel(), extra])
+
+    def start(batch):
+        x = matrix(batch, features)
+        resp = np.eye(k)[np.argmin(squared_distances(x, centers), axis=1)]
+        return stats(resp, x, [0.0, len(x)])
 
-        def stats(resp, x, extra):
-            return np.concatenate([resp.sum(axis=0), (resp.T @ x).ravel(), (resp.T @ (x * x)).ravel(), extra])
+    model = _maximise(sum_partials(rows, start, parts), k, d, reg)
+    before = -np.inf
+    for _ in range(iterations):
 
-        def start(batch):
+        def expect(batch, model=model):
             x = matrix(batch, features)
-            resp = np.eye(k)[np.argmin(squared_distances(x, centers), axis=1)]
-            return stats(resp, x, [0.0, len(x)])
-
-        model = _maximise(sum_partials(rows, start, parts), k, d, reg)
-        before = -np.inf
-        for _ in range(iterations):
-
-            def expect(batch, model=model):
-                x = matrix(batch, features)
-                resp, like = model.posterior(x)
-                return stats(resp, x, [like.sum(), len(x)])
-
-            total = sum_partials(rows, expect, parts)
-            model = _maximise(total, k, d, reg)
-            bound = total[-2] / total[-1]
-            if abs(bound - before) < tol:
-                break
-            before = bound
-    finally:
-        rows.unpersist()
+            resp, like = model.posterior(x)
+            return stats(resp, x, [like.sum(), len(x)])
+
+        total = sum_partials(rows, expect, parts)
+        model = _maximise(total, k, d, reg)
+        bound = total[-2] / total[-1]
+        if abs(bound - before) < tol:
+            break
+        before = bound
     return model
 
 

@@ -12,18 +12,15 @@ from pyspark.sql import functions as F
 from buyerlens.config import EvalConfig
 from buyerlens.functions.keyed import uniform
 from buyerlens.operators import stability
-from buyerlens.operators.clusters import fit_kmeans, hard_assign, squared_distances
+from buyerlens.operators.clusters import hard_assign, squared_distances
 from buyerlens.operators.clustering_quality import clustering_metrics
+from buyerlens.operators.kmeans import POISSON_ONE, Fit, fit_many
 from buyerlens.plans.ordered import keyed_sample
 from buyerlens.plans.partials import map_features
 from buyerlens.session import materialise
 
-# Cumulative Poisson(1) probabilities; beyond the last a weight has chance 1e-9.
-POISSON_ONE = tuple(np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)]).tolist())
-
-
 def poisson_weight(id_column: str, seed: int, replicate: int) -> Column:
-    """Bootstrap weight of a row: Poisson(1), drawn from its key."""
+    """Poisson(1) weight of a row as a column, drawn from its key."""
     u = uniform(f"boot:{seed}:{replicate}", id_column)
     table = F.array(*[F.lit(p) for p in POISSON_ONE])
     return F.size(F.filter(table, lambda p: p <= u)).cast("double")
@@ -40,21 +37,22 @@ def bootstrap_scores(
 ) -> DataFrame:
     """``(replicate, ari)`` of refits on resamples against the reference partition.
 
-    Rows are never copied: a resample is a weight per row. All refits label the full population
-    in one pass, and agreement is one grouped count.
+    Rows are never copied: a resample is a weight per row, drawn in the task, and all refits and starts move in the
+    same passes. The refits label the full population in one pass, and agreement is one grouped count.
     """
     if n_boot < 1:
         raise ValueError("n_boot must be >= 1")
-    rows = df.select(id_column, features).cache()
-    try:
-        reference = fit_kmeans(rows, k, seed, n_init, features)
-        refits = []
-        for b in range(n_boot):
-            weighted = rows.withColumn("_w", poisson_weight(id_column, seed, b)).where("_w > 0")
-            refits.append(fit_kmeans(weighted, k, seed + 1 + b, n_init, features, "_w"))
-    finally:
-        rows.unpersist()
-    centers = [reference, *refits]
+    centers = fit_many(df, bootstrap_fits(k, n_boot, seed), n_init, features, id_column=id_column)
+    return _agreement(df, centers, features)
+
+
+def bootstrap_fits(k: int, n_boot: int, seed: int, part: int = 0) -> list[Fit]:
+    """The reference partition, then one fit per resample, each with a seed of its own."""
+    return [Fit(k, seed, None, part), *[Fit(k, seed + 1 + b, b, part) for b in range(n_boot)]]
+
+
+def _agreement(df: DataFrame, centers: list[np.ndarray], features: str) -> DataFrame:
+    """``(replicate, ari)`` of the refits' labels of all rows against the first centres' labels."""
 
     def label(x):
         return np.column_stack([np.argmin(squared_distances(x, c), axis=1) for c in centers]).astype(float)
@@ -62,7 +60,7 @@ def bootstrap_scores(
     labels = map_features(df, [], label, "_l", features)
     cells = labels.select(
         F.col("_l")[0].alias("a"),
-        F.posexplode(F.slice("_l", 2, n_boot)).alias("replicate", "b"),
+        F.posexplode(F.slice("_l", 2, len(centers) - 1)).alias("replicate", "b"),
     )
     counted = cells.groupBy("replicate", "a", "b").agg(F.count("*").alias("n"))
     return stability.adjusted_rand(counted, ["replicate"])
@@ -97,21 +95,26 @@ def stability_bundle(
     universe = stability.same_universe(frames, "id").where("extra > 0 OR lacking > 0")
     if not universe.isEmpty():
         raise ValueError("user universes differ across seeds")
-    assigned, quality, boot = None, None, None
-    for seed, df in sorted(frames.items()):
-        z = df
-        if cfg.stability_users is not None:
-            z = materialise(keyed_sample(df, "id", cfg.stability_seed, cfg.stability_users))
-        centers = fit_kmeans(z, cfg.n_clusters, seed, cfg.n_init, "z")
-        labelled = materialise(hard_assign(z, centers, ["id", "z"], features="z"))
+    sampled = {
+        s: df if cfg.stability_users is None else materialise(keyed_sample(df, "id", cfg.stability_seed, cfg.stability_users))
+        for s, df in sorted(frames.items())
+    }
+    # one stack: the fit of every seed, and the resamples of the first
+    first, *others = sampled
+    fits = [*bootstrap_fits(cfg.n_clusters, cfg.n_boot, first, first), *[Fit(cfg.n_clusters, s, None, s) for s in others]]
+    together = None
+    for seed, df in sampled.items():
+        rows = df.select("id", "z", F.lit(seed).alias("seed"))
+        together = rows if together is None else together.unionByName(rows)
+    centers = fit_many(together, fits, cfg.n_init, "z", part="seed")
+    boot = bootstrap_persistence(_agreement(sampled[first], centers[: 1 + cfg.n_boot], "z"))
+    assigned, quality = None, None
+    for seed, own in zip(sampled, [centers[0], *centers[1 + cfg.n_boot :]], strict=True):
+        labelled = materialise(hard_assign(sampled[seed], own, ["id", "z"], features="z"))
         scores = clustering_metrics(labelled, "cluster", "z")
         rows = labelled.select("id", "cluster", F.lit(seed).alias("seed"))
         assigned = rows if assigned is None else assigned.unionByName(rows)
         quality = scores if quality is None else quality.unionByName(scores)
-        if boot is None:
-            boot = bootstrap_persistence(
-                bootstrap_scores(z, cfg.n_clusters, cfg.n_boot, seed, cfg.n_init)
-            )
     means = quality.agg(
         *[F.avg(c).alias(c) for c in ("silhouette_squared", "davies_bouldin", "calinski_harabasz")]
     )
