@@ -1,151 +1,169 @@
-"""Downstream heads fitted on a frozen representation and scored on held-out splits."""
+"""Downstream heads fitted on frozen representations and scored on held-out splits, many fits side by side."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from buyerlens.config import EvalConfig
-from buyerlens.operators import ranking
+from buyerlens.operators import boosting, newton, ranking
+from buyerlens.plans.partials import array_column, matrix, vector
+from buyerlens.session import materialise
 
 HEADS = ("logreg", "gbt")
+MAX_CLASSES = 1_000
+KINDS = ("binary", "multiclass")
 
 
-def _logistic(n: int, c: float = 1.0) -> LogisticRegression:
-    """L2 penalty 1/(C n) on the mean loss, which is C on the summed loss."""
-    return LogisticRegression(
-        featuresCol="_v",
-        labelCol="_y",
-        regParam=1.0 / (c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=2000,
-        tol=1e-6,
-    )
+@dataclass(frozen=True)
+class Fitted:
+    """Both heads of every (case, task), each fitted once; ``classes`` lists a multiclass task's codes in order."""
 
+    cases: tuple[str, ...]
+    tasks: tuple[str, ...]
+    classes: dict[str, list]
+    linear: dict[int, newton.Linear]
+    boosted: dict[int, boosting.Boosted]
 
-def _boosted(cfg: EvalConfig, seed: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="_v",
-        labelCol="_y",
-        maxIter=cfg.gbt_iterations,
-        stepSize=0.1,
-        maxDepth=5,
-        minInstancesPerNode=20,
-        maxBins=255,
-        seed=seed,
-    )
+    def fit_of(self, case: int, task: int) -> int:
+        return case * len(self.tasks) + task
 
 
-def _rows(df: DataFrame, features: str, label: str) -> DataFrame:
-    return df.where(F.col(label).isNotNull()).withColumns(
-        {"_v": array_to_vector(F.col(features)), "_y": F.col(label).cast("double")}
-    )
+def _coded(label: str, classes: list | None):
+    """Binary labels as they are; others by their place in the list, unseen ones after the last."""
+    if classes is None:
+        return F.col(label).cast("int")
+    table = F.array(*[F.lit(c) for c in classes])
+    place = F.array_position(table, F.col(label)).cast("int") - 1
+    return F.when(F.col(label).isNotNull(), F.when(place >= 0, place).otherwise(F.lit(len(classes))))
 
 
-def binary_scores(
-    train: DataFrame, held: DataFrame, features: str, label: str, cfg: EvalConfig, seed: int
-) -> dict[str, DataFrame]:
-    """Each head, fitted once, with ``(split, y, score)`` of all held-out rows."""
-    rows = _rows(train, features, label).select("_v", "_y").cache()
-    try:
-        n = rows.count()
-        models = {"logreg": _logistic(n).fit(rows), "gbt": _boosted(cfg, seed).fit(rows)}
-    finally:
-        rows.unpersist()
-    out = {}
-    for head, model in models.items():
-        scored = model.transform(_rows(held, features, label))
-        out[head] = scored.select(
-            "split",
-            F.col("_y").cast("int").alias("y"),
-            vector_to_array("probability")[1].alias("score"),
-        )
+def _stacked(frames: dict[str, DataFrame], tasks, classes, fitted_of, features: str, keep: Sequence[str]) -> DataFrame:
+    """``(fit, keep…, features, y)``: every case's rows once per task whose label they have."""
+    out = None
+    for i, frame in enumerate(frames.values()):
+        cells = [
+            F.struct(F.lit(fitted_of(i, j)).alias("fit"), _coded(label, classes.get(task)).alias("y"))
+            for j, (task, (label, _)) in enumerate(tasks.items())
+        ]
+        key = F.xxhash64("id") if "id" in frame.columns else F.xxhash64(features)
+        rows = frame.select(key.alias("_key"), *keep, F.col(features).cast("array<double>").alias("features"), F.explode(F.array(*cells)).alias("_c"))
+        rows = rows.select("_c.fit", "_key", *keep, "features", "_c.y").where("y IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def multiclass_scores(
-    train: DataFrame, held: DataFrame, features: str, label: str, cfg: EvalConfig, seed: int
-) -> dict[str, DataFrame]:
-    """Each head with ``(split, y, proba)``; classes are numbered by those seen in training,
-    others get the place after the last, which no probability has."""
-    known = train.where(F.col(label).isNotNull()).select(label).distinct()
-    classes = sorted(r[0] for r in known.collect())
-    place = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-
-    def coded(df: DataFrame) -> DataFrame:
-        code = F.coalesce(F.element_at(place, F.col(label)), F.lit(len(classes)))
-        return _rows(df.where(F.col(label).isNotNull()).withColumn("_c", code), features, "_c")
-
-    rows = coded(train).select("_v", "_y").cache()
-    try:
-        n = rows.count()
-        logistic = _logistic(n).setFamily("multinomial").fit(rows)
-        one = F.col("_y")
-        boosted = [
-            _boosted(cfg, seed).fit(rows.withColumn("_y", (one == i).cast("double")))
-            for i in range(len(classes))
-        ]
-    finally:
-        rows.unpersist()
-    size = F.lit(len(classes))
-    target = F.col("_y").cast("int").alias("y")
-    soft = logistic.transform(coded(held)).select(
-        "split", target, F.slice(vector_to_array("probability"), F.lit(1), size).alias("proba")
-    )
-    # one model per class against the rest, its chances scaled to one per row
-    hard = coded(held).select("split", target, "_v")
-    for i, model in enumerate(boosted):
-        hard = (
-            model.transform(hard)
-            .withColumn(f"_p{i}", vector_to_array("probability")[1])
-            .drop("rawPrediction", "probability", "prediction")
-        )
-    total = sum((F.col(f"_p{i}") for i in range(len(classes))), F.lit(0.0))
-    hard = hard.select(
-        "split", "y", F.array(*[F.col(f"_p{i}") / total for i in range(len(classes))]).alias("proba")
+def fit_heads(
+    trains: dict[str, DataFrame], tasks: dict[str, tuple[str, str]], cfg: EvalConfig, seed: int, features: str = "features"
+) -> Fitted:
+    """All cases' and tasks' heads from the training rows: one Newton iteration and one stack of boosted fits."""
+    classes = {}
+    for task, (label, kind) in tasks.items():
+        if kind not in KINDS:
+            raise ValueError(f"unknown task type {kind!r}")
+        if kind == "multiclass":
+            known = next(iter(trains.values())).where(F.col(label).isNotNull()).select(label).distinct()
+            found = known.limit(MAX_CLASSES + 1).collect()
+            if len(found) > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} classes of {task}")
+            classes[task] = sorted(r[0] for r in found)
+    bare = Fitted(tuple(trains), tuple(tasks), classes, {}, {})
+    rows = materialise(_stacked(trains, tasks, classes, bare.fit_of, features, []))
+    trees = {
+        bare.fit_of(i, j): len(classes[task]) if task in classes else 1 for i in range(len(trains)) for j, task in enumerate(tasks)
+    }
+    settings = boosting.Settings(rounds=cfg.gbt_iterations)
+    linear = newton.fit_logistic(rows, trees)
+    return Fitted(bare.cases, bare.tasks, classes, linear, boosting.fit_side_by_side(rows, trees, settings, seed))
+
+
+def head_scores(
+    held: dict[str, DataFrame], fitted: Fitted, tasks: dict[str, tuple[str, str]], features: str = "features", keep: Sequence[str] = ("split",)
+) -> DataFrame:
+    """``(case, task, head, keep…, y, proba)`` of all rows with the label; a binary ``proba`` is the chance of class 1."""
+    rows = _stacked(held, tasks, fitted.classes, fitted.fit_of, features, keep)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((fitted.linear, fitted.boosted))  # trees and weights, whose number is set
+
+    def score(batches):
+        models = shared.value
+        for batch in batches:
+            fits = vector(batch, "fit") if batch.num_rows else []
+            for f in np.unique(fits):
+                mine = batch.filter(pa.array(fits == f))
+                x = matrix(mine, "features")
+                for head, model in zip(HEADS, models, strict=True):
+                    p = model[int(f)].chances(x)
+                    kept = [mine.column(mine.schema.get_field_index(c)) for c in ("fit", *keep, "y")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept, pa.array([head] * len(x)), array_column(p.reshape(len(x), -1))], ["fit", *keep, "y", "head", "proba"]
+                    )
+
+    schema = rows.select("fit", *keep, "y").schema.add("head", "string").add("proba", T.ArrayType(T.DoubleType()))
+    scored = rows.select("fit", *keep, "features", "y").mapInArrow(score, schema)
+    n = len(fitted.tasks)
+    names = {c: F.array(*[F.lit(v) for v in values]) for c, values in (("case", fitted.cases), ("task", fitted.tasks))}
+    return scored.select(
+        F.get(names["case"], F.floor(F.col("fit") / n).cast("int")).alias("case"),
+        F.get(names["task"], F.col("fit") % n).alias("task"),
+        "head", *keep, "y", "proba",
     )
-    return {"logreg": soft, "gbt": hard}
 
 
-def head_metrics(
-    frame: DataFrame,
+def case_metrics(
+    frames: dict[str, DataFrame],
     features: str,
     tasks: dict[str, tuple[str, str]],
     cfg: EvalConfig,
     seed: int,
-    train: DataFrame | None = None,
+    trains: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """``(split, task, head, metric, value)`` of every task on the same frozen representation.
+    """``(case, split, task, head, metric, value)`` of every task on every frozen representation.
 
     ``tasks`` maps names to (label column, "binary" or "multiclass"); rows without the label sit
     out. Heads are fitted on the training rows once and measured on validation and test.
     """
-    train = frame.where("split = 'train'") if train is None else train
-    held = frame.where("split <> 'train'")
-    out = None
-    for task, (label, kind) in tasks.items():
-        if kind == "multiclass":
-            scored = multiclass_scores(train, held, features, label, cfg, seed)
-        elif kind == "binary":
-            scored = binary_scores(train, held, features, label, cfg, seed)
+    trains = trains or {c: f.where("split = 'train'") for c, f in frames.items()}
+    fitted = fit_heads(trains, tasks, cfg, seed, features)
+    held = {c: f.where("split <> 'train'") for c, f in frames.items()}
+    scored = materialise(head_scores(held, fitted, tasks, features))
+    by, out = ["case", "split", "task", "head"], None
+    for kind in KINDS:
+        named = [t for t, (_, k) in tasks.items() if k == kind]
+        if not named:
+            continue
+        rows = scored.where(F.col("task").isin(named))
+        if kind == "binary":
+            found = ranking.binary_metrics(rows.withColumn("score", F.get("proba", F.lit(0))), by=by, k_frac=cfg.k_frac)
         else:
-            raise ValueError(f"unknown task type {kind!r}")
-        stacked = None
-        for head, rows in scored.items():
-            rows = rows.withColumn("head", F.lit(head))
-            stacked = rows if stacked is None else stacked.unionByName(rows)
-        if kind == "multiclass":
-            found = ranking.multiclass_metrics(stacked, by=["split", "head"], top_ks=cfg.top_ks)
-        else:
-            found = ranking.binary_metrics(stacked, by=["split", "head"], k_frac=cfg.k_frac)
-        part = long_metrics(found, ["split", "head"]).withColumn("task", F.lit(task))
+            found = ranking.multiclass_metrics(rows, by=by, top_ks=cfg.top_ks)
+        part = long_metrics(found, by)
         out = part if out is None else out.unionByName(part)
-    return out.select("split", "task", "head", "metric", "value")
+    return out.select(*by, "metric", "value")
+
+
+def binary_scores(
+    train: DataFrame, held: DataFrame, features: str, label: str, cfg: EvalConfig, seed: int
+) -> dict[str, DataFrame]:
+    """Each head, fitted once, with ``(split, y, score)`` of all held-out rows."""
+    tasks = {"task": (label, "binary")}
+    fitted = fit_heads({"case": train}, tasks, cfg, seed, features)
+    scored = head_scores({"case": held}, fitted, tasks, features)
+    return {h: scored.where(F.col("head") == h).select("split", "y", F.get("proba", F.lit(0)).alias("score")) for h in HEADS}
+
+
+def head_metrics(
+    frame: DataFrame, features: str, tasks: dict[str, tuple[str, str]], cfg: EvalConfig, seed: int, train: DataFrame | None = None
+) -> DataFrame:
+    """As ``case_metrics``, of one representation."""
+    trains = None if train is None else {"case": train}
+    return case_metrics({"case": frame}, features, tasks, cfg, seed, trains).drop("case")
 
 
 def long_metrics(found: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -174,32 +174,25 @@ def evaluate_baselines(bench: Bench) -> DataFrame:
     Each representation is learned once from training rows and stored; only heads see labels.
     Clustering scores of the test rows go with the primary task.
     """
-    out = None
-    for method in chosen_methods(bench.cfg):
-        rep = METHODS[method](bench)
-        frame = materialise(rep.frame)
-        train = bench.train_part(frame)
-        found = heads.head_metrics(frame, "r", bench.tasks, bench.cfg, bench.seed, train)
-        found = found.where("split = 'test'").drop("split")
-        if rep.clustering is not None:
-            test = materialise(rep.clustering.where("split = 'test'"))
-            scores = clustering_metrics(test, "cluster", "space")
-            named = scores.select(*[F.col(c).alias(f"clu_{c}") for c in scores.columns])
-            long = heads.long_metrics(named, [])
-            for head in heads.HEADS:
-                found = found.unionByName(
-                    long.select(F.lit("primary").alias("task"), F.lit(head).alias("head"), "metric", "value")
+    made = {m: METHODS[m](bench) for m in chosen_methods(bench.cfg)}
+    frames = {m: materialise(rep.frame) for m, rep in made.items()}
+    trains = {m: bench.train_part(f) for m, f in frames.items()}
+    scored = heads.case_metrics(frames, "r", bench.tasks, bench.cfg, bench.seed, trains)
+    out = scored.where("split = 'test'").select("task", F.col("case").alias("method"), "head", "metric", "value")
+    for method, rep in made.items():
+        if rep.clustering is None:
+            continue
+        test = materialise(rep.clustering.where("split = 'test'"))
+        scores = clustering_metrics(test, "cluster", "space")
+        named = scores.select(*[F.col(c).alias(f"clu_{c}") for c in scores.columns])
+        long = heads.long_metrics(named, [])
+        for head in heads.HEADS:
+            out = out.unionByName(
+                long.select(
+                    F.lit("primary").alias("task"), F.lit(method).alias("method"), F.lit(head).alias("head"), "metric", "value"
                 )
-        found = found.select(
-            "task",
-            F.lit(method).alias("method"),
-            "head",
-            F.lit(bench.seed).alias("seed"),
-            "metric",
-            "value",
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+            )
+    return out.select("task", "method", "head", F.lit(bench.seed).alias("seed"), "metric", "value")
 
 
 def run_point(bench: Bench, beta: float, lambda_align: float) -> tuple[dict, construct_vae.ConstructVae]:

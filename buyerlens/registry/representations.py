@@ -271,13 +271,9 @@ def block_attribution(spark, sf_dir):
     coded = materialise(construct_vae.encode(b.frame, model, b.keep))
     a = model.aligned
     blocks = {"aligned": (1, a), "free": (a + 1, MODEL.latent_dim - a), "full": (1, MODEL.latent_dim)}
-    out = None
-    for name, (start, n) in blocks.items():
-        part_ = coded.withColumn("r", F.slice("z", start, n))
-        found = heads.head_metrics(part_, "r", b.tasks, b.cfg, SEED).where("split = 'test'")
-        found = found.withColumn("block", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out
+    frames = {name: coded.withColumn("r", F.slice("z", start, n)) for name, (start, n) in blocks.items()}
+    found = heads.case_metrics(frames, "r", b.tasks, b.cfg, SEED).where("split = 'test'")
+    return found.withColumnRenamed("case", "block").select("split", "task", "head", "metric", "value", "block")
 
 
 @query("axis_cards")
