@@ -94,7 +94,7 @@ class ModelConfig:
     lr: float = 1e-3
     epochs: int = 200
     batch_rows: int = 256
-    shards: int = 8  # parts of the rows that train side by side between two averages
+    shards: int | None = None  # parts of the rows that train side by side; by the number of rows if not given
     beta: float = 1.0
     lambda_align: float = 1.0
     aligned_dims: int | None = None

@@ -6,7 +6,7 @@ loss = reconstruction + beta x KL(free dims) + w x KL(aligned dims) + lambda x a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -81,43 +81,51 @@ def unpack(arrays: list, cfg: ModelConfig, aligned: int):
 
 
 def loss_and_gradient(
-    arrays: list, x: np.ndarray, c: np.ndarray | None, eps: np.ndarray, cfg: ModelConfig, aligned: int
+    arrays: list, x: np.ndarray, c: np.ndarray | None, eps: np.ndarray, cfg: ModelConfig, aligned: int,
+    beta: np.ndarray | float | None = None, lambda_align: np.ndarray | float | None = None,
 ) -> tuple[np.ndarray, list]:
-    """Loss sums over the rows in the order of ``LOSSES`` and the gradient of the total."""
+    """Loss sums over the rows in the order of ``LOSSES`` and the gradient of the total.
+
+    ``arrays`` may be stacks of many models' arrays; ``beta`` and ``lambda_align`` then have one entry each, and every
+    loss is a vector.
+    """
     trunk, mean, logvar, decoder, head = unpack(arrays, cfg, aligned)
+    beta = np.asarray(cfg.beta if beta is None else beta, dtype=float)
+    lam = np.asarray(cfg.lambda_align if lambda_align is None else lambda_align, dtype=float)
     acts = dense.forward(x, trunk, last_relu=True)
     h = acts[-1]
-    mu, lv = h @ mean[0] + mean[1], h @ logvar[0] + logvar[1]
+    mu, lv = h @ mean[0] + mean[1][..., None, :], h @ logvar[0] + logvar[1][..., None, :]
     sd = np.exp(0.5 * lv)
     z = mu + sd * eps
     back = dense.forward(z, decoder)
     gap = back[-1] - x
     kl = 0.5 * (mu**2 + sd**2 - lv - 1.0)
-    weight = np.full(cfg.latent_dim, cfg.beta)
-    weight[:aligned] = cfg.aligned_kl_weight
+    weight = np.repeat(beta[..., None, None], cfg.latent_dim, axis=-1)
+    weight[..., :aligned] = cfg.aligned_kl_weight
     g_dec, g_z = dense.backward(back, decoder, 2.0 * gap)
-    g_head, align = [], 0.0
+    g_head, align = [], np.zeros(beta.shape)
     if head is not None:
-        miss = z[:, :aligned] @ head[0] + head[1] - c
-        align = (miss**2).sum()
-        out = 2.0 * cfg.lambda_align * miss
-        g_head = [z[:, :aligned].T @ out, out.sum(axis=0)]
+        miss = z[..., :aligned] @ head[0] + head[1][..., None, :] - c
+        align = (miss**2).sum(axis=(-1, -2))
+        out = 2.0 * lam[..., None, None] * miss
+        g_head = [dense.turned(z[..., :aligned]) @ out, out.sum(axis=-2)]
         g_z = g_z.copy()
-        g_z[:, :aligned] += out @ head[0].T
+        g_z[..., :aligned] += out @ dense.turned(head[0])
     g_mu = g_z + weight * mu
     g_lv = g_z * eps * 0.5 * sd + weight * 0.5 * (sd**2 - 1.0)
-    g_trunk, _ = dense.backward(acts, trunk, g_mu @ mean[0].T + g_lv @ logvar[0].T, last_relu=True)
+    g_top = g_mu @ dense.turned(mean[0]) + g_lv @ dense.turned(logvar[0])
+    g_trunk, _ = dense.backward(acts, trunk, g_top, last_relu=True)
     grads = [
         *dense.flat_layers(g_trunk),
-        h.T @ g_mu,
-        g_mu.sum(axis=0),
-        h.T @ g_lv,
-        g_lv.sum(axis=0),
+        dense.turned(h) @ g_mu,
+        g_mu.sum(axis=-2),
+        dense.turned(h) @ g_lv,
+        g_lv.sum(axis=-2),
         *dense.flat_layers(g_dec),
         *g_head,
     ]
-    recon, free, tied = (gap**2).sum(), kl[:, aligned:].sum(), kl[:, :aligned].sum()
-    total = recon + cfg.beta * free + cfg.aligned_kl_weight * tied + cfg.lambda_align * align
+    recon, free, tied = (gap**2).sum(axis=(-1, -2)), kl[..., aligned:].sum(axis=(-1, -2)), kl[..., :aligned].sum(axis=(-1, -2))
+    total = recon + beta * free + cfg.aligned_kl_weight * tied + lam * align
     return np.array([total, recon, free, tied, align]), grads
 
 
@@ -131,44 +139,63 @@ def fit_construct_vae(
     constructs: str = "constructs",
 ) -> ConstructVae:
     """Train on ``(id, features, constructs)`` rows; sampling noise is keyed on (id, epoch, seed)."""
-    aligned = aligned_dims(cfg, n_constructs)
-    rows = train.select(id_column, features, *([constructs] if aligned else [])).cache()
-    try:
-        width = rows.select(F.size(features).alias("n")).first()["n"]
+    point = (cfg.beta, cfg.lambda_align)
+    return fit_grid(train, cfg, [point], seed, n_constructs, id_column, features, constructs)[point]
+
+
+def fit_grid(
+    train: DataFrame,
+    cfg: ModelConfig,
+    points: Sequence[tuple[float, float]],
+    seed: int,
+    n_constructs: int,
+    id_column: str = "id",
+    features: str = "features",
+    constructs: str = "constructs",
+) -> dict[tuple[float, float], ConstructVae]:
+    """One model for every (beta, lambda) point, those of one shape as a stack that trains on the same batches and
+    noise; each is the model that its point gives alone."""
+    width = train.select(F.size(features).alias("n")).first()["n"]
+    shapes: dict[int, list[tuple[float, float]]] = {}
+    for beta, lam in dict.fromkeys(points):
+        shapes.setdefault(aligned_dims(replace(cfg, beta=beta, lambda_align=lam), n_constructs), []).append((beta, lam))
+    out = {}
+    for aligned, own in shapes.items():
+        rows = train.select(id_column, features, *([constructs] if aligned else []))
         arrays = initial_arrays(width, cfg, aligned, n_constructs, seed)
-        packing = dense.Packing.of(arrays)
+        packing, models = dense.Packing.of(arrays), len(own)
+        betas, lams = np.array([b for b, _ in own]), np.array([v for _, v in own])
 
-        def gradient(epoch, params):
-            weights = packing.split(params)
+        def gradient(epoch, params, packing=packing, models=models, betas=betas, lams=lams, aligned=aligned):
+            weights = packing.split(params.reshape(models, -1))
 
             def partial(batch):
                 x = matrix(batch, features)
                 c = matrix(batch, constructs) if aligned else None
                 eps = dense.keyed_normal(vector(batch, id_column), cfg.latent_dim, epoch, seed)
-                losses, grads = loss_and_gradient(weights, x, c, eps, cfg, aligned)
-                return np.concatenate([[len(x)], losses, dense.pack(grads)])
+                losses, grads = loss_and_gradient(weights, x, c, eps, cfg, aligned, betas, lams)
+                return np.concatenate([[len(x)], losses.ravel(), dense.pack_stack(grads, models).ravel()])
 
             return partial
 
         params, history = dense.minimise(
             rows,
             id_column,
-            dense.pack(arrays),
+            np.tile(dense.pack(arrays), models),
             gradient,
-            len(LOSSES),
+            len(LOSSES) * models,
             cfg.lr,
             cfg.epochs,
             cfg.batch_rows,
             cfg.shards,
             seed,
         )
-    finally:
-        rows.unpersist()
-    trunk, mean, logvar, decoder, head = unpack(packing.split(params), cfg, aligned)
-    log = tuple(
-        {"epoch": float(i), **dict(zip(LOSSES, map(float, h), strict=True))} for i, h in enumerate(history)
-    )
-    return ConstructVae(trunk, mean, logvar, decoder, head, aligned, log)
+        for m, point in enumerate(own):
+            trunk, mean, logvar, decoder, head = unpack(packing.split(params.reshape(models, -1)[m]), cfg, aligned)
+            logs = [h.reshape(len(LOSSES), models)[:, m] for h in history]
+            log = tuple({"epoch": float(i), **dict(zip(LOSSES, map(float, h), strict=True))} for i, h in enumerate(logs))
+            out[point] = ConstructVae(trunk, mean, logvar, decoder, head, aligned, log)
+    return out
 
 
 def encode(df: DataFrame, model: ConstructVae, keep: Sequence[str], out: str = "z") -> DataFrame:

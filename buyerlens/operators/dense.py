@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buyerlens.plans.partials import array_column
+from buyerlens.session import materialise
 
 Layer = tuple[np.ndarray, np.ndarray]
-SHARDS = 8
+SHARD_ROWS = 50_000  # rows that one task trains on
+ROUND_EPOCHS = 5  # epochs that shards train side by side between two averages
 
 
 def init_layers(sizes: Sequence[int], rng: np.random.Generator) -> list[Layer]:
@@ -26,10 +28,10 @@ def init_layers(sizes: Sequence[int], rng: np.random.Generator) -> list[Layer]:
 
 
 def forward(x: np.ndarray, layers: list[Layer], last_relu: bool = False) -> list[np.ndarray]:
-    """Input and every layer's output; ReLU between layers."""
+    """Input and every layer's output; ReLU between layers. Layers may be stacks of many models' layers."""
     acts = [x]
     for i, (w, b) in enumerate(layers):
-        x = x @ w + b
+        x = x @ w + b[..., None, :]
         if last_relu or i < len(layers) - 1:
             x = np.maximum(x, 0.0)
         acts.append(x)
@@ -44,14 +46,19 @@ def backward(
     for i in range(len(layers) - 1, -1, -1):
         if last_relu or i < len(layers) - 1:
             grad = grad * (acts[i + 1] > 0)
-        grads.append((acts[i].T @ grad, grad.sum(axis=0)))
-        grad = grad @ layers[i][0].T
+        grads.append((turned(acts[i]) @ grad, grad.sum(axis=-2)))
+        grad = grad @ turned(layers[i][0])
     return grads[::-1], grad
 
 
+def turned(a: np.ndarray) -> np.ndarray:
+    """Transpose of a matrix, or of every matrix of a stack."""
+    return np.swapaxes(a, -1, -2)
+
+
 @dataclass(frozen=True)
 class Packing:
-    """Places of named arrays in one flat vector."""
+    """Places of named arrays in one flat vector, or in the last axis of a stack of vectors."""
 
     shapes: tuple[tuple[int, ...], ...]
 
@@ -63,7 +70,7 @@ class Packing:
         out, at = [], 0
         for shape in self.shapes:
             size = int(np.prod(shape))
-            out.append(flat[at : at + size].reshape(shape))
+            out.append(flat[..., at : at + size].reshape(*flat.shape[:-1], *shape))
             at += size
         return out
 
@@ -72,6 +79,11 @@ def pack(arrays: Sequence[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.asarray(a).ravel() for a in arrays])
 
 
+def pack_stack(arrays: Sequence[np.ndarray], models: int) -> np.ndarray:
+    """models x size, from stacks of arrays."""
+    return np.concatenate([np.asarray(a).reshape(models, -1) for a in arrays], axis=1)
+
+
 def pairs(arrays: Sequence[np.ndarray]) -> list[Layer]:
     return [(arrays[i], arrays[i + 1]) for i in range(0, len(arrays), 2)]
 
@@ -105,49 +117,61 @@ def minimise(
     lr: float,
     epochs: int,
     batch_rows: int = 256,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = 0,
-    before_epoch: Callable[[int, np.ndarray], None] | None = None,
+    before_round: Callable[[int, np.ndarray], None] | None = None,
+    round_epochs: int = ROUND_EPOCHS,
 ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Minibatch Adam in keyed shards, averaged after each epoch; returns parameters and mean losses per epoch.
-
-    Rows belong to ``shards`` shards by a hash of their id and stand in hashed order there. An epoch is one job:
-    each shard starts from the averaged weights and moments, streams through its rows in steps of ``batch_rows``,
-    and sends one vector; vectors are averaged by rows. So a run takes rows / ``batch_rows`` steps an epoch and
-    neither steps nor noise depend on the partitioning. ``gradient(epoch, params)`` gives the function that turns
-    an Arrow batch into ``[rows, losses…, gradient…]`` sums. More rows want more shards.
+    """Minibatch Adam in keyed shards, averaged after each round; returns parameters and mean losses per epoch.
+
+    Rows belong to shards by a hash of their id and stand in hashed order there; there is a shard for every
+    ``SHARD_ROWS`` rows unless their number is given. A round is one job: each shard starts from the averaged weights
+    and moments, takes ``round_epochs`` epochs of steps of ``batch_rows`` rows, and sends one vector; vectors are
+    averaged by rows. A single shard has nothing to average and trains all its epochs in one round, unless
+    ``before_round`` has to see the weights. Neither steps nor noise depend on the partitioning.
+    ``gradient(epoch, params)`` gives the function that turns an Arrow batch into ``[rows, losses…, gradient…]`` sums;
+    ``params`` may be many models' parameters in one vector, which then train side by side on the same batches.
     """
     names = df.columns
-    keyed = df.withColumn("_order", F.xxhash64(id_column, F.lit(seed)))
+    source = materialise(df)
+    n_rows = source.count()
+    if not n_rows:
+        raise ValueError("no rows to fit on")
+    shards = shards or -(-n_rows // SHARD_ROWS)
+    if shards == 1 and before_round is None:
+        round_epochs = epochs
+    keyed = source.withColumn("_order", F.xxhash64(id_column, F.lit(seed)))
     keyed = keyed.withColumn("_shard", F.pmod("_order", F.lit(shards)).cast("int"))
-    rows = keyed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order", id_column).cache()
+    rows = keyed.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_order", id_column).persist()
     adam, history, size = Adam(len(params), lr), [], len(params)
     try:
-        for epoch in range(epochs):
-            if before_epoch is not None:
-                before_epoch(epoch, params)
+        for first in range(0, epochs, round_epochs):
+            if before_round is not None:
+                before_round(first, params)
+            turns = range(first, min(epochs, first + round_epochs))
 
-            def train(batches, epoch=epoch, params=params, start=(adam.m, adam.v, adam.t)):
+            def train(batches, turns=turns, params=params, start=(adam.m, adam.v, adam.t)):
                 for shard, steps in _steps(batches, names, batch_rows):
                     own, at = Adam(size, lr), params
                     own.m, own.v, own.t = start
-                    sums = np.zeros(1 + n_losses)
-                    for batch in steps:
-                        total = gradient(epoch, at)(batch)
-                        sums += total[: 1 + n_losses]
-                        at = own.step(at, total[1 + n_losses :] / total[0])
+                    held, logs = list(steps), []
+                    for epoch in turns:
+                        sums = np.zeros(1 + n_losses)
+                        for batch in held:
+                            total = gradient(epoch, at)(batch)
+                            sums += total[: 1 + n_losses]
+                            at = own.step(at, total[1 + n_losses :] / total[0])
+                        logs.append(sums)
                     n = sums[0]
-                    made = np.concatenate([sums, [n * own.t], n * at, n * own.m, n * own.v])
+                    made = np.concatenate([[n, n * own.t], n * at, n * own.m, n * own.v, *logs])
                     yield pa.RecordBatch.from_arrays([pa.array([shard]), array_column(made[None, :])], ["shard", "part"])
 
             found = rows.mapInArrow(train, "shard long, part array<double>").collect()  # a row a shard
-            if not found:
-                raise ValueError("no rows to fit on")
             total = np.sum([np.asarray(r["part"]) for r in sorted(found, key=lambda r: r["shard"])], axis=0)
             n = total[0]
-            history.append(total[1 : 1 + n_losses] / n)
-            adam.t = int(round(total[1 + n_losses] / n))
-            params, adam.m, adam.v = (total[2 + n_losses :] / n).reshape(3, size)
+            adam.t = int(round(total[1] / n))
+            params, adam.m, adam.v = (total[2 : 2 + 3 * size] / n).reshape(3, size)
+            history += [log[1:] / n for log in total[2 + 3 * size :].reshape(len(turns), -1)]
     finally:
         rows.unpersist()
     return params, history
