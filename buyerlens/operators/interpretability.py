@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from buyerlens.functions.frames import vector_to_long
 from buyerlens.plans.ordered import exact_quantiles
 from buyerlens.plans.partials import matrix
+from buyerlens.session import materialise
 
 N_BINS = 20
 TINY = 1e-12
@@ -104,11 +105,11 @@ def factor_entropy(joint: DataFrame) -> DataFrame:
     return entropy(counts, ["factor"])
 
 
-def _gap(scores: DataFrame, score: str) -> DataFrame:
+def _gap(scores: DataFrame, score: str, by: Sequence[str] = ("factor",)) -> DataFrame:
     """Difference of the two largest scores of each factor."""
-    place = Window.partitionBy("factor").orderBy(F.desc(score))
+    place = Window.partitionBy(*by).orderBy(F.desc(score))
     top = scores.withColumn("_r", F.row_number().over(place)).where("_r <= 2")
-    return top.groupBy("factor").agg(
+    return top.groupBy(*by).agg(
         (
             F.max(F.when(F.col("_r") == 1, F.col(score)))
             - F.max(F.when(F.col("_r") == 2, F.col(score)))
@@ -196,13 +197,13 @@ def sap_per_factor(r2: DataFrame) -> DataFrame:
     )
 
 
-def axis_alignment(r2: DataFrame) -> DataFrame:
+def axis_alignment(r2: DataFrame, by: Sequence[str] = ("factor",)) -> DataFrame:
     """``(factor, best_dim, best_r2)``: the first dimension of highest squared correlation."""
-    place = Window.partitionBy("factor").orderBy(F.desc("r2"), "dim")
+    place = Window.partitionBy(*by).orderBy(F.desc("r2"), "dim")
     return (
         r2.withColumn("_r", F.row_number().over(place))
         .where("_r = 1")
-        .select("factor", F.col("dim").alias("best_dim"), F.col("r2").alias("best_r2"))
+        .select(*by, F.col("dim").alias("best_dim"), F.col("r2").alias("best_r2"))
     )
 
 
@@ -221,6 +222,35 @@ def summary(df: DataFrame, n_bins: int = N_BINS, z: str = "z", v: str = "v") ->
     )
 
 
+def block_summary(df: DataFrame, width: int, n_bins: int = N_BINS, z: str = "z", v: str = "v") -> DataFrame:
+    """``summary`` of many codes of ``width`` dimensions that stand one after another in ``z``, as ``(block, factor, …)``.
+
+    All blocks share the passes over the rows.
+    """
+
+    def in_block(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("block", F.floor(F.col("dim") / width).cast("int")).withColumn("dim", F.col("dim") % width)
+
+    by = ["block", "factor"]
+    joint = materialise(joint_counts(df, bin_edges(df, z, n_bins), bin_edges(df, v, n_bins), z, v))
+    r2 = materialise(in_block(squared_correlations(df, z, v)))
+    mi = in_block(mutual_information(joint, ["dim", "factor"], "zb", "vb"))
+    mig = _gap(mi, "mi", by).withColumnRenamed("gap", "_mig").join(factor_entropy(joint), "factor")
+    varies = r2.groupBy(*by).agg(F.bool_or("varies").alias("varies"))
+    sap = _gap(r2, "r2", by).withColumnRenamed("gap", "_sap").join(varies, by)
+    return (
+        mig.join(sap, by)
+        .join(axis_alignment(r2, by), by)
+        .select(
+            *by,
+            F.when(F.col("h") >= TINY, F.col("_mig") / F.col("h")).alias("mig"),
+            F.when(F.col("varies"), F.col("_sap")).alias("sap"),
+            "best_dim",
+            "best_r2",
+        )
+    )
+
+
 def overall(per_factor: DataFrame) -> DataFrame:
     """Mean gaps over the factors that have one."""
     return per_factor.agg(F.avg("mig").alias("mig"), F.avg("sap").alias("sap"))

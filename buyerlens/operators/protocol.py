@@ -5,20 +5,21 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buyerlens.config import EvalConfig, ModelConfig, SweepConfig
-from buyerlens.operators import clusters, construct_vae, heads, interpretability, pca, ranking
+from buyerlens.operators import clusters, construct_vae, heads, interpretability, pca
 from buyerlens.operators import records as rec
 from buyerlens.operators import selection, significance
 from buyerlens.operators.autoencoder import embedded_assign, encode, fit_autoencoder, fit_embedded_clusters
 from buyerlens.operators.clustering_quality import clustering_metrics
 from buyerlens.plans.ordered import keyed_sample
-from buyerlens.session import materialise
+from buyerlens.plans.partials import map_features, matrix, partitions_of, sum_partials
+from buyerlens.session import at_once, materialise
 from buyerlens.sources import records as sources
 
 Tasks = dict[str, tuple[str, str]]
@@ -186,35 +187,45 @@ def evaluate_baselines(bench: Bench) -> DataFrame:
         scores = clustering_metrics(test, "cluster", "space")
         named = scores.select(*[F.col(c).alias(f"clu_{c}") for c in scores.columns])
         long = heads.long_metrics(named, [])
-        for head in heads.HEADS:
-            out = out.unionByName(
-                long.select(
-                    F.lit("primary").alias("task"), F.lit(method).alias("method"), F.lit(head).alias("head"), "metric", "value"
-                )
-            )
-    return out.select("task", "method", "head", F.lit(bench.seed).alias("seed"), "metric", "value")
+        each = F.explode(F.array(*[F.lit(h) for h in heads.HEADS])).alias("head")
+        out = out.unionByName(
+            long.select(F.lit("primary").alias("task"), F.lit(method).alias("method"), each, "metric", "value")
+        )
+    return materialise(out.select("task", "method", "head", F.lit(bench.seed).alias("seed"), "metric", "value"))
+
+
+Point = tuple[float, float]
 
 
 def run_point(bench: Bench, beta: float, lambda_align: float) -> tuple[dict, construct_vae.ConstructVae]:
     """One (seed, beta, lambda) run: its record, shaped like the sweep schema, and the model."""
+    return run_points(bench, [(beta, lambda_align)])[0]
+
+
+def run_points(bench: Bench, points: list[Point]) -> list[tuple[dict, construct_vae.ConstructVae]]:
+    """All runs of one seed side by side: models trained as stacks, users coded once by all of them, heads fitted in
+    the same passes, axes compared in one table of bins."""
     began = time.time()
-    cfg = replace(bench.model, beta=beta, lambda_align=lambda_align)
-    names = bench.constructs
-    model = construct_vae.fit_construct_vae(bench.train, cfg, bench.seed, len(names))
+    names, width = bench.constructs, bench.model.latent_dim
+    models = construct_vae.fit_grid(bench.train, bench.model, points, bench.seed, len(names))
+    fitted = list(models.values())
     coded = materialise(
-        construct_vae.encode(bench.frame, model, [*bench.keep, "constructs", "features"], "z")
+        map_features(
+            bench.frame, [*bench.keep, "constructs"], lambda x: np.concatenate([m.code(x) for m in fitted], axis=1), "z"
+        )
     )
-    train = bench.train_part(coded)
-    scored = heads.head_metrics(coded, "z", bench.tasks, bench.cfg, bench.seed, train).collect()
-    test = coded.where("split = 'test'")
-    per_factor = {
-        names[r["factor"]]: r for r in interpretability.summary(test, v="constructs").collect()
+    frames = {
+        str(i): coded.select(*bench.keep, F.slice("z", 1 + i * width, width).alias("r")) for i in range(len(fitted))
     }
+    trains = {c: bench.train_part(f) for c, f in frames.items()}
+    scored = heads.case_metrics(frames, "r", bench.tasks, bench.cfg, bench.seed, trains).collect()
+    axes = interpretability.block_summary(coded.where("split = 'test'"), width, v="constructs").collect()
+    aligned = alignment_r2(bench.frame.where("split = 'test'"), fitted)
 
-    def tree(split: str, only: str | None = None) -> dict:
+    def tree(case: str, split: str, only: str | None = None) -> dict:
         out: dict = {}
         for r in scored:
-            if r["split"] == split and only in (None, r["task"]):
+            if r["case"] == case and r["split"] == split and only in (None, r["task"]):
                 out.setdefault(r["task"], {}).setdefault(r["head"], {})[r["metric"]] = r["value"]
         return out
 
@@ -222,46 +233,65 @@ def run_point(bench: Bench, beta: float, lambda_align: float) -> tuple[dict, con
         known = [v for v in values if v is not None]
         return float(np.mean(known)) if known else None
 
-    record = {
-        "dataset": "bench",
-        "seed": bench.seed,
-        "beta": float(beta),
-        "lambda_align": float(lambda_align),
-        "aligned_dims": model.aligned,
-        "loss_final": model.history[-1],
-        "loss_history": list(model.history),
-        "downstream": tree("test"),
-        "downstream_val": tree("val", "primary"),
-        "interpretability": {
-            "mig": mean(r["mig"] for r in per_factor.values()),
-            "sap": mean(r["sap"] for r in per_factor.values()),
-            "mig_per_factor": {n: r["mig"] for n, r in per_factor.items()},
-            "sap_per_factor": {n: r["sap"] for n, r in per_factor.items()},
-            "axis_alignment": {
-                n: {"best_dim": r["best_dim"], "best_r2": r["best_r2"]} for n, r in per_factor.items()
+    out = []
+    for i, ((beta, lambda_align), model) in enumerate(models.items()):
+        per_factor = {names[r["factor"]]: r for r in axes if r["block"] == i}
+        record = {
+            "dataset": "bench",
+            "seed": bench.seed,
+            "beta": float(beta),
+            "lambda_align": float(lambda_align),
+            "aligned_dims": model.aligned,
+            "loss_final": model.history[-1],
+            "loss_history": list(model.history),
+            "downstream": tree(str(i), "test"),
+            "downstream_val": tree(str(i), "val", "primary"),
+            "interpretability": {
+                "mig": mean(r["mig"] for r in per_factor.values()),
+                "sap": mean(r["sap"] for r in per_factor.values()),
+                "mig_per_factor": {n: r["mig"] for n, r in per_factor.items()},
+                "sap_per_factor": {n: r["sap"] for n, r in per_factor.items()},
+                "axis_alignment": {
+                    n: {"best_dim": r["best_dim"], "best_r2": r["best_r2"]} for n, r in per_factor.items()
+                },
             },
-        },
-        "alignment": None,
-    }
-    if model.head is not None:
-        r2 = {r["name"]: r["r2"] for r in alignment_r2(test, model, names).collect()}
-        record["alignment"] = {
-            "r2_per_construct": r2,
-            "r2_mean": mean(r2.values()),
-            "r2_rfm_mean": mean(r2[n] for n in names[:3]),
+            "alignment": None,
         }
-    record["wall_time_s"] = round(time.time() - began, 1)
-    return record, model
-
-
-def alignment_r2(test: DataFrame, model: construct_vae.ConstructVae, names: list[str]) -> DataFrame:
-    """R² of the alignment head per construct on test rows."""
-    found = construct_vae.predict_constructs(test, model, ["id", "constructs"])
-    label = F.array(*[F.lit(n) for n in names])
-    long = found.select(
-        F.posexplode(F.arrays_zip("constructs", "predicted")).alias("pos", "e")
-    ).select(F.get(label, F.col("pos")).alias("name"), F.col("e.constructs").alias("y"), F.col("e.predicted").alias("p"))
-    return ranking.r2_scores(long)
+        if model.head is not None:
+            r2 = dict(zip(names, aligned[i], strict=True))
+            record["alignment"] = {
+                "r2_per_construct": r2,
+                "r2_mean": mean(r2.values()),
+                "r2_rfm_mean": mean(r2[n] for n in names[:3]),
+            }
+        out.append((record, model))
+    took = round((time.time() - began) / max(1, len(out)), 1)
+    for record, _ in out:
+        record["wall_time_s"] = took
+    return out
+
+
+def alignment_r2(test: DataFrame, models: list[construct_vae.ConstructVae]) -> dict[int, list[float | None]]:
+    """R² of every model's alignment head per construct on test rows, from one pass of sums; null for a constant."""
+    heads_of = [i for i, m in enumerate(models) if m.head is not None]
+    if not heads_of:
+        return {}
+    rows = test.select("features", "constructs")
+
+    def sums(batch):
+        x, c = matrix(batch, "features"), matrix(batch, "constructs")
+        miss = [((c - models[i].predict_constructs(x)) ** 2).sum(axis=0) for i in heads_of]
+        return np.concatenate([[len(c)], c.sum(axis=0), (c * c).sum(axis=0), *miss])
+
+    total = sum_partials(rows, sums, partitions_of(rows))
+    k = (len(total) - 1) // (2 + len(heads_of))
+    n, first, second = total[0], total[1 : 1 + k], total[1 + k : 1 + 2 * k]
+    spread = second - first**2 / n
+    out = {}
+    for place, i in enumerate(heads_of):
+        miss = total[1 + (2 + place) * k : 1 + (3 + place) * k]
+        out[i] = [float(1.0 - a / b) if b > 1e-12 * max(1.0, n) else None for a, b in zip(miss, spread, strict=True)]
+    return out
 
 
 def run_sweep(
@@ -272,8 +302,8 @@ def run_sweep(
 ) -> int:
     """Run every grid point without a record under ``path``; returns how many ran.
 
-    A seed is prepared only if it has a run left. A record is written after its model, by a
-    committed job, so a lost driver costs one run.
+    A seed is prepared only if it has a run left, and all its points run side by side. Their records are written after
+    their models, by one committed job a seed, so a lost driver costs one seed and repeats none that is written.
     """
     spark = SparkSession.getActiveSession()
     todo = sources.grid(spark, grid.seeds, grid.betas, grid.lambdas)
@@ -281,17 +311,20 @@ def run_sweep(
         todo = sources.remaining(todo, sources.read_sweep_records(spark, path))
     except FileNotFoundError:
         pass
-    points = sorted((r["seed"], r["beta"], r["lambda_align"]) for r in todo.collect())
-    bench = None
-    for seed, beta, lam in points:
-        if bench is None or bench.seed != seed:
-            bench = bench_of(seed)
-        record, model = run_point(bench, beta, lam)
+    left: dict[int, list[Point]] = {}
+    for r in todo.collect():  # as long as the configured grid
+        left.setdefault(r["seed"], []).append((r["beta"], r["lambda_align"]))
+
+    def run(seed: int) -> None:
+        runs = run_points(bench_of(seed), sorted(left[seed]))
         if keep_model is not None:
-            keep_model(record, model)
-        row = spark.createDataFrame([record], sources.SWEEP_SCHEMA)
-        sources.write_records(row.coalesce(1), path)
-    return len(points)
+            for record, model in runs:
+                keep_model(record, model)
+        rows = spark.createDataFrame([record for record, _ in runs], sources.SWEEP_SCHEMA)
+        sources.write_records(rows.coalesce(1), f"{path}/seed={seed}")
+
+    at_once(run, sorted(left))
+    return sum(map(len, left.values()))
 
 
 def analyse(

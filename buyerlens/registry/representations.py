@@ -19,7 +19,7 @@ from buyerlens.registry.base import SEED, query
 from buyerlens.registry.events import prepared_users
 from buyerlens.registry.metrics import embeddings
 from buyerlens.registry.sqlparts import part, r, stmt
-from buyerlens.session import checkpoint_dir, materialise
+from buyerlens.session import at_once, checkpoint_dir, materialise
 from buyerlens.sources.records import read_sweep_records
 
 MODEL = ModelConfig()
@@ -257,8 +257,7 @@ def multiclass_heads(spark, sf_dir):
 def baseline_campaign(spark, sf_dir):
     """All methods, tasks and seeds; each seed has its own split."""
     out = None
-    for seed in EVAL.seeds:
-        found = protocol.evaluate_baselines(bench(spark, sf_dir, tuple(TASKS), seed))
+    for found in at_once(protocol.evaluate_baselines, [bench(spark, sf_dir, tuple(TASKS), seed) for seed in EVAL.seeds]):
         out = found if out is None else out.unionByName(found)
     return out
 

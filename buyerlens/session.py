@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +55,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/buyerlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def at_once(work: Callable, items: Iterable, threads: int = 4) -> list:
+    """``work`` of every item, results in order; the Spark jobs of ``threads`` items share the cluster."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
