@@ -165,6 +165,12 @@ def _draw(rows: DataFrame, groups: list[_Group], features: str, step: int) -> No
         group.centers = fresh if not step else np.concatenate([group.centers, fresh], axis=1)
 
 
+def _beats(a: tuple, b: tuple) -> bool:
+    """Lower cost, or the earlier start where costs differ by rounding only."""
+    near = abs(a[0] - b[0]) <= 1e-9 * abs(b[0])
+    return a[1] < b[1] if near else a[0] < b[0]
+
+
 def fit_many(
     df: DataFrame,
     fits: Sequence[Fit],
@@ -217,7 +223,7 @@ def fit_many(
             still = ((new - g.centers) ** 2).sum(axis=(1, 2)) > tol * measured[g.part][0]
             for s in np.flatnonzero(~still):
                 entry = (cost[s], int(g.starts[s]), new[s])
-                if g.fits[s] not in best or entry[:2] < best[g.fits[s]][:2]:
+                if g.fits[s] not in best or _beats(entry, best[g.fits[s]]):
                     best[g.fits[s]] = entry
             g.centers = new
             if still.any():
@@ -230,3 +236,35 @@ def fit_many(
             if g.fits[s] not in best:
                 best[g.fits[s]] = (np.inf, int(g.starts[s]), g.centers[s])
     return [best[i][2] for i in range(len(fits))]
+
+
+def center_gaps(
+    df: DataFrame, fits: Sequence[Fit], centers: Sequence[np.ndarray], features: str = "features", part: str | None = None, id_column: str = "id"
+) -> DataFrame:
+    """``(fit, cluster, weight, gap)``: each cluster's weight in its fit's rows, and the largest difference between its
+    centre and their weighted mean; null for an empty one."""
+    rows = _stored(df, features, part, id_column)
+    groups = [
+        _Group(f.part, f.k, np.array([i]), np.array([f.seed]), np.zeros(1, int), np.array([-1 if f.replicate is None else f.replicate]), c[None])
+        for i, (f, c) in enumerate(zip(fits, centers, strict=True))
+    ]
+
+    def partial(batch):
+        out = []
+        for g in groups:
+            total = np.zeros(1 + g.k * (1 + g.centers.shape[2]))
+            for keys, x in _pieces(batch, g, features):
+                total += _lloyd(g, keys, x)
+            out.append(total)
+        return np.concatenate(out)
+
+    total, at, found = sum_partials(rows, partial, partitions_of(rows)), 0, []
+    for i, g in enumerate(groups):
+        d = g.centers.shape[2]
+        counts = total[at + 1 : at + 1 + g.k]
+        sums = total[at + 1 + g.k : at + 1 + g.k * (1 + d)].reshape(g.k, d)
+        at += 1 + g.k * (1 + d)
+        for c in range(g.k):
+            gap = float(np.abs(sums[c] / counts[c] - g.centers[0, c]).max()) if counts[c] > 0 else None
+            found.append((i, c, float(counts[c]), gap))
+    return df.sparkSession.createDataFrame(found, "fit int, cluster int, weight double, gap double")

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from buyerlens.config import EvalConfig, ModelConfig, SweepConfig
 from buyerlens.functions.frames import vector_to_long
 from buyerlens.operators import autoencoder as ae
-from buyerlens.operators import cards, clusters, construct_vae, heads, interpretability, pca, protocol, resampling
+from buyerlens.operators import boosting, cards, clusters, construct_vae, heads, interpretability, kmeans, newton, pca, protocol
+from buyerlens.operators import resampling
 from buyerlens.operators.clustering_quality import centroids
 from buyerlens.operators.records import flatten
 from buyerlens.registry.base import SEED, query
 from buyerlens.registry.events import prepared_users
 from buyerlens.registry.metrics import embeddings
 from buyerlens.registry.sqlparts import part, r, stmt
+from buyerlens.plans.partials import map_features
 from buyerlens.session import at_once, checkpoint_dir, materialise
 from buyerlens.sources.records import read_sweep_records
 
@@ -197,6 +199,74 @@ def logistic_mean(spark, sf_dir):
     )
 
 
+def _stacked_labels(spark: SparkSession, sf_dir: str, y: str) -> DataFrame:
+    """The vectors as the rows of one fit, stored."""
+    rows = embeddings(spark, sf_dir)
+    return materialise(
+        rows.select(F.lit(0).alias("fit"), F.xxhash64("id").alias("_key"), "id", F.col("features").cast("array<double>").alias("features"), F.expr(y).cast("int").alias("y"))
+    )
+
+
+@query(
+    "logistic_conditions",
+    "SELECT CAST(i AS INT) AS dim, true AS holds FROM range(0, (SELECT max(len(embedding)) + 1 FROM embeddings)) AS t(i)",
+)
+def logistic_conditions(spark, sf_dir):
+    """At C = 1 the summed errors times each feature plus its weight are zero; for the intercept the errors alone."""
+    rows = _stacked_labels(spark, sf_dir, "label % 2")
+    w = newton.fit_logistic(rows, {0: 1})[0].weights[0]
+    weights = F.array(*[F.lit(float(v)) for v in w])
+    with_one = F.concat("features", F.array(F.lit(1.0)))
+    score = F.aggregate(F.zip_with(with_one, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    miss = rows.select(with_one.alias("x"), (1 / (1 + F.exp(-score)) - F.col("y")).alias("e"))
+    sums = miss.select("e", F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.sum(F.col("e") * F.col("v")).alias("g"))
+    pull = F.when(F.col("dim") < len(w) - 1, F.get(weights, F.col("dim"))).otherwise(0.0)
+    return sums.select("dim", (F.abs(F.col("g") + pull) < 1e-6).alias("holds"))
+
+
+@query(
+    "boosted_leaves",
+    f"""SELECT CAST(i AS INT) AS round, (SELECT count(*) FROM embeddings) AS n, true AS leaves_hold, true AS loss_falls
+FROM range(0, {EVAL.gbt_iterations}) AS t(i)""",
+)
+def boosted_leaves(spark, sf_dir):
+    """Every tree's leaves hold all rows between them, are at most 31 and of 20 rows at least; the loss falls."""
+    rows = _stacked_labels(spark, sf_dir, "label % 2")
+    s = boosting.Settings(rounds=EVAL.gbt_iterations, stop_above=None)
+    model = boosting.fit_side_by_side(rows, {0: 1}, s, SEED)[0]
+    out = []
+    for i, ((tree,), loss) in enumerate(zip(model.rounds, model.losses, strict=True)):
+        sizes = tree.rows[tree.feature < 0]
+        falls = i == 0 or loss < model.losses[i - 1]
+        out.append((i, int(sizes.sum()), bool(len(sizes) <= s.leaves and sizes.min() >= s.min_rows), bool(falls)))
+    return spark.createDataFrame(out, "round int, n long, leaves_hold boolean, loss_falls boolean")
+
+
+@query("softmax_mass", f"SELECT vec_id AS id, {r('1.0', 'mass')}, true AS likelier FROM embeddings")
+def softmax_mass(spark, sf_dir):
+    """One boosted model of all labels: a row's chances sum to one, and its own label gains on the labels' shares."""
+    rows = _stacked_labels(spark, sf_dir, "label")
+    k = rows.agg(F.max("y")).first()[0] + 1
+    model = boosting.fit_side_by_side(rows, {0: k}, boosting.Settings(rounds=EVAL.gbt_iterations), SEED)[0]
+    found = map_features(rows, ["id", "y"], model.chances, "p")
+    mass = F.aggregate("p", F.lit(0.0), lambda acc, v: acc + v)
+    return found.select("id", mass.alias("mass"), (F.get("p", F.col("y")) > 1.0 / k).alias("likelier"))
+
+
+@query(
+    "resample_means",
+    f"""SELECT CAST(i AS INT) AS fit, CAST({EVAL.n_clusters} AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS off
+FROM range(0, {EVAL.n_boot + 1}) AS t(i)""",
+)
+def resample_means(spark, sf_dir):
+    """In the reference fit and in every resample, each centre is the weighted mean of the rows nearest to it."""
+    rows = split_embeddings(spark, sf_dir)
+    fits = resampling.bootstrap_fits(EVAL.n_clusters, EVAL.n_boot, SEED)
+    return kmeans.center_gaps(rows, fits, kmeans.fit_many(rows, fits, EVAL.n_init)).groupBy("fit").agg(
+        F.count_if(F.col("weight") > 0).alias("clusters"), F.count_if(F.col("gap") > 0.01).alias("off")
+    )
+
+
 @query("autoencoder_embedding")
 def autoencoder_embedding(spark, sf_dir):
     b = bench(spark, sf_dir)

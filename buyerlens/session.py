@@ -59,5 +59,6 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def at_once(work: Callable, items: Iterable, threads: int = 4) -> list:
     """``work`` of every item, results in order; the Spark jobs of ``threads`` items share the cluster."""
+    own = inheritable_thread_target(SparkSession.active())(work)
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(inheritable_thread_target(work), items))
+        return list(pool.map(own, items))
