@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buyerlens.functions.frames import ratio
-from buyerlens.plans.partials import matrix, vector
+from buyerlens.plans.ordered import keyed_sample
+from buyerlens.plans.partials import array_column, matrix, vector
+from buyerlens.session import materialise
 
 MAX_CLUSTERS = 1_000
+SILHOUETTE_ROWS = 20_000
 
 
 def label_count(df: DataFrame, label: str) -> int:
@@ -61,6 +64,91 @@ def silhouette(df: DataFrame, label: str, features: str) -> DataFrame:
     return df.select(label, features).mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette_squared"))
 
 
+def silhouette_euclidean(
+    df: DataFrame,
+    label: str,
+    features: str,
+    rows: int | None = SILHOUETTE_ROWS,
+    seed: int = 0,
+    id_column: str = "id",
+    block_rows: int = 1_000,
+) -> DataFrame:
+    """Mean silhouette in Euclidean distance, of a seeded sample of ``rows`` rows, or of all rows where that is None.
+
+    Points are dealt into blocks of about ``block_rows`` by a hash of their id. Every unordered pair of blocks meets in
+    one task as two arrays, which adds up each point's distances per cluster; no pair of points becomes a row, and no
+    block is sent anywhere but to its own tiles. Null with fewer than two labels; a cluster of one point counts 0.
+    """
+    points = df.select(F.col(id_column).alias("_id"), F.col(label).alias("_l"), F.col(features).alias("_x"))
+    points = materialise(points if rows is None else keyed_sample(points, "_id", seed, rows))
+    sizes = points.groupBy("_l").agg(F.count("*").alias("n")).limit(MAX_CLUSTERS + 1).collect()
+    if len(sizes) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    if len(sizes) < 2:
+        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
+    names = np.array(sorted(r["_l"] for r in sizes))
+    n_of = dict((r["_l"], r["n"]) for r in sizes)
+    counts, k = np.array([n_of[v] for v in names], dtype=np.float64), len(sizes)
+    blocks = max(1, -(-int(counts.sum()) // block_rows))
+    own = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct("_id", "_l", "_x")))
+    packed = materialise(
+        points.groupBy(own.alias("block")).agg(listed.alias("_p")).select(
+            "block", F.col("_p._l").alias("l"), F.flatten("_p._x").alias("x")
+        )
+    )
+    upper = F.sequence(F.col("block"), F.lit(blocks - 1))
+    lower = F.sequence(F.lit(0), F.col("block"))
+    left = packed.select(F.col("block").alias("i"), F.explode(upper).alias("j"), F.col("l").alias("li"), F.col("x").alias("xi"))
+    right = packed.select(F.explode(lower).alias("i"), F.col("block").alias("j"), F.col("l").alias("lj"), F.col("x").alias("xj"))
+    tiles = left.join(right.hint("merge"), ["i", "j"])
+
+    def measure(batches):
+        for batch in batches:
+            for i, j, li, xi, lj, xj in zip(*(batch.column(c) for c in range(6))):
+                i, j = i.as_py(), j.as_py()
+                a, b = (np.searchsorted(names, v.values.to_numpy()) for v in (li, lj))
+                x, y = (v.values.to_numpy().reshape(len(m), -1) for v, m in ((xi, a), (xj, b)))
+                if not len(a) or not len(b):
+                    continue
+                gap = np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
+                sides = [(i, gap @ np.eye(k)[b])] + ([] if i == j else [(j, gap.T @ np.eye(k)[a])])
+                for block, sums in sides:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), array_column(sums.reshape(1, -1))], ["block", "sums"]
+                    )
+
+    def score(batches):
+        """Rows of a block, one after another: add its tiles, then score its points."""
+        total: dict[int, np.ndarray] = {}
+        labels: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums, l in zip(*(batch.column(c) for c in range(3))):
+                if l.is_valid:
+                    labels[block.as_py()] = np.searchsorted(names, l.values.to_numpy())
+                else:
+                    part = sums.values.to_numpy()
+                    total[block.as_py()] = part if block.as_py() not in total else total[block.as_py()] + part
+        for block, mine in labels.items():
+            sums, row = total[block].reshape(-1, k), np.arange(len(mine))
+            others = counts[mine] - 1.0
+            a = np.divide(sums[row, mine], others, out=np.zeros(len(mine)), where=others > 0)
+            means = sums / counts
+            means[row, mine] = np.inf
+            b = means.min(axis=1)
+            top = np.maximum(a, b)
+            s = np.divide(b - a, top, out=np.zeros(len(mine)), where=(top > 0) & (others > 0))
+            yield pa.RecordBatch.from_arrays([pa.array([s.sum()]), pa.array([len(s)], pa.int64())], ["s", "n"])
+
+    sums = tiles.select("i", "j", "li", "xi", "lj", "xj").mapInArrow(measure, "block int, sums array<double>")
+    kind = packed.schema["l"].dataType
+    with_labels = sums.select("block", "sums", F.lit(None).cast(kind).alias("l")).unionByName(
+        packed.select("block", F.lit(None).cast("array<double>").alias("sums"), "l")
+    )
+    scored = with_labels.repartition("block").mapInArrow(score, "s double, n long")
+    return scored.agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+
+
 def _centroid_rows(df: DataFrame, label: str, features: str) -> DataFrame:
     """``(label, dim, c, n)``: centroid coordinates and size per cluster."""
     long = df.select(label, F.posexplode(features).alias("dim", "x"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from buyerlens.operators import clustering_quality as quality
 from buyerlens.operators import interpretability as interp
 from buyerlens.operators import ranking, stability
-from buyerlens.registry.base import query
+from buyerlens.registry.base import SEED, query
 from buyerlens.registry.events import split_table
 from buyerlens.registry.sqlparts import part, r, stmt
 from buyerlens.session import materialise
@@ -205,6 +205,20 @@ def silhouette(spark, sf_dir):
     return quality.silhouette(embeddings(spark, sf_dir), "label", "features")
 
 
+@query(
+    "silhouette_euclidean",
+    f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT {quality.SILHOUETTE_ROWS})
+SELECT {r('avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM (
+  SELECT id, max(CASE WHEN l1 = l2 THEN s / nullif(n - 1, 0) END) AS a,
+    min(CASE WHEN l1 <> l2 THEN s / n END) AS b, max(CASE WHEN l1 = l2 THEN n END) AS own_n FROM (
+    SELECT p.vec_id AS id, p.label AS l1, q.label AS l2, sum(list_distance(p.x, q.x)) AS s, count(*) AS n
+    FROM e p, e q GROUP BY 1, 2, 3) GROUP BY id)""",
+)
+def silhouette_euclidean(spark, sf_dir):
+    return quality.silhouette_euclidean(embeddings(spark, sf_dir), "label", "features", seed=SEED)
+
+
 part("ec", "SELECT label, dim, avg(x) AS c, count(*) AS n FROM el GROUP BY label, dim", "el")
 
 

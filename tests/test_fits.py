@@ -7,6 +7,7 @@ import pytest
 
 from buyerlens.config import EvalConfig, ModelConfig, SweepConfig
 from buyerlens.functions.keyed import keyed_uniform
+from buyerlens.operators import clustering_quality as quality
 from buyerlens.operators import boosting, construct_vae, dense, heads, interpretability, kmeans, newton, protocol
 from buyerlens.sources.records import read_sweep_records
 
@@ -230,3 +231,27 @@ def test_cases_share_their_passes(spark):
     for r in alone:
         assert got["few", r["split"], r["task"], r["head"], r["metric"]] == pytest.approx(r["value"])
     assert got["all", "test", "primary", "logreg", "roc_auc"] > 0.9
+
+
+@pytest.mark.parametrize("block_rows", [7, 1_000])
+def test_euclidean_silhouette_equals_brute_force(spark, block_rows):
+    rng = np.random.default_rng(8)
+    x, labels = rng.normal(size=(45, 3)), np.r_[np.full(20, 4), np.full(24, 9), 11]
+    x[labels == 9] += 3
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, own in enumerate(labels):
+        if (labels == own).sum() == 1:
+            want.append(0.0)
+            continue
+        a = far[i, labels == own].sum() / ((labels == own).sum() - 1)
+        b = min(far[i, labels == o].mean() for o in set(labels) - {own})
+        want.append((b - a) / max(a, b))
+    rows = [(i, int(v), [float(e) for e in p]) for i, (p, v) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>").repartition(3)
+    for n in (None, 100):
+        got = quality.silhouette_euclidean(df, "label", "features", n, block_rows=block_rows).first()["silhouette"]
+        assert got == pytest.approx(np.mean(want))
+    assert quality.silhouette_euclidean(df.where("label = 4"), "label", "features").first()["silhouette"] is None
+    few = quality.silhouette_euclidean(df.where("label <> 11"), "label", "features", 12, block_rows=5).first()["silhouette"]
+    assert -1 <= few <= 1
