@@ -2,8 +2,10 @@
 
 The words of a source are dealt to shards and lined up in seeded order, and each shard's line is cut
 into blocks of ``block`` words. Blocks go to sources, and a source's blocks to its shards, by the
-highest quotients size / (2k + 1); each shard then takes its quota of blocks in seeded order, whole
-rounds first. DataFrame functions only.
+highest quotients size / (2k + 1). What integer quotas leave of a source's target, or exceed it by, is settled
+on its shards in order, so that a source takes its target to the word however few words it has. Each shard takes
+its words in seeded block order, whole rounds first, and of the last block as many words as are still owed.
+DataFrame functions only.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; null ids
 are ordinary rows; repeated rows are mixed one by one; an empty table gives no rows; other columns are
@@ -127,17 +129,20 @@ def mix(
         dealt.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_draw", "_shards")
     )
     shards = placed.groupBy("src", "_shard").agg(
-        F.max("_end").alias("_words"), F.first("_source_quota").alias("_source_quota")
+        F.max("_end").alias("_words"), F.first("_source_quota").alias("_source_quota"),
+        F.round(F.first("target")).cast("long").alias("_owed"),
     )
-    takes = shard_takes(apportion(shards, ["_shard"], "_words", "_source_quota", ["src"]), block, repeats, seed)
-    joined = placed.join(takes, ["src", "_shard"])
+    goals = settled(apportion(shards, ["_shard"], "_words", "_source_quota", ["src"]), block, repeats)
+    joined = placed.join(shard_takes(goals, block, seed), ["src", "_shard"])
     start = F.col("_end") - F.col("size")
     taken = F.aggregate(
         F.sequence(F.floor(start / block), F.floor((F.col("_end") - 1) / block)),
-        F.lit(0).cast("long"),
+        F.col("_rounds") * F.col("size"),
         lambda acc, b: acc
-        + (F.least(F.col("_end"), (b + 1) * block) - F.greatest(start, b * block))
-        * F.get(F.col("_takes"), b.cast("int")).cast("long"),
+        + F.greatest(
+            F.lit(0).cast("long"),
+            F.least(F.col("_end"), b * block + F.get(F.col("_extra"), b.cast("int"))) - F.greatest(start, b * block),
+        ),
     )
     return joined.select(
         "doc_id", "size", "source", "source_size", "target",
@@ -145,26 +150,53 @@ def mix(
     )
 
 
-def shard_takes(shards: DataFrame, block: int, repeats: int, seed: int) -> DataFrame:
-    """``(src, _shard, _takes)``: how often each block of a shard is taken. A shard holds a bounded number of blocks
-    unless one document is longer than a shard."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("_words") / block))
-    quota = F.least(F.col("quota"), n * repeats)
+def settled(shards: DataFrame, block: int, repeats: int) -> DataFrame:
+    """Add ``_goal``: the words each shard takes, ``quota`` blocks at first and ``repeats`` times its words at most.
+
+    The goals of a source add up to ``_owed``: words lacking go to its shards with room, words in excess are taken off, in order of
+    shards. Room and goals are enough for that, as no target exceeds ``repeats`` times its source.
+    """
+    source = Window.partitionBy("src")
+    before = source.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("long")
+
+    def poured(amount, vessel: str):
+        """What a vessel gets of an amount poured into all of a source, one after another."""
+        return F.greatest(nothing, F.least(F.col(vessel), amount - F.coalesce(F.sum(vessel).over(before), nothing)))
+
+    return (
+        shards.withColumn("_first", F.least(F.col("quota") * block, F.col("_words") * repeats))
+        .withColumn("_room", F.col("_words") * repeats - F.col("_first"))
+        .withColumn("_lacks", F.col("_owed") - F.sum("_first").over(source))
+        .withColumn("_goal", F.col("_first") + poured(F.col("_lacks"), "_room") - poured(-F.col("_lacks"), "_first"))
+        .select("src", "_shard", "_words", "_goal")
+    )
+
+
+def shard_takes(shards: DataFrame, block: int, seed: int) -> DataFrame:
+    """``(src, _shard, _rounds, _extra)``: how often a shard is taken whole, and how many words from the start of each of its blocks
+    besides. A shard holds a bounded number of blocks unless one document is longer than a shard."""
+    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_words") / block))
     blocks = F.sequence(F.lit(0).cast("long"), n - 1)
     order = F.array_sort(
         F.transform(blocks, lambda b: F.struct(F.xxhash64(F.lit(seed), "src", "_shard", b).alias("h"), b.alias("b")))
     )
-    rounds = F.floor(quota / n).cast("long")
-    exploded = shards.select(
-        "src", "_shard", rounds.alias("_rounds"), (quota % n).alias("_extra"),
-        F.posexplode(order).alias("_place", "_at"),
-    ).select(
-        "src", "_shard",
-        F.struct(
-            F.col("_at.b").alias("b"),
-            (F.col("_rounds") + (F.col("_place") < F.col("_extra")).cast("long")).alias("t"),
-        ).alias("_bt"),
-    )
-    return exploded.groupBy("src", "_shard").agg(
-        F.transform(F.sort_array(F.collect_list("_bt")), lambda s: s["t"]).alias("_takes")
+    some = F.col("_words") > 0
+    seeded = shards.select(
+        "src", "_shard", (n - 1).alias("_last"), (F.col("_words") - (n - 1) * block).alias("_short"),
+        F.when(some, F.floor(F.col("_goal") / F.col("_words"))).otherwise(0).cast("long").alias("_rounds"),
+        F.when(some, F.col("_goal") % F.col("_words")).otherwise(0).cast("long").alias("_rest"),
+        order.alias("_order"),
+    ).withColumn("_last_at", F.array_position(F.transform("_order", lambda s: s["b"]), F.col("_last")) - 1)
+    # all blocks are full but the last, so the words of the blocks ahead follow from the place in the order
+    ahead = F.col("_place") * block - F.when(F.col("_place") > F.col("_last_at"), block - F.col("_short")).otherwise(0)
+    holds = F.when(F.col("_at.b") == F.col("_last"), F.col("_short")).otherwise(block)
+    words_of = F.greatest(F.lit(0).cast("long"), F.least(holds, F.col("_rest") - ahead))
+    return (
+        seeded.select(
+            "src", "_shard", "_rounds", "_last", "_short", "_rest", "_last_at", F.posexplode("_order").alias("_place", "_at")
+        )
+        .groupBy("src", "_shard", "_rounds")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_at.b").alias("b"), words_of.alias("w")))).alias("_bw"))
+        .select("src", "_shard", "_rounds", F.transform("_bw", lambda s: s["w"]).alias("_extra"))
     )
