@@ -150,6 +150,29 @@ def test_pca_matches_numpy(spark):
     assert np.allclose((x @ loadings).var(axis=0) * 200, values)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_pca_of_ill_conditioned_rows(spark, parts):
+    """Deviations from 1 to 1e-10, off centre: through a covariance those below 1e-8 are lost."""
+    rng = np.random.default_rng(16)
+    basis = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    x = (rng.normal(size=(400, 6)) * 10.0 ** -np.arange(0, 12, 2)) @ basis.T + np.array([3.0, -1, 0, 2, 0, 5]) * 1e-3
+    loadings = pca.fit_pca(frame(spark, x, parts=parts), 6)
+    want = np.linalg.svd(x - x.mean(0), full_matrices=False)[2].T
+    assert np.allclose(np.abs((loadings * want).sum(axis=0)), 1, atol=1e-6)
+    assert np.allclose(loadings.T @ loadings, np.eye(6), atol=1e-12)
+
+
+def test_pca_of_few_rows_and_of_merged_levels(spark):
+    x = np.random.default_rng(17).normal(size=(3, 5))
+    loadings = pca.fit_pca(frame(spark, x, parts=2), 5)
+    assert loadings.shape == (5, 5) and np.allclose(loadings.T @ loadings, np.eye(5))
+    assert np.allclose((x - x.mean(0)) @ loadings[:, 2:], 0)
+    wide = np.random.default_rng(18).normal(size=(90, 4))
+    factor = pca.triangular_factor(frame(spark, wide, parts=9), 9, fan_in=2)
+    centred = wide - wide.mean(0)
+    assert np.allclose(factor[1:, 1:].T @ factor[1:, 1:], centred.T @ centred)
+
+
 def bench(spark, **changes):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 6))
