@@ -34,11 +34,13 @@ def _item(number: int) -> str:
 
 
 # Parts of whole licenses.
-_MIT = (
+_MIT_OPENING = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;words=1-3>> and associated "
-    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
-    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
-    "whom the Software is furnished to do so, ",
+    "documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+_MIT = (
+    _MIT_OPENING + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, ",
     "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be "
     "included in all copies or substantial portions of the Software. ",
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
@@ -70,11 +72,10 @@ _ISC_OPENING = (
     "purpose with or without fee is hereby granted"
 )
 
-# Wordings of public licenses and notices, by label. "mit" takes the opening of that license as a short notice.
+# Wordings of public licenses and notices, by label. An opening alone is a notice: other terms may follow it.
 TEMPLATES = {
     "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;words=1-3>> and "
-        "associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        _MIT[0] + "subject to the following conditions: " + _MIT[1] + _MIT[2],
         "<<either;released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> "
         "<<beginOptional>>permissive<<endOptional>> MIT License",
     ),
@@ -83,7 +84,7 @@ TEMPLATES = {
         "<<either;released|distributed>> under the <<beginOptional>>terms of the<<endOptional>> Apache License, "
         "<<beginOptional>>Version<<endOptional>> 2.0",
     ),
-    "mit-text": (_MIT[0] + "subject to the following conditions: " + _MIT[1] + _MIT[2],),
+    "mit-notice": (_MIT_OPENING,),
     "mit-0": (_MIT[0] + _MIT[2],),
     "json": (_MIT[0] + "subject to the following conditions: " + _MIT[1] + "The Software shall be used for Good, not Evil. " + _MIT[2],),
     "bsd-2-clause": (_BSD[0] + _BSD[2],),

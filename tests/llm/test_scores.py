@@ -132,7 +132,9 @@ def test_licenses_equal_brute_force(spark):
     ("text", "labels"),
     [
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of this SOFT ware and associated "
-         "documentation files (the 'Software'), to deal in the Software without restriction, etc", "mit"),
+         "documentation files (the 'Software'), to deal in the Software without restriction, etc", "mit-notice"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+         "files (the 'Software'), to deal in the Software without restriction, except that no commercial use is allowed", "mit-notice"),
         ("Permission is hereby granted, free of charge, to each person obtaining a copy", ""),
         ("Released under the terms of the MIT License.", "mit"),
         ("Copyright (c) 2020 A. Writer and others. All rights reserved.", "all-rights-reserved"),
@@ -420,9 +422,9 @@ NOTICE = (", subject to the following conditions: The above copyright notice and
         (BSD_TEXT.format("").split("1.")[0] + "you pay.", "bsd-notice"),
         (ISC_TEXT, "isc,isc-notice"),
         (ISC_TEXT.replace("NEGLIGENCE", "malice"), "isc-notice"),
-        (MIT_TEXT.format(NOTICE), "mit,mit-text"),
-        (MIT_TEXT.format("."), "mit,mit-0"),
-        (MIT_TEXT.format(NOTICE + " The Software shall be used for Good, not Evil."), "json,mit"),
+        (MIT_TEXT.format(NOTICE), "mit,mit-notice"),
+        (MIT_TEXT.format("."), "mit-0,mit-notice"),
+        (MIT_TEXT.format(NOTICE + " The Software shall be used for Good, not Evil."), "json,mit-notice"),
     ],
 )
 def test_whole_licenses(text, labels):
