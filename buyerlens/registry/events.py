@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buyerlens.functions.frames import to_long, vector_to_long
-from buyerlens.operators import constructs, profiles, splits, transforms
+from buyerlens.operators import constructs, profiles, sketches, splits, transforms
 from buyerlens.operators import user_table as ut
 from buyerlens.plans.ordered import keyed_sample
 from buyerlens.registry.base import EVENTS, SEED, query
@@ -276,6 +276,36 @@ def event_column_profile(spark, sf_dir):
     return profiles.column_profile(log_from_events(spark, sf_dir), list(_PROFILED))
 
 
+@query(
+    "event_profile_sketches",
+    stmt(
+        "ev",
+        f"""SELECT name, n_rows, nulls, min, max, mean, TRUE AS distinct_near, p99 IS NOT NULL AS p99_near
+FROM ({_PROFILE_SQL})""",
+    ),
+)
+def event_profile_sketches(spark, sf_dir):
+    """The profile merged from days stored in two runs; its estimates lie within the stated errors of all rows' values."""
+    log = log_from_events(spark, sf_dir).withColumn("event_date", F.to_date("ts"))
+    path = shared_folder(spark, "sketches")
+    sketches.add_days(log.where(F.col("event_date") < F.lit(EVENTS.feature_start.date()) + F.expr("INTERVAL 15 DAYS")), path, _PROFILED)
+    sketches.add_days(log, path, _PROFILED)
+    merged = materialise(sketches.merged_profile(spark.read.parquet(path)))
+    exact = log.agg(*[F.count_distinct(c).alias(c) for c in _PROFILED])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in _PROFILED])))
+    high = {r["name"]: r["p99"] for r in merged.where("p99 IS NOT NULL").select("name", "p99").collect()}  # a row a column
+    shares = log.agg(
+        *[F.struct(*[F.count_if(at) / F.count(c) for at in (F.col(c) < v, F.col(c) <= v)]).alias(c) for c, v in high.items()]
+    ).first()
+    off = 2 * sketches.rank_error()
+    near = [c for c in high if shares[c][0] - off <= 0.99 <= shares[c][1] + off]
+    distinct_near = F.abs(F.col("distinct") - F.col("n")) <= 3 * sketches.distinct_error() * F.col("n")
+    return merged.join(exact, "name").select(
+        "name", "n_rows", "nulls", "min", "max", "mean", distinct_near.alias("distinct_near"),
+        F.col("name").isin(near).alias("p99_near"),
+    )
+
+
 @query(
     "event_mix",
     stmt(
