@@ -290,7 +290,7 @@ class InPlace:
                 out.append(histogram(bins[rows], g[rows, k], h[rows, k], width).ravel())
             return np.concatenate(out)
 
-        return sum_partials(self.rows, partial, self.many)
+        return sum_partials(self.rows, partial, self.many, wide=True)
 
     def roots(self, trees) -> tuple[list[np.ndarray], float, float]:
         if trees:

@@ -2,8 +2,8 @@
 
 Every step is one pass over the stored rows that serves all sets still moving. Seeding draws the next centre of each
 set in proportion to weight times squared distance by an exponential race: a row's entry is keyed on (row, start,
-step), the least one wins, so neither partitions nor retries change the draw. A Lloyd pass sends the sums of all
-sets as one vector a task. Bootstrap weights are Poisson(1), drawn in the task from (row, resample).
+step), the least one wins, so neither partitions nor retries change the draw. A Lloyd pass adds the sums of all
+sets in the tasks, so that the driver receives them once. Bootstrap weights are Poisson(1), drawn in the task from (row, resample).
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def fit_many(
                 out.append(total)
             return np.concatenate(out)
 
-        total, at, moving = sum_partials(rows, partial, many), 0, []
+        total, at, moving = sum_partials(rows, partial, many, wide=True), 0, []
         for g in live:
             m, d = len(g.fits), g.centers.shape[2]
             cost, counts, sums = np.split(total[at : at + m * (1 + g.k * (1 + d))], [m, m + m * g.k])
@@ -258,7 +258,7 @@ def center_gaps(
             out.append(total)
         return np.concatenate(out)
 
-    total, at, found = sum_partials(rows, partial, partitions_of(rows)), 0, []
+    total, at, found = sum_partials(rows, partial, partitions_of(rows), wide=True), 0, []
     for i, g in enumerate(groups):
         d = g.centers.shape[2]
         counts = total[at + 1 : at + 1 + g.k]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 FAN_IN = 32
+PIECE = 2_048  # numbers of a vector that one task adds, at least
+PIECES = ["piece", "part"]
 
 
 def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -34,27 +36,33 @@ def array_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-    total = None
-    for batch in batches:
-        rows = matrix(batch, "part")
-        if len(rows):
-            part = rows.sum(axis=0)
-            total = part if total is None else total + part
-    return total
-
-
 def sum_partials(
     df: DataFrame,
     partial: Callable[[pa.RecordBatch], np.ndarray | None],
     partitions: int,
     fan_in: int = FAN_IN,
+    wide: bool = False,
 ) -> np.ndarray:
     """Sum ``partial(batch)`` over all rows of a frame of ``partitions`` partitions.
 
-    Each task adds up its batches and sends one vector; ``fan_in`` tasks add those; the driver
-    sees at most ``fan_in`` vectors, whatever the number of partitions.
+    The driver sees what ``partial_sums`` leaves: one vector of a ``wide`` sum or of more than ``fan_in`` partitions,
+    else a short vector a partition.
     """
+    found = _added(partial_sums(df, partial, partitions, fan_in, wide).toArrow().to_batches())
+    if not found:
+        raise ValueError("no rows to fit on")
+    return np.concatenate([found[i] for i in sorted(found)])
+
+
+def partial_sums(
+    df: DataFrame,
+    partial: Callable[[pa.RecordBatch], np.ndarray | None],
+    partitions: int,
+    fan_in: int = FAN_IN,
+    wide: bool = False,
+) -> DataFrame:
+    """``(piece, part)``: each task adds up its batches to one vector, cut into at most ``fan_in`` pieces; all tasks'
+    vectors of a piece are added by one task, so a piece is one row, whatever the number of partitions."""
 
     def per_partition(batches):
         total = None
@@ -64,21 +72,29 @@ def sum_partials(
                 if part is not None:
                     total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([array_column(total.reshape(1, -1))], ["part"])
+            cuts = np.array_split(total, min(fan_in, max(1, len(total) // PIECE)))
+            for i, cut in enumerate(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), array_column(cut.reshape(1, -1))], PIECES)
 
     def merge(batches):
-        total = _summed(batches)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([array_column(total.reshape(1, -1))], ["part"])
+        for i, total in sorted(_added(batches).items()):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), array_column(total.reshape(1, -1))], PIECES)
 
-    schema = "part array<double>"
+    schema = "piece int, part array<double>"
     parts = df.mapInArrow(per_partition, schema)
-    if partitions > fan_in:
-        parts = parts.repartition(fan_in).mapInArrow(merge, schema)
-    rows = parts.collect()
-    if not rows:
-        raise ValueError("no rows to fit on")
-    return np.sum([np.asarray(r["part"]) for r in rows], axis=0)
+    if partitions > (1 if wide else fan_in):
+        parts = parts.repartition(min(-(-partitions // 4), fan_in), "piece").mapInArrow(merge, schema)
+    return parts
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """The sum of every piece's vectors."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, part in zip(vector(batch, "piece"), batch.column(1)):
+            own = part.values.to_numpy()
+            total[int(i)] = own if int(i) not in total else total[int(i)] + own
+    return total
 
 
 def partitions_of(df: DataFrame) -> int:

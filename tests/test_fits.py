@@ -9,6 +9,7 @@ from buyerlens.config import EvalConfig, ModelConfig, SweepConfig
 from buyerlens.functions.keyed import keyed_uniform
 from buyerlens.operators import clustering_quality as quality
 from buyerlens.operators import boosting, construct_vae, dense, heads, interpretability, kmeans, newton, protocol
+from buyerlens.plans import partials
 from buyerlens.sources.records import read_sweep_records
 
 
@@ -27,6 +28,23 @@ def test_keyed_uniforms():
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
 
 
+@pytest.mark.parametrize("size", [3, 10_001, 200_000])
+def test_wide_sums_reach_the_driver_once(spark, size):
+    df = rows_of(spark, np.arange(40.0)[:, None], parts=40)
+
+    def partial(batch):
+        return partials.matrix(batch, "features").sum() + batch.num_rows * np.arange(float(size))
+
+    want = 40 * 39 / 2 + 40.0 * np.arange(size)
+    for wide in (False, True):
+        assert np.array_equal(partials.sum_partials(df, partial, 40, wide=wide), want)
+    few = df.coalesce(6)
+    sent = partials.partial_sums(few, partial, 6, wide=True).collect()
+    assert len(sent) == len({r["piece"] for r in sent}) and sum(len(r["part"]) for r in sent) == size
+    with pytest.raises(ValueError, match="no rows"):
+        partials.sum_partials(df.where("false"), partial, 40)
+
+
 def blobs(k=3, n=60, d=4, seed=0):
     rng = np.random.default_rng(seed)
     return np.concatenate([rng.normal(6 * rng.normal(size=d), 0.5, (n, d)) for _ in range(k)])
