@@ -23,6 +23,7 @@ from buyerlens.session import materialise
 ITERATIONS = 300
 TOL = 1e-4  # of the mean variance, for the squared way that a set's centres move
 CELLS = 2_000_000  # distances a task holds at a time
+CACHED = 250_000  # distances of a step that should stay in a core's cache
 
 # Cumulative Poisson(1) probabilities; beyond the last a weight has chance 1e-9.
 POISSON_ONE = tuple(np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)]).tolist())
@@ -84,21 +85,38 @@ def _pieces(batch: pa.RecordBatch, group: _Group, features: str) -> Iterator[tup
 
 
 def _lloyd(group: _Group, keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cost, counts and sums of every set, in one vector."""
-    w, square = group.weights(keys), group.squares(x)
-    near = square.argmin(axis=2)
-    cost = (w * np.take_along_axis(square, near[:, :, None], 2)[:, :, 0]).sum(axis=0)
-    member = np.zeros_like(square)
-    np.put_along_axis(member, near[:, :, None], w[:, :, None], 2)
-    flat = member.reshape(len(x), -1)
-    return np.concatenate([cost, flat.sum(axis=0), (flat.T @ x).ravel()])
+    """Cost, counts and sums of every set, in one vector; of equally near centres the first takes the row."""
+    m, k, d = group.centers.shape
+    flat = group.centers.transpose(1, 0, 2).reshape(k * m, d)
+    table = np.vstack([-2.0 * flat.T, (flat * flat).sum(axis=1)])
+    w, square = group.weights(keys), (x * x).sum(axis=1)[:, None]
+    ones = np.column_stack([x, np.ones(len(x))])
+    cost, counts, sums = np.zeros(m), np.zeros((k, m)), np.zeros((k * m, d))
+    step = max(1, CACHED // (m * k))
+    for at in range(0, len(x), step):
+        rows, own = ones[at : at + step], w[at : at + step]
+        far = (rows @ table).reshape(len(rows), k, m)  # less the row's own square
+        least, near = far[:, 0].copy(), np.zeros((len(rows), m), dtype=np.int32)
+        for c in range(1, k):
+            np.copyto(near, c, where=far[:, c] < least)
+            np.minimum(least, far[:, c], out=least)
+        cost += (own * np.maximum(least + square[at : at + step], 0.0)).sum(axis=0)
+        for c in range(k):
+            np.multiply(near == c, own, out=far[:, c])
+        counts += far.sum(axis=0)
+        sums += far.reshape(len(rows), -1).T @ rows[:, :-1]
+    return np.concatenate([cost, counts.T.ravel(), sums.reshape(k, m, d).transpose(1, 0, 2).ravel()])
 
 
 def _stored(df: DataFrame, features: str, part: str | None, id_column: str) -> DataFrame:
-    """``(_key, _part, features)`` written once; rows without an id are keyed on their features."""
+    """``(_key, _part, features)`` written once; rows without an id are keyed on their features.
+
+    Parts are dealt over all partitions by key, since one part may have most of the fits.
+    """
     key = F.xxhash64(id_column) if id_column in df.columns else F.xxhash64(features)
     place = F.col(part).cast("int") if part else F.lit(0)
-    return materialise(df.select(key.alias("_key"), place.alias("_part"), features))
+    rows = df.select(key.alias("_key"), place.alias("_part"), features)
+    return materialise(rows.repartition(partitions_of(rows), "_key") if part else rows)
 
 
 def _measure(rows: DataFrame, fits: Sequence[Fit], features: str, many: int) -> dict[int, tuple[float, int]]:

@@ -79,6 +79,25 @@ def test_kmeans_parts_repeats_and_few_rows(spark):
         kmeans.fit_many(df.where("false"), [kmeans.Fit(1, 0)], 1)
 
 
+def test_kmeans_deals_parts_over_partitions(spark):
+    x = np.random.default_rng(0).normal(size=(1_600, 2))
+    df = rows_of(spark, x).selectExpr("id", "features", "CAST(id % 4 AS INT) AS part").repartitionByRange(4, "part")
+    stored = kmeans._stored(df, "features", "part", "id")
+    held = stored.selectExpr("input_file_name() AS file", "_part").distinct().groupBy("file").count().collect()
+    assert len(held) == 4 and all(r["count"] == 4 for r in held)
+
+
+def test_lloyd_sums_equal_plain_ones_and_ties_go_to_the_first():
+    x, keys = blobs(), np.arange(180)
+    centers = np.stack([x[[0, 0, 70]], x[[5, 130, 130]], x[[1, 2, 3]]])
+    g = kmeans._Group(0, 3, np.arange(3), np.arange(3), np.arange(3), np.array([-1, 0, 1]), centers)
+    got, far = kmeans._lloyd(g, keys, x), ((x[:, None, None] - centers) ** 2).sum(3)
+    w, near = g.weights(keys), far.argmin(2)
+    member = (near[:, :, None] == np.arange(3)) * w[:, :, None]
+    want = np.concatenate([(w * far.min(2)).sum(0), member.sum(0).ravel(), np.einsum("nsk,nd->skd", member, x).ravel()])
+    assert np.allclose(got, want) and got[3 + 1] == 0 and got[3 + 3 + 2] == 0
+
+
 def plain_split(bins, g, h, s):
     """Best (gain, feature, bin) by trying every cut."""
     best = (-np.inf, -1, -1)
