@@ -28,6 +28,7 @@ CHANNELS = {
 }
 CUT_DAYS = 90
 DEAL_DISCOUNT = 0.07
+PRICE = "decimal(18,6)"
 
 
 def read_delimited(
@@ -42,7 +43,8 @@ def customers_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Features read only orders up to the cut, the label only orders after it. Lines are summed
     per order before they meet the customer, so a customer with very many orders costs partial
-    sums, not one long group.
+    sums, not one long group. Prices are added as decimals: a spend is the same in whatever order its
+    lines come, so that equal spends count as one value.
     """
 
     def table(name: str) -> DataFrame:
@@ -62,7 +64,7 @@ def customers_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             *[
-                F.sum(F.when(F.col("p_type") == t, F.col("l_extendedprice"))).alias(c)
+                F.sum(F.when(F.col("p_type") == t, F.col("l_extendedprice").cast(PRICE))).alias(c)
                 for t, c in zip(PART_TYPES, SPEND_COLUMNS, strict=True)
             ],
             F.count_if(F.col("l_discount") >= DEAL_DISCOUNT).alias("deals"),
@@ -78,7 +80,7 @@ def customers_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.min("o_date").alias("first_order"),
             F.datediff(F.max("cut"), F.max("o_date")).cast("bigint").alias("Recency"),
-            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SPEND_COLUMNS],
+            *[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(c) for c in SPEND_COLUMNS],
             F.coalesce(F.sum("deals"), F.lit(0)).cast("bigint").alias("NumDealsPurchases"),
             *[F.count_if(F.col("o_orderpriority") == p).alias(c) for c, p in CHANNELS.items()],
             F.coalesce(F.max("complaint"), F.lit(0)).cast("bigint").alias("Complain"),

@@ -165,3 +165,26 @@ def test_inverse_standardise(spark):
     df = spark.createDataFrame([("x", 1.5), ("hot", 0.25)], "name string, z double")
     got = {r["name"]: r["raw"] for r in transforms.inverse_standardise(df, scaler, "name", "z").collect()}
     assert got == {"x": 13.0, "hot": 0.25}
+
+
+def test_equal_spends_are_one_value_in_any_order_of_lines(spark, tmp_path):
+    from buyerlens.sources.customers import customers_from_orders
+
+    tables = {
+        "customer": ([(i, 0, 1.0, "BUILDING") for i in (1, 2, 3)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": (
+            [(i, i, "1-URGENT", "2024-01-01" if i < 3 else "2024-12-01") for i in (1, 2, 3)],
+            "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string",
+        ),
+        "lineitem": (
+            [(1, 1, p, 0.0, "N") for p in (0.1, 0.2, 0.3)] + [(2, 1, p, 0.0, "N") for p in (0.3, 0.2, 0.1)],
+            "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double, l_returnflag string",
+        ),
+        "part": ([(1, "ECONOMY")], "p_partkey long, p_type string"),
+        "nation": ([(0, 0)], "n_nationkey int, n_regionkey int"),
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = customers_from_orders(spark, str(tmp_path)).select("ID", "MntWines").collect()
+    assert sorted((r["ID"], r["MntWines"]) for r in got) == [(1, 0.6), (2, 0.6)]
