@@ -218,6 +218,23 @@ def test_points_of_a_stack_equal_points_alone(spark):
         dense.minimise(df.where("false"), "id", np.zeros(1), None, 1, 0.1, 1)
 
 
+def test_a_grid_trains_in_small_stacks(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(40, 5))
+    rows = [(i, [float(v) for v in a], [float(v) for v in a[:2]]) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, constructs array<double>")
+    cfg = ModelConfig(latent_dim=4, hidden_dims=(8,), lr=1e-2, epochs=3, min_free_dims=1, batch_rows=16)
+    points = [(b, v) for b in (0.1, 0.2, 0.3, 0.4, 0.5) for v in (0.0, 1.0)]
+    seen, real = [], dense.minimise
+
+    def counted(rows, id_column, params, gradient, n_losses, *rest):
+        seen.append(n_losses // len(construct_vae.LOSSES))
+        return real(rows, id_column, params, gradient, n_losses, *rest)
+
+    monkeypatch.setattr(dense, "minimise", counted)
+    made = construct_vae.fit_grid(df, cfg, points, 5, 2)
+    assert sorted(seen) == [2, 2, 3, 3] and sorted(made) == sorted(points)
+
+
 def small_bench(spark, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(160, 6))
