@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from buyerlens.functions.keyed import keyed_uniform
 from buyerlens.plans.partials import array_column, map_batches, matrix, partitions_of, sum_partials, vector
-from buyerlens.session import materialise
+from buyerlens.session import at_once, materialise
 
 TASK_ROWS = 250_000
 REFRESH = 10
@@ -413,14 +413,17 @@ def fit_side_by_side(
 ) -> dict[int, Boosted]:
     """The fits of ``(fit, _key, features, y)`` rows; ``classes`` gives each fit's number of trees a round (1: binary).
 
-    Fits are counted first. Those of at most ``task_rows`` rows go to a task each; the others are fitted in place.
+    Fits are counted first. Those of at most ``task_rows`` rows go to a task each; the others are fitted in place,
+    several at once, since a pass of one fit does not keep all cores busy.
     """
     sizes = {r["fit"]: r["count"] for r in rows.groupBy("fit").count().collect()}  # a row a fit
     absent = sorted(set(classes) - set(sizes))
     if absent:
         raise ValueError(f"no rows for fits {absent}")
     small = sorted(f for f in classes if sizes[f] <= task_rows)
-    out = {f: fit_in_place(rows.where(F.col("fit") == f).drop("fit"), classes[f], s, seed) for f in classes if f not in small}
+    large = [f for f in classes if f not in small]
+    placed = at_once(lambda f: fit_in_place(rows.where(F.col("fit") == f).drop("fit"), classes[f], s, seed), large)
+    out = dict(zip(large, placed, strict=True))
     if not small:
         return out
 

@@ -1,5 +1,6 @@
 """Fits that run side by side: K-means stacks, boosted trees, Newton heads, stacked networks."""
 
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -148,6 +149,20 @@ def test_boosting_in_place_equals_in_task(spark, monkeypatch, classes):
     assert all(np.array_equal(t.feature, u.feature) for p, q in zip(a.rounds, b.rounds) for t, u in zip(p, q))
 
 
+def test_fits_in_place_run_at_once(spark, monkeypatch):
+    met, real = threading.Barrier(2), boosting.fit_in_place
+
+    def waits(*args):
+        met.wait(20)  # for the other fit
+        return real(*args)
+
+    monkeypatch.setattr(boosting, "fit_in_place", waits)
+    x, y = task(80, 3)
+    both = rows_of(spark, x, y).unionByName(rows_of(spark, x, 1 - y).selectExpr("1 AS fit", "_key", "id", "features", "y"))
+    made = boosting.fit_side_by_side(both, {0: 1, 1: 1}, boosting.Settings(rounds=2, bins=8), 0, task_rows=10)
+    assert sorted(made) == [0, 1] and np.allclose(made[0].chances(x) + made[1].chances(x), 1.0)
+
+
 def test_boosting_learns_stops_and_survives(spark):
     x, y = task(2_000)
     s = boosting.Settings(rounds=60, stop_above=1_000)
