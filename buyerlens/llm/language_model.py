@@ -3,14 +3,16 @@
 A small window network predicts every word of a text from the two words before it and the two after it; a text's score is
 the sum of the log-probabilities it gives the words. All words that stand ``MIN_COUNT`` times or more in the corpus, counted by
 Spark, have an id of their own, so the network grows with the input. The rarer ones share at least ``HASHED`` buckets, and a
-rare word's probability is its bucket's times its own share of the bucket's count. An id is two digits: the first is predicted
-from the context, the second from the context and the first, so a prediction costs two small softmaxes. Words outside the text
-are one padding word.
+rare word's probability is its bucket's times its own share of the bucket's count. An id is two digits, or as many as it takes
+for no digit to have more than ``DIGITS`` values: the first is predicted from the context, each other from the context and those
+before it, so a prediction costs a few small softmaxes, one more where the words are ``DIGITS`` times as many. Words outside the
+text are one padding word.
 
 Training is data-parallel: in each round every task starts from the same weights, takes each word of its texts once, in
-seeded order, in minibatch Adam steps in numpy, and sends once what it changed: rows of the word table that it touched, and the
-small matrices. Changes are added up by ``ADDERS`` tasks and averaged, a table row by how often each task met it and the rest by
-words seen. All texts take part. Weights depend on how the input is split, so scores agree between runs that split it alike.
+seeded order, in minibatch Adam steps in numpy, and sends once what it changed, in half precision: rows of the table that it
+touched, and the small matrices. Changes are shuffled once, averaged by ``ADDERS`` tasks, a table row by how often each task met
+it and the rest by words seen. All texts take part. Weights depend on how the input is split, so scores agree between runs that
+split it alike.
 
 Shares of rare words are joined on the word, which has fewer than ``MIN_COUNT`` rows, so no key is large.
 
@@ -20,7 +22,6 @@ rows; an empty table gives no rows; other columns are ignored; a text is scored
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +35,40 @@ from buyerlens.session import materialise
 MIN_COUNT = 50
 HASHED = 256
 WORDS = 1024  # of a network made without a vocabulary
+DIGITS = 64
 WIDTH = 24
 SIDES = (-2, -1, 1, 2)
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.01
 ADDERS = 8
+PER_CORE = 2
 BLOCK = 4096
 SEED = 17
 CHUNK = 500_000
-SMALL = ("b", "w1", "b1", "u", "w2", "b2")
+
+
+def places(words: int) -> tuple[int, int]:
+    """How many digits an id has, and how many values a digit, for so many ids."""
+    many = 2
+    while DIGITS**many < words:
+        many += 1
+    digits = 1
+    while digits**many < words:
+        digits += 1
+    return many, digits
 
 
 def shapes(words: int) -> dict[str, tuple[int, ...]]:
-    """The shape of each weight for a number of ids, the padding word among them."""
-    digits = math.isqrt(words - 1) + 1
-    return {"e": (len(SIDES) * words, WIDTH), "b": (WIDTH,), "w1": (WIDTH, digits), "b1": (digits,),
-            "u": (digits, WIDTH), "w2": (WIDTH, digits), "b2": (digits,)}
+    """The shape of each weight for a number of ids, the padding word among them.
+
+    The table ``e`` has a row for each word on each side, then one for each run of two or more first digits."""
+    many, digits = places(words)
+    rows = len(SIDES) * words + sum(digits**k for k in range(2, many))
+    out = {"e": (rows, WIDTH), "b": (WIDTH,), "w1": (WIDTH, digits), "b1": (digits,), "u": (digits, WIDTH)}
+    for k in range(2, many + 1):
+        out |= {f"w{k}": (WIDTH, digits), f"b{k}": (digits,)}
+    return out
 
 
 def fresh(seed: int = SEED, words: int = WORDS) -> dict[str, np.ndarray]:
@@ -58,9 +76,18 @@ def fresh(seed: int = SEED, words: int = WORDS) -> dict[str, np.ndarray]:
     return {n: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in shapes(words).items()}
 
 
+def halved(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights with the table in half precision, as tasks are sent it."""
+    return weights | {"e": weights["e"].astype(np.float16)}
+
+
+def opened(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return weights | {"e": weights["e"].astype(np.float32)}
+
+
 def small(weights: dict[str, np.ndarray]) -> np.ndarray:
-    """All weights but the word table, in one vector."""
-    return np.concatenate([weights[n].ravel() for n in SMALL])
+    """All weights but the table, in one vector."""
+    return np.concatenate([a.ravel() for n, a in weights.items() if n != "e"])
 
 
 class Vocabulary:
@@ -70,7 +97,8 @@ class Vocabulary:
         order = np.argsort(names)
         self.names, self.ids = names[order], order.astype(np.int32)
         self.own = len(names)
-        self.words = (math.isqrt(self.own + HASHED) + 1) ** 2  # all pairs of digits are used
+        many, digits = places(self.own + HASHED + 1)
+        self.words = digits**many  # all runs of digits are used
         self.hashed = self.words - 1 - self.own
 
     def buckets(self, names: np.ndarray) -> np.ndarray:
@@ -97,72 +125,134 @@ def context(flat: np.ndarray, place: np.ndarray, words: int) -> np.ndarray:
     return np.stack([flat[place + s] + k * words for k, s in enumerate(SIDES)], axis=1)
 
 
-def forward(w: dict[str, np.ndarray], around: np.ndarray, first: np.ndarray):
-    h = w["b"] + w["e"][around[:, 0]]
+def split(word: np.ndarray, words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The digits of ids, and what stands before each digit but the first: the first digit, then rows of the table."""
+    many, digits = places(words)
+    runs = [word // digits ** (many - k) for k in range(1, many + 1)]
+    at, before = len(SIDES) * words, [runs[0]]
+    for k in range(2, many):
+        before.append(runs[k - 1] + at)
+        at += digits**k
+    return [runs[0], *(run % digits for run in runs[1:])], before
+
+
+def forward(w: dict[str, np.ndarray], around: np.ndarray, first: np.ndarray, *rows: np.ndarray):
+    """The states that the digits are predicted from, and the logits of each digit's values (values x words)."""
+    h = w["e"].take(around[:, 0], axis=0)
     for k in range(1, len(SIDES)):
-        h += w["e"][around[:, k]]
+        h += w["e"].take(around[:, k], axis=0)
+    h += w["b"]
     np.tanh(h, out=h)
-    p1 = h @ w["w1"] + w["b1"]
-    g = h + w["u"][first]
-    p2 = g @ w["w2"] + w["b2"]
-    return h, g, p1, p2
+    states = [h, h + w["u"].take(first, axis=0), *(h + w["e"].take(r, axis=0) for r in rows)]
+    return *states, *(w[f"w{k}"].T @ s.T + w[f"b{k}"][:, None] for k, s in enumerate(states, 1))
 
 
 def log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    shares = logits - logits.max(axis=0)
+    own = shares[at, np.arange(len(at))]
+    return own - np.log(np.exp(shares, out=shares).sum(axis=0))
 
 
-def log_probabilities(w: dict[str, np.ndarray], flat: np.ndarray, place: np.ndarray, step: int = 8192) -> np.ndarray:
-    out, digits, words = np.empty(len(place), dtype=np.float64), len(w["b1"]), len(w["e"]) // len(SIDES)
+def words_of(weights: dict[str, np.ndarray]) -> int:
+    return len(weights["b1"]) ** sum(n[0] == "w" for n in weights)
+
+
+def log_probabilities(w: dict[str, np.ndarray], flat: np.ndarray, place: np.ndarray, step: int = 2048) -> np.ndarray:
+    out, words = np.empty(len(place), dtype=np.float64), words_of(w)
     for i in range(0, len(place), step):
         at = place[i : i + step]
-        word = flat[at]
-        first, second = word // digits, word % digits
-        _, _, p1, p2 = forward(w, context(flat, at, words), first)
-        out[i : i + step] = log_share(p1, first) + log_share(p2, second)
+        digits, before = split(flat[at], words)
+        logits = forward(w, context(flat, at, words), *before)[len(digits) :]
+        out[i : i + step] = sum(log_share(p, d) for p, d in zip(logits, digits))
     return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x = x - x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+class Groups:
+    """Equal numbers of ``flat`` as groups: ``rows`` are the numbers, sorted, ``at`` is the group of each place."""
+
+    def __init__(self, flat: np.ndarray):
+        bits = len(flat).bit_length()
+        keys = np.sort(flat.astype(np.int64) << bits | np.arange(len(flat)))
+        keys, self.order = keys >> bits, keys & ((1 << bits) - 1)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        self.starts = np.flatnonzero(new)
+        self.rows, self.sizes = keys[self.starts], np.diff(self.starts, append=len(flat))
+        self.at = np.empty(len(flat), dtype=np.int64)
+        self.at[self.order] = np.cumsum(new) - 1
+
+    def sums(self, parts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The sum of each group's parts; place i has part ``own[i]``. Most groups are one place and are only copied."""
+        own = own.take(self.order)
+        out = parts.take(own.take(self.starts), axis=0)
+        several = self.sizes > 1
+        if several.any():
+            sizes = self.sizes[several]
+            lines = parts.take(own[np.repeat(several, self.sizes)], axis=0)
+            out[several] = np.add.reduceat(lines, np.cumsum(sizes) - sizes, axis=0)
+        return out
+
+
+def put_rows(table: np.ndarray, rows: np.ndarray, lines: np.ndarray) -> None:
+    """``table[rows] = lines``, a whole row at a time."""
+    kind = f"V{table.strides[0]}"
+    table.view(kind)[:, 0][rows] = lines.view(kind)[:, 0]
 
 
 class Trainer:
-    """Minibatch Adam steps; the word table is updated in the rows that a batch touches."""
+    """Minibatch Adam steps; only the table rows of a batch are read and changed, and ``met`` counts how often."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float = RATE):
         self.w, self.rate, self.t = {n: a.copy() for n, a in weights.items()}, rate, 0
         self.m = {n: np.zeros_like(a) for n, a in weights.items()}
         self.v = {n: np.zeros_like(a) for n, a in weights.items()}
+        self.met = np.zeros(len(weights["e"]), dtype=np.int32)
+        self.words, self.digits = words_of(weights), len(weights["b1"])
 
     def step(self, around: np.ndarray, word: np.ndarray) -> None:
-        w, n, digits = self.w, len(word), len(self.w["b1"])
-        first, second = word // digits, word % digits
-        h, g, p1, p2 = forward(w, around, first)
-        d1, d2 = softmax(p1), softmax(p2)
-        d1[np.arange(n), first] -= 1
-        d2[np.arange(n), second] -= 1
-        d1 /= n
-        d2 /= n
-        dg = d2 @ w["w2"].T
-        dh = (d1 @ w["w1"].T + dg) * (1 - h * h)
-        du = (first[None, :] == np.arange(digits)[:, None]).astype(dg.dtype) @ dg
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-        rows, de = flat[order][starts], np.add.reduceat(dh[order // len(SIDES)], starts, axis=0)
+        n, sides = len(word), around.shape[1]
+        digits, before = split(word, self.words)
+        groups = Groups(np.concatenate([*around.T, *before[1:]]))
+        w, m, v = ({**a, "e": a["e"].take(groups.rows, axis=0)} for a in (self.w, self.m, self.v))
+        lines = groups.at.reshape(-1, n)
+        found = forward(w, lines[:sides].T, before[0], *lines[sides:])
+        states, wrong = found[: len(digits)], [softmax(p) for p in found[len(digits) :]]
+        for d, own in zip(wrong, digits):
+            d[own, np.arange(n)] -= 1
+        back = [d.T @ (w[f"w{k}"] / n).T for k, d in enumerate(wrong, 1)]
+        h = states[0]
+        dh = sum(back) * (1 - h * h)
+        grads = {"u": (digits[0] == np.arange(self.digits)[:, None]).astype(dh.dtype) @ back[1], "b": dh.sum(0)}
+        for k, (s, d) in enumerate(zip(states, wrong), 1):
+            grads |= {f"w{k}": s.T @ d.T / n, f"b{k}": d.sum(1) / n}
+        own = np.concatenate([np.tile(np.arange(n), sides), np.arange(n, n * (len(digits) - 1))])
+        grads["e"] = groups.sums(np.concatenate([dh, *back[2:]]), own)
         self.t += 1
-        for name, grad, at in (
-            ("w1", h.T @ d1, ...), ("b1", d1.sum(0), ...), ("w2", g.T @ d2, ...), ("b2", d2.sum(0), ...),
-            ("u", du, ...), ("b", dh.sum(0), ...), ("e", de, rows),
-        ):
-            m = self.m[name][at] * 0.9 + 0.1 * grad
-            v = self.v[name][at] * 0.99 + 0.01 * grad * grad
-            self.m[name][at], self.v[name][at] = m, v
-            rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            w[name][at] -= rate * m / (np.sqrt(v) + 1e-8)
+        rate = float(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        for name, grad in grads.items():
+            adam(w[name], m[name], v[name], grad, rate)
+        for whole, changed in ((self.w, w), (self.m, m), (self.v, v)):
+            put_rows(whole["e"], groups.rows, changed["e"])
+        self.met[groups.rows] += groups.sizes.astype(np.int32)
+
+
+def adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """One step in place; ``w``, ``m`` and ``v`` are changed."""
+    m *= 0.9
+    m += 0.1 * grad
+    v *= 0.99
+    v += 0.01 * grad * grad
+    root = np.sqrt(v)
+    root += 1e-8
+    np.divide(m, root, out=root)
+    root *= rate
+    w -= root
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -234,83 +324,94 @@ def rare_shares(docs: DataFrame, rare: DataFrame, names: np.ndarray) -> DataFram
 
 
 def changes(before: dict[str, np.ndarray], after: dict[str, np.ndarray], met: np.ndarray, seen: int) -> Iterator[tuple]:
-    """``(block, rows, weights, sums)``: weighted changes of the small weights (block -1), and of table rows that were met."""
-    yield -1, np.zeros(1, np.int32), np.array([seen], np.float32), (small(after) - small(before)) * np.float32(seen)
+    """``(block, rows, weights, changes)``: changes of the small weights (block -1), and of table rows that were met."""
+    yield -1, np.zeros(1, np.uint16), np.array([seen], np.float32), small(after) - small(before)
     for block in range(-(-len(met) // BLOCK)):
         a = block * BLOCK
         rows = np.flatnonzero(met[a : a + BLOCK])
         if len(rows):
-            weight = met[a + rows].astype(np.float32)
-            yield block, rows.astype(np.int32), weight, (after["e"][a + rows] - before["e"][a + rows]) * weight[:, None]
+            change = after["e"][a + rows] - before["e"][a + rows]  # in single precision
+            yield block, gaps(rows), met[a + rows].astype(np.float32), change.astype(np.float16)
 
 
-def add_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of all changes of each block."""
+def mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted mean of all changes of each block."""
     total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for block, rows, weight, part in zip(*(c.to_pylist() for c in batch.columns)):
-            at, weight = np.frombuffer(rows, np.int32), np.frombuffer(weight, np.float32)
-            part = np.frombuffer(part, np.float32).reshape(len(at), -1)
+        for change in zip(*batch.columns):
+            block, at, weight, part = unpacked(*(c.as_py() for c in change))
             if block not in total:
-                n = 1 if block < 0 else BLOCK
-                total[block] = np.zeros(n), np.zeros((n, part.shape[1]), np.float32 if block >= 0 else np.float64)
+                total[block] = np.zeros(1 if block < 0 else BLOCK), np.zeros((1 if block < 0 else BLOCK, part.shape[1]), np.float32)
             total[block][0][at] += weight
-            total[block][1][at] += part
+            total[block][1][at] += part * weight[:, None]
     for block, (weight, part) in total.items():
         rows = np.flatnonzero(weight)
-        yield as_batch((block, rows.astype(np.int32), weight[rows].astype(np.float32), part[rows].astype(np.float32)))
+        mean = (part[rows] / weight[rows, None]).astype(np.float32 if block < 0 else np.float16)
+        yield as_batch((block, gaps(rows), weight[rows].astype(np.float32), mean))
+
+
+def gaps(rows: np.ndarray) -> np.ndarray:
+    """Steps from row to row, mostly ones, which shuffles compress."""
+    return np.diff(rows, prepend=0).astype(np.uint16)
+
+
+def unpacked(block: int, rows: bytes, weight: bytes, change: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    at = np.cumsum(np.frombuffer(rows, np.uint16), dtype=np.int64)
+    part = np.frombuffer(change, np.float32 if block < 0 else np.float16).reshape(len(at), -1)
+    return block, at, np.frombuffer(weight, np.float32), part.astype(np.float32)
 
 
 def as_batch(change: tuple) -> pa.RecordBatch:
     block, *arrays = change
     return pa.RecordBatch.from_arrays(
         [pa.array([block], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]],
-        names=["_block", "_rows", "_weight", "_sum"],
+        names=["_block", "_rows", "_weight", "_change"],
     )
 
 
+def trained_on(docs: DataFrame) -> DataFrame:
+    """All texts in at most ``PER_CORE`` tasks a core: every task sends the rows that it met, most of the table if it is long."""
+    return docs.select(F.col("text").alias("_text")).coalesce(PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def train(docs: DataFrame, names: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The weights after ``rounds`` averaged passes over all words of all texts."""
     spark = docs.sparkSession
     words = Vocabulary(names).words
     weights = fresh(seed, words)
     for round_ in range(rounds):
-        sent = spark.sparkContext.broadcast((names, weights))
+        sent = spark.sparkContext.broadcast((names, halved(weights) if round_ else None))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
             own, before = sent.value
-            vocabulary, trainer, seen = Vocabulary(own), Trainer(before), 0
-            met = np.zeros(len(before["e"]), dtype=np.int64)
+            before = before or fresh(seed, words)
+            vocabulary, trainer, seen = Vocabulary(own), Trainer(opened(before)), 0
             for part in chunks(batches, "_text", CHUNK):
                 texts = [b or b"" for b in part.column(0).cast(pa.binary()).to_pylist()]
                 flat, place, _ = vocabulary.laid_out(texts)
                 at = place[np.random.default_rng(seed + round_).permutation(len(place))]
                 for i in range(0, len(at), BATCH):
                     here = at[i : i + BATCH]
-                    around = context(flat, here, words)
-                    trainer.step(around, flat[here])
-                    np.add.at(met, around.ravel(), 1)
+                    trainer.step(context(flat, here, words), flat[here])
                 seen += len(at)
             if seen:
-                for change in changes(before, trainer.w, met, seen):
+                for change in changes(before, trainer.w, trainer.met, seen):
                     yield as_batch(change)
 
-        kind = "_block long, _rows binary, _weight binary, _sum binary"
-        local = docs.select(F.col("text").alias("_text")).mapInArrow(learn, kind)
-        added = local.repartition(ADDERS).mapInArrow(add_changes, kind)
-        added = added.repartition(ADDERS, "_block").mapInArrow(add_changes, kind).collect()  # each block once
-        if not added:
-            break
-        weights = {n: a.copy() for n, a in weights.items()}
-        for r in added:
-            at, weight = np.frombuffer(r["_rows"], np.int32), np.frombuffer(r["_weight"], np.float32)
-            mean = np.frombuffer(r["_sum"], np.float32).reshape(len(at), -1) / weight[:, None]
-            if r["_block"] >= 0:
-                weights["e"][r["_block"] * BLOCK + at] += mean
+        kind = "_block long, _rows binary, _weight binary, _change binary"
+        local = trained_on(docs).mapInArrow(learn, kind)
+        found = local.repartition(ADDERS, "_block").mapInArrow(mean_changes, kind).toLocalIterator()  # each block once
+        for r in found:
+            block, at, _, mean = unpacked(r["_block"], r["_rows"], r["_weight"], r["_change"])
+            if block >= 0:
+                weights["e"][block * BLOCK + at] += mean
                 continue
-            ends = np.cumsum([weights[n].size for n in SMALL])[:-1]
-            for n, change in zip(SMALL, np.split(mean[0], ends)):
+            others = [n for n in weights if n != "e"]
+            ends = np.cumsum([weights[n].size for n in others])[:-1]
+            for n, change in zip(others, np.split(mean[0], ends)):
                 weights[n] += change.reshape(weights[n].shape)
+        weights = opened(halved(weights))
+        sent.destroy()
     return weights
 
 
@@ -320,11 +421,11 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED, l
     names, rare = own_words(counted, least), counted.where(F.col("_n") < least)
     weights = train(docs, names, rounds, seed)
     in_bucket = bucket_counts(rare, names)
-    sent = docs.sparkSession.sparkContext.broadcast((names, weights, in_bucket))
+    sent = docs.sparkSession.sparkContext.broadcast((names, halved(weights), in_bucket))
 
     def make():
         own, w, in_bucket = sent.value
-        words = Vocabulary(own)
+        words, w = Vocabulary(own), opened(w)
         whole = np.zeros(words.words)
         whole[words.own : -1] = np.log(np.maximum(in_bucket, 1))
 

@@ -316,6 +316,64 @@ def test_language_model_gradient():
         assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3)
 
 
+def test_language_model_gradient_of_many_digits(monkeypatch):
+    monkeypatch.setattr(language_model, "DIGITS", 8)
+    words = 6**4
+    assert language_model.places(words) == (4, 6) and language_model.Vocabulary(np.arange(900, dtype=np.uint64)).words == words
+    rng = np.random.default_rng(0)
+    w = {n: a.astype(np.float64) for n, a in language_model.fresh(words=words).items()}
+    assert len(w["e"]) == 4 * words + 6**2 + 6**3
+    around = np.stack([rng.integers(0, words, 6) + k * words for k in range(4)], axis=1)
+    around[3:] = around[:3]
+    word = rng.integers(0, words, 6)
+    digits, before = language_model.split(word, words)
+    assert (np.stack(digits).T @ 6 ** np.arange(3, -1, -1)).tolist() == word.tolist()
+    assert len({*(before[1] - 4 * words), *(before[2] - 4 * words - 36)} & set(range(216))) > 2
+
+    def loss(w):
+        flat = language_model.forward(w, around, *before)[4:]
+        return -sum(language_model.log_share(p, d) for p, d in zip(flat, digits)).mean()
+
+    trainer = language_model.Trainer(w, rate=1.0)
+    trainer.step(around, word)
+    for name, at in (("w4", None), ("w3", None), ("u", None), ("e", (around[0, 2], 5)), ("e", (before[1][0], 3)), ("e", (before[2][0], 7))):
+        g = trainer.m[name] / 0.1
+        at = at or np.unravel_index(np.abs(g).argmax(), g.shape)
+        up, down = {n: a.copy() for n, a in w.items()}, {n: a.copy() for n, a in w.items()}
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3)
+    assert trainer.met.sum() == 6 * (4 + 2) and trainer.met[around[0, 2]] >= 2
+
+
+def test_softmaxes_stay_small():
+    words = language_model.Vocabulary(np.arange(50_000, dtype=np.uint64)).words
+    weights = language_model.fresh(words=words)
+    assert words > 50_000 + language_model.HASHED and max(a.shape[-1] for n, a in weights.items() if n[0] == "w") <= 64
+
+
+def test_changes_are_sent_in_half_precision():
+    before = language_model.fresh()
+    after = {n: a + np.float32(0.01) for n, a in before.items()}
+    met = np.zeros(len(before["e"]), dtype=np.int32)
+    met[[3, 4000, 4095]] = [1, 70_000, 2]
+    batches = [language_model.as_batch(c) for c in language_model.changes(before, after, met, 7)]
+    assert sum(b.nbytes for b in batches[1:]) < 3 * (2 * language_model.WIDTH + 8) + 100
+    twice = {n: a + np.float32(0.04) for n, a in before.items()}
+    batches += [language_model.as_batch(c) for c in language_model.changes(before, twice, met, 14)]
+    found = [language_model.unpacked(*(c[0].as_py() for c in b.columns)) for b in language_model.mean_changes(iter(batches))]
+    assert [(block, at.tolist(), weight.tolist()) for block, at, weight, _ in found] == [(-1, [0], [21.0]), (0, [3, 4000, 4095], [2.0, 140_000.0, 4.0])]
+    assert np.allclose(found[0][3], 0.03, rtol=1e-3) and np.allclose(found[1][3], 0.025, rtol=2e-3)
+
+
+def test_tables_are_sent_by_few_tasks_of_all_texts(spark):
+    docs = spark.createDataFrame([(d, f"text {d}") for d in range(200)], SCHEMA)
+    most = language_model.PER_CORE * spark.sparkContext.defaultParallelism
+    many, few = (language_model.trained_on(docs.repartition(n)) for n in (5 * most, 2))
+    assert [df.rdd.getNumPartitions() for df in (many, few)] == [most, 2]
+    assert sorted(r["_text"] for r in many.collect()) == sorted(f"text {d}" for d in range(200))
+
+
 def test_language_model_learns_both_sides(spark):
     rng = random.Random(0)
     docs = [(d, " ".join(rng.choice(["red cat sat down", "big dog ran off", "old man went home"]) for _ in range(60))) for d in range(200)]
