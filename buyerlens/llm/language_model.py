@@ -44,6 +44,8 @@ RATE = 0.01
 ADDERS = 8
 PER_CORE = 2
 BLOCK = 4096
+PIECE = 8
+LEAST = 1e-30  # sums of exponentials from here to its inverse are as exact as those of shifted logits
 SEED = 17
 CHUNK = 500_000
 
@@ -73,7 +75,11 @@ def shapes(words: int) -> dict[str, tuple[int, ...]]:
 
 def fresh(seed: int = SEED, words: int = WORDS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {n: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in shapes(words).items()}
+    out = {n: np.zeros(s, dtype=np.float32) for n, s in shapes(words).items()}
+    for a in out.values():
+        for i in range(0, len(a) if a.ndim > 1 else 0, BLOCK):  # drawn in double precision, so not all at once
+            a[i : i + BLOCK] = rng.normal(0, 0.1, a[i : i + BLOCK].shape)
+    return out
 
 
 def halved(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -96,6 +102,8 @@ class Vocabulary:
     def __init__(self, names: np.ndarray):
         order = np.argsort(names)
         self.names, self.ids = names[order], order.astype(np.int32)
+        self.shift = np.uint64(64 - max(1, len(names)).bit_length() - 2)
+        self.begin = np.searchsorted(self.names >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
         self.own = len(names)
         many, digits = places(self.own + HASHED + 1)
         self.words = digits**many  # all runs of digits are used
@@ -105,11 +113,18 @@ class Vocabulary:
         return (names % np.uint64(self.hashed)).astype(np.int32)
 
     def ids_of(self, names: np.ndarray) -> np.ndarray:
-        rest = self.own + self.buckets(names)
+        ids = self.own + self.buckets(names)
         if not len(self.names):
-            return rest
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, self.ids[at], rest)
+            return ids
+        # sorted names are looked up from the first with the same highest bits, of which there are few
+        at, left = self.begin.take(names >> self.shift), np.arange(len(names))
+        while len(left):
+            found, wanted = self.names.take(at, mode="clip"), names.take(left)
+            same = found == wanted
+            ids[left[same]] = self.ids.take(at[same])
+            further = (found < wanted) & (at < len(self.names) - 1)
+            at, left = at[further] + 1, left[further]
+        return ids
 
     def laid_out(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with two padding words around each text, the places of the words, and each word's text."""
@@ -122,7 +137,7 @@ class Vocabulary:
 
 
 def context(flat: np.ndarray, place: np.ndarray, words: int) -> np.ndarray:
-    return np.stack([flat[place + s] + k * words for k, s in enumerate(SIDES)], axis=1)
+    return np.stack([flat.take(place + s) + k * words for k, s in enumerate(SIDES)]).T
 
 
 def split(word: np.ndarray, words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -144,13 +159,27 @@ def forward(w: dict[str, np.ndarray], around: np.ndarray, first: np.ndarray, *ro
     h += w["b"]
     np.tanh(h, out=h)
     states = [h, h + w["u"].take(first, axis=0), *(h + w["e"].take(r, axis=0) for r in rows)]
-    return *states, *(w[f"w{k}"].T @ s.T + w[f"b{k}"][:, None] for k, s in enumerate(states, 1))
+    logits = [s @ w[f"w{k}"] for k, s in enumerate(states, 1)]  # rows of words are faster
+    for k, p in enumerate(logits, 1):
+        p += w[f"b{k}"]
+    return *states, *(p.T for p in logits)
+
+
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials (words x values) of logits (values x words), each word's sum, and what was taken off its logits, mostly 0."""
+    with np.errstate(over="ignore"):
+        shares = np.exp(logits.T)
+    total = shares @ np.ones(len(logits), dtype=shares.dtype)
+    if total.min() > LEAST and total.max() < 1 / LEAST:
+        return shares, total, 0.0
+    top = logits.max(axis=0)
+    shares = np.exp((logits - top).T)
+    return shares, shares.sum(axis=1), top
 
 
 def log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    shares = logits - logits.max(axis=0)
-    own = shares[at, np.arange(len(at))]
-    return own - np.log(np.exp(shares, out=shares).sum(axis=0))
+    _, total, off = exponentials(logits)
+    return logits[at, np.arange(len(at))] - off - np.log(total)
 
 
 def words_of(weights: dict[str, np.ndarray]) -> int:
@@ -167,13 +196,6 @@ def log_probabilities(w: dict[str, np.ndarray], flat: np.ndarray, place: np.ndar
     return out
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=0)
-    np.exp(x, out=x)
-    x /= x.sum(axis=0)
-    return x
-
-
 class Groups:
     """Equal numbers of ``flat`` as groups: ``rows`` are the numbers, sorted, ``at`` is the group of each place."""
 
@@ -188,14 +210,31 @@ class Groups:
         self.at[self.order] = np.cumsum(new) - 1
 
     def sums(self, parts: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The sum of each group's parts; place i has part ``own[i]``. Most groups are one place and are only copied."""
+        """The sum of each group's parts; place i has part ``own[i]``. Most groups are one place and are only copied.
+
+        Groups are cut into pieces of ``PIECE`` places; the second places of all pieces are added at once, then the third."""
         own = own.take(self.order)
         out = parts.take(own.take(self.starts), axis=0)
-        several = self.sizes > 1
-        if several.any():
-            sizes = self.sizes[several]
-            lines = parts.take(own[np.repeat(several, self.sizes)], axis=0)
-            out[several] = np.add.reduceat(lines, np.cumsum(sizes) - sizes, axis=0)
+        several = np.flatnonzero(self.sizes > 1)
+        starts, sizes = self.starts.take(several), self.sizes.take(several)
+        pieces = (sizes + (PIECE - 1)) // PIECE
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(starts - PIECE * first, pieces)
+        at += PIECE * np.arange(len(at))
+        size = np.minimum(np.repeat(starts + sizes, pieces) - at, PIECE)
+        largest = np.argsort(-size, kind="stable")
+        at = at.take(largest)
+        lines = parts.take(own.take(at), axis=0)
+        for k, many in enumerate(len(size) - np.cumsum(np.bincount(size, minlength=PIECE))[1:PIECE], 1):
+            lines[:many] += parts.take(own.take(at[:many] + k), axis=0)
+        whole = np.empty_like(lines)
+        put_rows(whole, largest, lines)
+        if len(whole) > len(several):
+            cut = pieces > 1
+            sums = np.add.reduceat(whole[np.repeat(cut, pieces)], np.cumsum(pieces[cut]) - pieces[cut], axis=0)
+            whole = whole.take(first, axis=0)
+            whole[cut] = sums
+        put_rows(out, several, whole)
         return out
 
 
@@ -205,13 +244,26 @@ def put_rows(table: np.ndarray, rows: np.ndarray, lines: np.ndarray) -> None:
     table.view(kind)[:, 0][rows] = lines.view(kind)[:, 0]
 
 
+def like(weights: dict[str, np.ndarray], e: np.ndarray, rest: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of the same names and shapes: a table, and the others out of one vector, as ``small`` makes it."""
+    out, at = {"e": e}, 0
+    for name, a in weights.items():
+        if name != "e":
+            out[name] = rest[at : at + a.size].reshape(a.shape)
+            at += a.size
+    return out
+
+
 class Trainer:
     """Minibatch Adam steps; only the table rows of a batch are read and changed, and ``met`` counts how often."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float = RATE):
-        self.w, self.rate, self.t = {n: a.copy() for n, a in weights.items()}, rate, 0
-        self.m = {n: np.zeros_like(a) for n, a in weights.items()}
-        self.v = {n: np.zeros_like(a) for n, a in weights.items()}
+        self.rate, self.t = rate, 0
+        self.rest = [small(weights), *(np.zeros_like(small(weights)) for _ in "mv")]
+        # a row's weights and both its moments are neighbours, so that a batch's random rows are each fetched once
+        self.table = np.zeros((3 * len(weights["e"]), weights["e"].shape[1]), dtype=weights["b"].dtype)
+        self.table[::3] = weights["e"]
+        self.w, self.m, self.v = (like(weights, self.table[k::3], rest) for k, rest in enumerate(self.rest))
         self.met = np.zeros(len(weights["e"]), dtype=np.int32)
         self.words, self.digits = words_of(weights), len(weights["b1"])
 
@@ -219,36 +271,42 @@ class Trainer:
         n, sides = len(word), around.shape[1]
         digits, before = split(word, self.words)
         groups = Groups(np.concatenate([*around.T, *before[1:]]))
-        w, m, v = ({**a, "e": a["e"].take(groups.rows, axis=0)} for a in (self.w, self.m, self.v))
         lines = groups.at.reshape(-1, n)
-        found = forward(w, lines[:sides].T, before[0], *lines[sides:])
-        states, wrong = found[: len(digits)], [softmax(p) for p in found[len(digits) :]]
-        for d, own in zip(wrong, digits):
-            d[own, np.arange(n)] -= 1
-        back = [d.T @ (w[f"w{k}"] / n).T for k, d in enumerate(wrong, 1)]
+        rows = [3 * groups.rows + k for k in range(3)]
+        w, m, v = (self.table.take(r, axis=0) for r in rows)
+        found = forward({**self.w, "e": w}, lines[:sides].T, before[0], *lines[sides:])
+        states, back, grads = found[: len(digits)], [], {}
+        first = np.arange(n) * self.digits
+        for k, (s, own, logits) in enumerate(zip(states, digits, found[len(digits) :]), 1):
+            wrong, total, _ = exponentials(logits)
+            wrong.reshape(-1)[first + own] -= total
+            each = 0.1 / (n * total)  # Adam adds a tenth of the gradient, and the square of that
+            back.append(wrong @ self.w[f"w{k}"].T)
+            back[-1] *= each[:, None]
+            grads |= {f"w{k}": (s * each[:, None]).T @ wrong, f"b{k}": each @ wrong}
         h = states[0]
-        dh = sum(back) * (1 - h * h)
-        grads = {"u": (digits[0] == np.arange(self.digits)[:, None]).astype(dh.dtype) @ back[1], "b": dh.sum(0)}
-        for k, (s, d) in enumerate(zip(states, wrong), 1):
-            grads |= {f"w{k}": s.T @ d.T / n, f"b{k}": d.sum(1) / n}
+        dh = sum(back[1:], start=back[0]) * (1 - h * h)
+        hot = np.eye(self.digits, dtype=dh.dtype).take(digits[0], axis=0)
+        grads |= {"u": hot.T @ back[1], "b": dh.sum(0)}
         own = np.concatenate([np.tile(np.arange(n), sides), np.arange(n, n * (len(digits) - 1))])
-        grads["e"] = groups.sums(np.concatenate([dh, *back[2:]]), own)
+        tenths = groups.sums(np.concatenate([dh, *back[2:]]), own)
         self.t += 1
         rate = float(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
-        for name, grad in grads.items():
-            adam(w[name], m[name], v[name], grad, rate)
-        for whole, changed in ((self.w, w), (self.m, m), (self.v, v)):
-            put_rows(whole["e"], groups.rows, changed["e"])
+        adam(*self.rest, small({name: grads[name] for name in self.w if name != "e"}), rate)
+        adam(w, m, v, tenths, rate)
+        for r, changed in zip(rows, (w, m, v)):
+            put_rows(self.table, r, changed)
         self.met[groups.rows] += groups.sizes.astype(np.int32)
 
 
-def adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One step in place; ``w``, ``m`` and ``v`` are changed."""
+def adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, tenth: np.ndarray, rate: float) -> None:
+    """One step in place by a tenth of the gradient; all arrays are changed."""
     m *= 0.9
-    m += 0.1 * grad
+    m += tenth
     v *= 0.99
-    v += 0.01 * grad * grad
-    root = np.sqrt(v)
+    np.multiply(tenth, tenth, out=tenth)
+    v += tenth
+    root = np.sqrt(v, out=tenth)
     root += 1e-8
     np.divide(m, root, out=root)
     root *= rate
@@ -385,7 +443,7 @@ def train(docs: DataFrame, names: np.ndarray, rounds: int = ROUNDS, seed: int =
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
             own, before = sent.value
             before = before or fresh(seed, words)
-            vocabulary, trainer, seen = Vocabulary(own), Trainer(opened(before)), 0
+            vocabulary, trainer, seen = Vocabulary(own), Trainer(before), 0
             for part in chunks(batches, "_text", CHUNK):
                 texts = [b or b"" for b in part.column(0).cast(pa.binary()).to_pylist()]
                 flat, place, _ = vocabulary.laid_out(texts)
@@ -406,10 +464,7 @@ def train(docs: DataFrame, names: np.ndarray, rounds: int = ROUNDS, seed: int =
             if block >= 0:
                 weights["e"][block * BLOCK + at] += mean
                 continue
-            others = [n for n in weights if n != "e"]
-            ends = np.cumsum([weights[n].size for n in others])[:-1]
-            for n, change in zip(others, np.split(mean[0], ends)):
-                weights[n] += change.reshape(weights[n].shape)
+            weights = like(weights, weights["e"], small(weights) + mean[0])
         weights = opened(halved(weights))
         sent.destroy()
     return weights

@@ -346,6 +346,54 @@ def test_language_model_gradient_of_many_digits(monkeypatch):
     assert trainer.met.sum() == 6 * (4 + 2) and trainer.met[around[0, 2]] >= 2
 
 
+def test_language_model_fetches_a_row_and_its_moments_at_once():
+    trainer = language_model.Trainer(language_model.fresh())
+    places = [a["e"][700].__array_interface__["data"][0] for a in (trainer.w, trainer.m, trainer.v)]
+    assert max(places) - min(places) == 2 * 4 * language_model.WIDTH
+    rng = np.random.default_rng(1)
+    words = language_model.WORDS
+    around = np.stack([rng.choice([3, 5, 900, *range(100, 200)], 300, p=[0.5, 0.2, 0.1, *[0.002] * 100]) + k * words for k in range(4)], axis=1)
+    trainer.step(around, rng.integers(0, words, 300))
+    untouched = np.setdiff1d(np.arange(4 * words), around)
+    assert (trainer.w["e"][untouched] == language_model.fresh()["e"][untouched]).all() and not trainer.m["e"][untouched].any()
+    assert trainer.m["e"][np.unique(around)].any(axis=1).all() and (trainer.v["e"][np.unique(around)] > 0).any(axis=1).all()
+
+
+def test_sums_of_small_and_large_groups():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.4, 1.0):
+        flat = np.where(rng.random(500) < share, rng.integers(0, 4, 500), rng.permutation(5000)[:500])
+        parts, own = rng.normal(size=(70, 5)), rng.integers(0, 70, 500)
+        groups = language_model.Groups(flat)
+        want = np.zeros((5000, 5))
+        np.add.at(want, flat, parts[own])
+        assert groups.rows.tolist() == np.unique(flat).tolist() and np.allclose(groups.sums(parts, own), want[groups.rows])
+
+
+def test_shares_of_any_logits():
+    logits = np.array([[0.5, 900.0, -900.0], [1.5, 0.0, -901.0]], dtype=np.float32)  # values x words
+    for some in (logits, logits[:, :1]):
+        top = some.astype(np.float64) - some.max(axis=0)
+        want = top - np.log(np.exp(top).sum(axis=0))
+        shares, total, _ = language_model.exponentials(some)
+        assert np.isfinite(shares).all() and np.allclose((shares / total[:, None]).T, np.exp(want), atol=1e-6)
+        for value in (0, 1):
+            at = np.full(some.shape[1], value)
+            assert np.allclose(language_model.log_share(some, at), want[value], rtol=1e-5, atol=1e-6)
+
+
+def test_ids_are_looked_up_by_any_bits():
+    names = np.array([0, 1, 2, 5, 2**63, 2**63 + 1, 2**64 - 1, *(7 * 2**40 + np.arange(90))], dtype=np.uint64)
+    rng = np.random.default_rng(3)
+    own = rng.permutation(names)
+    words = language_model.Vocabulary(own)
+    for missing in (3, 2**63 + 2, 2**64 - 2, 7 * 2**40 + 90):
+        names = np.append(names, np.uint64(missing))
+    found = dict(zip(names.tolist(), words.ids_of(names).tolist()))
+    assert [found[n] for n in own.tolist()] == list(range(len(own)))
+    assert all(found[n] >= words.own for n in (3, 2**63 + 2, 2**64 - 2, 7 * 2**40 + 90))
+
+
 def test_softmaxes_stay_small():
     words = language_model.Vocabulary(np.arange(50_000, dtype=np.uint64)).words
     weights = language_model.fresh(words=words)
