@@ -1,5 +1,6 @@
 """Fits that run side by side: K-means stacks, boosted trees, Newton heads, stacked networks."""
 
+import os
 import threading
 from dataclasses import replace
 
@@ -312,6 +313,39 @@ def test_cases_share_their_passes(spark):
     assert got["all", "test", "primary", "logreg", "roc_auc"] > 0.9
 
 
+def test_models_of_a_grid_never_pass_the_driver(spark, monkeypatch):
+    b, driver, real = small_bench(spark), os.getpid(), boosting.Boosted.unpacked
+
+    def refuse(raw):
+        assert os.getpid() != driver, "a model on the driver"
+        return real(raw)
+
+    monkeypatch.setattr(boosting.Boosted, "unpacked", staticmethod(refuse))
+    monkeypatch.setattr(heads, "SCORED_ROWS", 30)  # several tasks score by a model
+    parts = {c: b.frame.selectExpr("id", "split", "y", "cat", f"slice(features, {at}, 3) AS features") for c, at in (("0", 1), ("1", 4))}
+
+    def found(cases):
+        rows = heads.case_metrics(cases, "features", b.tasks, b.cfg, 0).collect()
+        return {(r["case"], r["split"], r["task"], r["head"], r["metric"]): r["value"] for r in rows}
+
+    want = found(parts)
+    assert found(heads.Blocks(b.frame, "features", 3, ("0", "1"))) == pytest.approx(want) and len(want) == 72
+
+
+def test_newton_sums_reach_the_driver_once(spark, monkeypatch):
+    x, y = task(200)
+    df = rows_of(spark, x, y, parts=40)
+    seen, real = [], type(df).toArrow
+
+    def counted(frame):
+        seen.append(real(frame))
+        return seen[-1]
+
+    monkeypatch.setattr(type(df), "toArrow", counted)
+    newton.fit_logistic(df, {0: 1})
+    assert seen and all(t.num_rows == 1 for t in seen)
+
+
 @pytest.mark.parametrize("block_rows", [7, 1_000])
 def test_euclidean_silhouette_equals_brute_force(spark, block_rows):
     rng = np.random.default_rng(8)
