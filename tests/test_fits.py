@@ -165,6 +165,34 @@ def test_fits_in_place_run_at_once(spark, monkeypatch):
     assert sorted(made) == [0, 1] and np.allclose(made[0].chances(x) + made[1].chances(x), 1.0)
 
 
+def test_a_task_takes_more_rows_where_they_are_narrow(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("in place")
+
+    monkeypatch.setattr(boosting, "fit_in_place", refuse)
+    x, y = task(80, 3)
+    s = boosting.Settings(rounds=2, bins=8)
+    made = boosting.fit_side_by_side(rows_of(spark, x, y), {0: 1}, s, 0, task_rows=25)
+    assert np.allclose(made[0].chances(x), boosting.fit_in_task(np.arange(80), x, y, 1, s, 0).chances(x), atol=0.2)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 80 * 3 - 1)
+    with pytest.raises(AssertionError, match="in place"):
+        boosting.fit_side_by_side(rows_of(spark, x, y), {0: 1}, s, 0, task_rows=25)
+
+
+@pytest.mark.parametrize("d", [4, 5])
+@pytest.mark.parametrize("classes", [1, 3])
+def test_histograms_of_column_pairs_equal_those_of_columns(monkeypatch, d, classes):
+    x, y = task(900, d)
+    y = y if classes == 1 else y + (x[:, 3] > 0)
+    s = boosting.Settings(rounds=8, bins=16, stop_above=500)
+    plain = boosting.fit_in_task(np.arange(900), x, y, classes, s, 0)
+    monkeypatch.setattr(boosting, "COLUMN_CELLS", 0)
+    monkeypatch.setattr(boosting, "PAIR_ROWS", 100)
+    paired = boosting.fit_in_task(np.arange(900), x, y, classes, s, 0)
+    assert np.allclose(plain.losses, paired.losses) and np.allclose(plain.chances(x), paired.chances(x))
+    assert all(np.array_equal(t.rows, u.rows) for p, q in zip(plain.rounds, paired.rounds) for t, u in zip(p, q))
+
+
 def test_boosting_learns_stops_and_survives(spark):
     x, y = task(2_000)
     s = boosting.Settings(rounds=60, stop_above=1_000)

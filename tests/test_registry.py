@@ -80,3 +80,37 @@ def test_registered_fits_run_the_defaults(spark, monkeypatch):
     with pytest.raises(StopIteration):
         entry.queries()["sweep_run"](spark, SF)
     assert grids == [SweepConfig()] and seen == [(tuple(reg.TASKS), SweepConfig().seeds[-1])]
+
+
+def test_seeds_share_a_user_table(spark, monkeypatch, tmp_path):
+    from datetime import datetime, timedelta
+
+    from buyerlens.registry import events
+    from buyerlens.registry import representations as reg
+
+    kinds = ("view", "click", "purchase")
+    rows = [
+        (i, datetime(2024, 1, 1) + timedelta(hours=i % 715), i % 23, kinds[i % 7 % 3], float(i % 9), f'{{"k": {i % 31}}}') for i in range(1_500)
+    ]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    seen = []
+
+    def record(spark, source, tasks=("primary",), seed=reg.SEED):
+        seen.append((source, seed))
+        return seed
+
+    monkeypatch.setattr(reg, "bench", record)
+    monkeypatch.setattr(reg.protocol, "evaluate_baselines", lambda seed: spark.range(seed, seed + 1))
+    entry.queries()["baseline_campaign"](spark, str(tmp_path))
+    tables = [source for source, _ in seen]
+    assert len(seen) == len(reg.EVAL.seeds) and all(t is tables[0] for t in tables)
+    for seed in (0, 3):
+        own, shared = (events.prepared_users(spark, source, seed) for source in (str(tmp_path), tables[0]))
+        assert own.features == shared.features and own.fitted["constructs"] == shared.fitted["constructs"]
+        a, b = ({r["id"]: r for r in p.frame.collect()} for p in (own, shared))
+        assert len(a) > 10 and a.keys() == b.keys()
+        for i, r in a.items():
+            assert r["features"] == pytest.approx(b[i]["features"]) and r["constructs"] == pytest.approx(b[i]["constructs"])
+            assert all(r[c] == b[i][c] for c in ("split", "y_primary", "y_churned", "y_next_category"))
